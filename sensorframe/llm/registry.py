@@ -1,7 +1,7 @@
 """All queries of the text operators, and their DuckDB SQL where SQL can express them."""
 
-from sensorframe.llm import chat_format, fingerprints, line_dedup, secrets
+from sensorframe.llm import chat_format, fingerprints, line_dedup, secrets, warc
 
-_MODULES = [fingerprints, secrets, chat_format, line_dedup]
+_MODULES = [fingerprints, secrets, chat_format, warc, line_dedup]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
