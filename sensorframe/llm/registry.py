@@ -1,7 +1,7 @@
 """All queries of the text operators, and their DuckDB SQL where SQL can express them."""
 
-from sensorframe.llm import chat_format, fingerprints, line_dedup, near_duplicates, packing, secrets, warc
+from sensorframe.llm import chat_format, fingerprints, language_id, line_dedup, near_duplicates, packing, secrets, warc
 
-_MODULES = [fingerprints, secrets, chat_format, packing, warc, line_dedup, near_duplicates]
+_MODULES = [fingerprints, secrets, chat_format, packing, warc, language_id, line_dedup, near_duplicates]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
