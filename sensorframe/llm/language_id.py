@@ -23,6 +23,7 @@ PER_LANGUAGE = 800  # labelled rows that training reads of each language, expect
 WINDOWS_PER_TEXT = 16
 STEPS, LANES, RATE = 220, 512, 0.03
 RUN = 2048  # windows that are read side by side
+LEAST = 0.3  # a document whose best language has less is rejected by a filter
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -229,6 +230,20 @@ def predict_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
     return only.mapInArrow(predict, f"_id {kind}, lang_pred string, score double, positions map<string,bigint>").withColumnRenamed("_id", doc_id)
 
 
+def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is not ``und`` and scores ``least`` or more. A model without
+    languages keeps every text that has a letter."""
+    at, names = docs.columns.index(text), model.languages
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(at)]
+            score = score_texts(model, [t.encode().lower() for t in texts])[0].max(1) if names else np.ones(len(texts))
+            yield batch.filter(pa.array([s >= least and _LETTER.search(t) is not None for s, t in zip(score, texts, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = predict_languages(docs, train_on(docs))
