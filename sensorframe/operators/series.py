@@ -16,6 +16,11 @@ def finite(value: str | Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
+def pearson(a: str, b: str) -> Column:
+    """The correlation of two columns; null where one of them is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def describe(readings: DataFrame, key: list[str], value: str = "value", confidence: float = 0.95) -> DataFrame:
     """Count, moments, robust spread and a confidence interval of the mean of every series.
 
@@ -242,6 +247,6 @@ def correlate(a: DataFrame, b: DataFrame, key: list[str], on: list[str]) -> Data
 
     p = p.withColumns(ranks("va") | ranks("vb"))
     return p.groupBy(key).agg(
-        F.count("*").alias("n"), F.corr("va", "vb").alias("pearson"), F.covar_samp("va", "vb").alias("covariance"),
-        F.corr("o_va", "o_vb").alias("spearman_ordinal"), F.corr("t_va", "t_vb").alias("spearman_ties"),
+        F.count("*").alias("n"), pearson("va", "vb").alias("pearson"), F.covar_samp("va", "vb").alias("covariance"),
+        pearson("o_va", "o_vb").alias("spearman_ordinal"), pearson("t_va", "t_vb").alias("spearman_ties"),
     )
