@@ -8,6 +8,7 @@ every piece finds its place in its own task by its rank among the pieces of its
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,30 +23,62 @@ from sensorframe.llm._common import table, written
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-CACHE_WORDS = 400_000  # words whose ids a task remembers; it forgets all of them beyond that
+CACHE_WORDS = 250_000  # words whose ids a task remembers, in each of two generations
+TOGETHER = 32  # texts that are encoded together
+
+
+#: Texts of these characters are cut by a plain expression as the tokenizer cuts them; it sees any other text whole.
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f]")
 
 
 class _Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit numbers.
+    """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    The tokenizer's expressions never span a blank and its special strings hold none, so a text's ids are those of its words in
-    turn, which lets repeated words be looked up.
+    The tokenizer lower-cases, cuts a text into words, digits and runs of marks, and encodes each by itself; so repeated ones
+    are looked up. Two generations of at most ``CACHE_WORDS`` bound the memory. Texts that may hold a special string are not cut.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-                new = list(dict.fromkeys(words))
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        ask = []
+        for word in new:
+            if (ids := self.older.get(word)) is None:
+                ask.append(word)
+            else:
+                self.known[word] = ids
+        if not ask:
+            return
+        found = self.tokenizer.encode(" ".join(ask), add_special_tokens=False)
+        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        if len(first) != len(ask):  # a word that the tokenizer cuts otherwise; not known to happen
+            self.known.update((w, self._whole(w)) for w in ask)
+            return
+        raw, edges = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+        self.known.update((w, raw[a:b]) for w, a, b in zip(ask, edges, edges[1:]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [None if "<|" in t or (not t.isascii() and _OTHER.search(t)) else _CUT.findall(t.lower()) for t in texts]
+        missing = set().union(*(w for w in words if w is not None)).difference(self.known)
+        if missing:
+            before = len(self.known)
+            self._learn(sorted(missing))
+            if len(self.known) < before:  # a new generation has begun
+                self._learn(sorted(set().union(*(w for w in words if w is not None)).difference(self.known)))
+        return [self._whole(t) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
 
 
 def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -61,12 +94,14 @@ def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         encoder = _Encoder(path)
         for batch in batches:
             of, piece, parts = [], [], []
-            for i, t in enumerate(batch.column(1)):
-                ids = encoder.ids(t.as_py()) + tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    of.append(i)
-                    piece.append(k)
-                    parts.append(ids[at : at + 4 * capacity])
+            for low in range(0, batch.num_rows, TOGETHER):
+                texts = [t.as_py() for t in batch.column(1).slice(low, TOGETHER)]
+                for i, ids in enumerate(encoder.encode(texts), low):
+                    ids += tail
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        of.append(i)
+                        piece.append(k)
+                        parts.append(ids[at : at + 4 * capacity])
             piece = np.array(piece, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(parts, pa.binary())],
