@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorframe.sources.storage import fresh_path, shared_dir, written  # noqa: F401
+
 #: The six white-space characters that end words and surround lines.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,28 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Plain ASCII takes the fast built-in; other texts keep letters such as É as they are."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -64,3 +42,27 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     many = F.when(F.col(count) > max(1, total // HOT), salts).otherwise(1)
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1)))
     return left.drop("_salts").join(right, [*keys, "_salt"]).drop("_salt")
+
+
+#: Bits of a bitmap by which tasks drop what a later join would drop; the size is fixed, whatever the input.
+MAP_BITS = 24
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """The bit of each unsigned 64-bit hash: its highest bits."""
+    return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the hashes (bigint) in a column, put together by Spark: at most 2^MAP_BITS / 64 words come to the driver."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - MAP_BITS)
+    words = hashes.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = slots(hashes)
+    return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import table, written
+from sensorframe.llm._common import bitmap, in_bitmap, table, written
 from sensorframe.llm._grams import ngrams, word_hashes
 
 SEED = 3  # words of a seed
@@ -19,7 +19,6 @@ RARE = 8  # and used unless it is over this many times as frequent as one of eac
 LEAST_WORDS = 5  # shorter items can't be told from chance and are never matched
 THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
-FILTER_BITS = 24  # the tasks' prefilter is a bitmap of this fixed size, whatever the benchmark
 PAIRS = 128
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
@@ -46,23 +45,6 @@ def _seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return own.mapInArrow(spell, f"item {kind}, words array<bigint>, seeds array<bigint>").select("item", "words", F.posexplode("seeds").alias("at", "seed"))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _bitmap(seeds: DataFrame) -> bytes:
-    """Marks the slots of all seeds; made where the seeds are, so only maps of fixed size come to the driver."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = [np.unique(_slots(b.column(0).to_numpy().view(np.uint64))) for b in batches]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.empty(0, np.int64), *slots])))], ["slot"])
-
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for (slot,) in seeds.select("seed").distinct().mapInArrow(mark, "slot bigint").distinct().toLocalIterator():
-        bits[slot] = True
-    return np.packbits(bits).tobytes()
-
-
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each pair: score as a share of a whole match, and the passage word where it ends.
 
@@ -104,19 +86,18 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     item: a passage that thousands of documents share is still found in each.
     """
     seeds = written(_seeds(items, item_id, item_text), "seeds")
-    bits = _bitmap(seeds)
+    bits = bitmap(seeds, "seed")
     longest = seeds.agg(F.max(F.size("words"))).first()[0] or 0
     only = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("version"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     kind = only.schema["doc"].dataType.simpleString()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for batch in batches:
             of, first, around, found = [], [], [], []
             for i, t in enumerate(batch.column(2)):
                 words = words_of(t.as_buffer().to_pybytes())
                 grams = ngrams(words, SEED, whole_if_short=False)
-                hits = np.flatnonzero(wanted[_slots(grams)])
+                hits = np.flatnonzero(in_bitmap(bits, grams))
                 if not len(hits):
                     continue
                 # hits whose surroundings touch are one passage
