@@ -6,6 +6,8 @@ to fingerprint.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,8 +85,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), (agree - chance) / (1 - chance)))
 
 
-def with_next(df: DataFrame, order: str, tie: str, carry: list[str], first_too: bool = True) -> DataFrame:
-    """Adds ``next_<c>`` for each carried column: the value of the next row by descending ``order`` (nulls last, ties by
+def with_next(df: DataFrame, order: str, tie: str, carry: list[str], derive: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Adds columns by ``derive``, and ``next_<c>`` for each carried column: the value of the next row by descending ``order`` (nulls last, ties by
     ``tie``); after the last row comes the first.
 
     A global order without one task for all rows: cut points from approximate quantiles of ``order`` deal the rows into as many
@@ -100,14 +102,15 @@ def with_next(df: DataFrame, order: str, tie: str, carry: list[str], first_too:
     df = df.withColumn("_range", rank)
     within = W.partitionBy("_range").orderBy(F.col(order).desc_nulls_last(), tie)
     names = {c: f"next_{c}" for c in carry}
-    ahead = df.withColumns({n: F.lead(c).over(within) for c, n in names.items()} | {"_last": F.lead(F.lit(1)).over(within).isNull(), "_no": F.row_number().over(within)})
-    heads = ahead.where(F.col("_no") == 1).select("_range", *(F.col(c).alias(f"_head_{c}") for c in carry))
+    ahead = derive(df).withColumns({n: F.lead(c).over(within) for c, n in names.items()} | {"_last": F.lead(F.lit(1)).over(within).isNull()})
+    # the first rows are found before anything is derived, so that it is derived for them alone
+    heads = derive(df.withColumn("_no", F.row_number().over(within)).where("_no = 1").drop("_no")).select("_range", *(F.col(c).alias(f"_head_{c}") for c in carry))
     # one row per range: a window over them all is bounded by the number of ranges
     ring = W.partitionBy(F.lit(0)).orderBy("_range")
     heads = heads.select("_range", *(F.coalesce(F.lead(f"_head_{c}").over(ring), F.first(f"_head_{c}").over(ring)).alias(f"_head_{c}") for c in carry))
     ahead = ahead.join(heads, "_range", "left")
     done = {n: F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(n)) for c, n in names.items()}
-    return ahead.withColumns(done).drop("_range", "_last", "_no", *(f"_head_{c}" for c in carry))
+    return ahead.withColumns(done).drop("_range", "_last", *(f"_head_{c}" for c in carry))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -119,8 +122,7 @@ def edited(text: Column, following: Column) -> Column:
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated rows each give a row; ties of doc_id follow the order of their texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = fingerprint(docs, "text", "fp")
-    docs = with_next(docs, "doc_id", "text", ["text", "fp"])
+    docs = with_next(docs, "doc_id", "text", ["text", "fp"], lambda d: fingerprint(d, "text", "fp"))
     docs = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited"), "fp", "next_fp")
     docs = fingerprint(docs, "edited", "efp")
     return docs.select(
