@@ -143,7 +143,22 @@ register(
 )
 
 L = "l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS series"
-KEYS = [F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("series")]
+
+
+def keys():
+    return [F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("series")]
+
+
+def t_col():
+    return 280 + F.col("l_quantity")
+
+
+def z_col():
+    return F.when(F.col("l_linenumber") % 2 == 0, 2.0).otherwise(1.0)
+
+
+def unit_col():
+    return F.when(F.col("l_linenumber") % 4 == 0, "mV").when(F.col("l_linenumber") % 4 == 1, "C").when(F.col("l_linenumber") % 4 == 2, "min").otherwise("furlong")
 
 
 def line(s, d):
@@ -151,37 +166,35 @@ def line(s, d):
 
 
 T_, Z_ = "(280 + l_quantity)", "(CASE WHEN l_linenumber % 2 = 0 THEN 2.0 ELSE 1.0 END)"
-t_col, z_col = 280 + F.col("l_quantity"), F.when(F.col("l_linenumber") % 2 == 0, 2.0).otherwise(1.0)
 SLOPE = f"(2.302585092994046 * {E.GAS} * {T_} / ({Z_} * {E.FARADAY}))"
 register(
     "j_nernst",
-    lambda s, d: rounded(line(s, d).select(*KEYS, E.nernst_slope(t_col, z_col).alias("slope"), E.potential(F.lit(0.2), E.nernst_slope(t_col, z_col), F.col("l_discount")).alias("e"), E.activity(F.lit(0.2), E.nernst_slope(t_col, z_col), F.lit(0.15)).alias("a"))),
+    lambda s, d: rounded(line(s, d).select(*keys(), E.nernst_slope(t_col(), z_col()).alias("slope"), E.potential(F.lit(0.2), E.nernst_slope(t_col(), z_col()), F.col("l_discount")).alias("e"), E.activity(F.lit(0.2), E.nernst_slope(t_col(), z_col()), F.lit(0.15)).alias("a"))),
     f"SELECT {L}, round({SLOPE}, 6) AS slope, round(CASE WHEN l_discount > 0 THEN 0.2 + {SLOPE} * log10(l_discount) END, 6) AS e, round(power(10.0, (0.15 - 0.2) / {SLOPE}), 6) AS a FROM lineitem",
 )
 register(
     "j_activity_models",
-    lambda s, d: rounded(line(s, d).select(*KEYS, E.davies(z_col, F.col("l_tax")).alias("davies"), E.debye_huckel(z_col, F.col("l_tax"), F.lit(0.3)).alias("debye"))),
+    lambda s, d: rounded(line(s, d).select(*keys(), E.davies(z_col(), F.col("l_tax")).alias("davies"), E.debye_huckel(z_col(), F.col("l_tax"), F.lit(0.3)).alias("debye"))),
     f"SELECT {L}, round(power(10.0, -0.509 * {Z_} * {Z_} * (sqrt(l_tax) / (1 + sqrt(l_tax)) - 0.3 * l_tax)), 6) AS davies, round(power(10.0, -0.509 * {Z_} * {Z_} * sqrt(l_tax) / (1 + 3.29 * 0.3 * sqrt(l_tax))), 6) AS debye FROM lineitem",
 )
 register(
     "j_selectivity",
-    lambda s, d: rounded(line(s, d).select(*KEYS, E.effective_activity(F.col("l_discount") + 0.01, z_col, F.array(F.struct(F.lit(1e-2).alias("k"), (F.col("l_tax") + 0.01).alias("a"), F.lit(1.0).alias("z")), F.struct(F.lit(1e-3).alias("k"), F.lit(0.1).alias("a"), F.lit(2.0).alias("z")))).alias("effective"))),
+    lambda s, d: rounded(line(s, d).select(*keys(), E.effective_activity(F.col("l_discount") + 0.01, z_col(), F.array(F.struct(F.lit(1e-2).alias("k"), (F.col("l_tax") + 0.01).alias("a"), F.lit(1.0).alias("z")), F.struct(F.lit(1e-3).alias("k"), F.lit(0.1).alias("a"), F.lit(2.0).alias("z")))).alias("effective"))),
     f"SELECT {L}, round(l_discount + 0.01 + 1e-2 * power(l_tax + 0.01, {Z_} / 1.0) + 1e-3 * power(0.1, {Z_} / 2.0), 6) AS effective FROM lineitem",
 )
 UNIT = "(CASE l_linenumber % 4 WHEN 0 THEN 'mV' WHEN 1 THEN 'C' WHEN 2 THEN 'min' ELSE 'furlong' END)"
-unit_col = F.when(F.col("l_linenumber") % 4 == 0, "mV").when(F.col("l_linenumber") % 4 == 1, "C").when(F.col("l_linenumber") % 4 == 2, "min").otherwise("furlong")
 register(
     "j_units",
-    lambda s, d: rounded(line(s, d).select(*KEYS, unit_col.alias("unit"), E.to_base(F.col("l_quantity"), unit_col).alias("base"))),
+    lambda s, d: rounded(line(s, d).select(*keys(), unit_col().alias("unit"), E.to_base(F.col("l_quantity"), unit_col()).alias("base"))),
     f"SELECT {L}, {UNIT} AS unit, round(CASE l_linenumber % 4 WHEN 0 THEN l_quantity * 1e-3 WHEN 1 THEN l_quantity + 273.15 WHEN 2 THEN l_quantity * 60 END, 6) AS base FROM lineitem",
 )
 register(
     "j_state_transforms",
-    lambda s, d: rounded(line(s, d).select(*KEYS, F.when(F.col("l_discount") > 0, F.log10("l_discount")).alias("log10"), E.logistic(F.col("l_tax"), 0.0, 5.0).alias("bounded"), E.logit(F.col("l_discount"), 0.0, 0.1).alias("unbounded"), E.stepped_z(F.col("l_discount") * 10).alias("z"))),
+    lambda s, d: rounded(line(s, d).select(*keys(), F.when(F.col("l_discount") > 0, F.log10("l_discount")).alias("log10"), E.logistic(F.col("l_tax"), 0.0, 5.0).alias("bounded"), E.logit(F.col("l_discount"), 0.0, 0.1).alias("unbounded"), E.stepped_z(F.col("l_discount") * 10).alias("z"))),
     f"SELECT {L}, round(CASE WHEN l_discount > 0 THEN log10(l_discount) END, 6) AS log10, round(0.0 + 5.0 / (1 + exp(-l_tax)), 6) AS bounded, round(CASE WHEN l_discount > 0 AND l_discount < 0.1 THEN ln((l_discount - 0.0) / (0.1 - l_discount)) END, 6) AS unbounded, round(CASE WHEN l_discount * 10 >= 0.99 THEN 2.576 WHEN l_discount * 10 >= 0.95 THEN 1.96 ELSE 1.645 END, 6) AS z FROM lineitem",
 )
 register(
     "d28_ionic_strength",
-    lambda s, d: rounded(line(s, d).groupBy(F.col("l_orderkey").alias("solution")).agg((0.5 * F.sum(F.col("l_quantity") / 1000 * z_col * z_col)).alias("ionic_strength"))),
+    lambda s, d: rounded(line(s, d).groupBy(F.col("l_orderkey").alias("solution")).agg((0.5 * F.sum(F.col("l_quantity") / 1000 * z_col() * z_col())).alias("ionic_strength"))),
     f"SELECT l_orderkey AS solution, round(0.5 * sum(l_quantity / 1000 * {Z_} * {Z_}), 6) AS ionic_strength FROM lineitem GROUP BY l_orderkey",
 )
