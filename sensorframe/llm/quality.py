@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import table, written
+from sensorframe.llm._common import bitmap, in_bitmap, table, written
 from sensorframe.llm._grams import ngrams, word_hashes
 
 BUCKETS = 1 << 17  # n-grams are counted by hash in so many buckets: the size of both models, whatever the input
@@ -29,33 +29,45 @@ def features(raw: bytes) -> np.ndarray:
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
-    """Counts (3, BUCKETS) of all documents and of the target ones in each fold, from columns text, target and fold."""
+    """Counts (2, BUCKETS) of the documents of each fold, from columns text and fold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((3, BUCKETS), np.int64)
+        n = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for t, target, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = np.bincount(features(t.as_buffer().to_pybytes()), minlength=BUCKETS)
-                n[0] += own
-                if target:
-                    n[1 + fold] += own
-        at = np.flatnonzero(n[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(row[at]) for row in n)], ["bucket", "raw", "t0", "t1"])
-
-    rows = docs.select("text", "target", "fold").mapInArrow(count, "bucket bigint, raw bigint, t0 bigint, t1 bigint")
-    rows = rows.groupBy("bucket").agg(F.sum("raw"), F.sum("t0"), F.sum("t1")).toArrow()  # at most BUCKETS rows
-    n = np.zeros((3, BUCKETS))
-    n[:, rows.column(0).to_numpy()] = np.stack([rows.column(i).to_numpy() for i in (1, 2, 3)])
+            for t, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                n[fold] += np.bincount(features(t.as_buffer().to_pybytes()), minlength=BUCKETS)
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(row[at]) for row in n)], ["bucket", "n0", "n1"])
+
+    rows = docs.select("text", "fold").mapInArrow(count, "bucket bigint, n0 bigint, n1 bigint")
+    rows = rows.groupBy("bucket").agg(F.sum("n0"), F.sum("n1")).toArrow()  # at most BUCKETS rows
+    n = np.zeros((2, BUCKETS))
+    n[:, rows.column(0).to_numpy()] = np.stack([rows.column(i).to_numpy() for i in (1, 2)])
     return n
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
+def _labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (id, text, fold) whose id is in ``ids``. A bitmap of fixed size drops most others in their tasks, so that few
+    texts move to the join."""
+    wanted = bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array(in_bitmap(wanted, batch.column(3).to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["id", "text", "fold"]).filter(at)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    some = docs.select("id", "text", "fold", F.xxhash64("id").alias("h")).mapInArrow(keep, f"id {kind}, text binary, fold int")
+    return some.hint("merge").join(ids.select("id"), "id")
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of target over raw probability of each bucket, (2, BUCKETS): for documents of one fold from the target documents of the
     other, so that no document is weighed by its own label. Both models get the same prior of ``SMOOTHING`` raw occurrences."""
-    raw, out = counts[0], np.zeros((2, counts.shape[1]))
-    for fold, target in enumerate((counts[2], counts[1])):
-        if target.sum():
-            out[fold] = np.log((target * (raw.sum() / target.sum()) + SMOOTHING) / (raw + SMOOTHING))
+    raw, out = raw.sum(0), np.zeros((2, raw.shape[1]))
+    for fold, own in enumerate((target[1], target[0])):
+        if own.sum():
+            out[fold] = np.log((own * (raw.sum() / own.sum()) + SMOOTHING) / (raw + SMOOTHING))
     return out.astype(np.float32)
 
 
@@ -127,7 +139,8 @@ def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, doc_id
     good = labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id"))
     good = good.agg(((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("target"), (F.min("quality") == 1).alias("fine"))
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), _fold(F.col(doc_id)).alias("fold"))
-    ratios = log_ratios(_counts(own.join(good, "id", "left")))
+    good = written(good, "labels")
+    ratios = log_ratios(_counts(own), _counts(_labelled(own, good.where("target"))))
     weighed = written(weigh(docs, ratios, doc_id, text, seed), "weights")
     if k is None:
         cut = best_cut(weighed, good, doc_id)
