@@ -5,7 +5,8 @@ shingle among the first n - ceil(0.8 n) + 1 of each (the prefix). Documents with
 groups, not documents, are joined. Candidate pairs are expanded to members and verified on whole sets.
 
 Near copies by the thousand must not become all their pairs, so links are found in two steps. First every group is compared
-with the leaders of the shingles that it shares (as many comparisons as rows) and components are formed. Then all pairs that
+with two leaders of each shingle that it shares (at most twice as many comparisons as rows) and components are formed, some times
+over where many groups meet. Then all pairs that
 share a prefix shingle and still lie in different components are compared. A pair inside one component can add nothing to the
 result; every other candidate pair is verified: no link between different texts is lost.
 """
@@ -20,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import join_counted, table, written
+from sensorframe.llm._common import bitmap, in_bitmap, join_counted, table, written
 from sensorframe.llm._grams import ngrams, word_hashes
 from sensorframe.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
-SKETCH = 1 << 14  # buckets of the shingle counts; fixed, whatever the input
+SKETCH_BITS = 20  # shingles are counted in 2^20 buckets, whatever the input
+SLICES = 64
+TURNS = 2  # rounds of the first step; the second step completes it whatever their number
+CROWD = 16  # rounds after the first are for shingles that more groups share than this
 
 
 def shingle_set(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -35,41 +39,46 @@ def shingle_set(raw: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(50)).astype(np.int64)
-
-
-def _signed(hashes: np.ndarray) -> np.ndarray:
-    return hashes.view(np.int64)
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _ids_and_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
 
-def _levels(texts: DataFrame, words: int) -> np.ndarray:
-    """How far each bucket of shingles is above the mean count, in eighths of a doubling: the order puts high levels last.
+def _counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many documents' shingles fall into each bucket, over all documents: the global order puts full buckets last.
 
-    All documents are counted. The sketch has a fixed size, so what the tasks send and the driver gets does not grow.
+    The sketch has a fixed size. Tasks send it in slices, which are added up as they stream in.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SKETCH, np.int64)
+        n = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                n += np.bincount(_bucket(shingle_set(t.as_buffer().to_pybytes(), words)), minlength=SKETCH)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+                np.add.at(n, _bucket(shingle_set(t.as_buffer().to_pybytes(), words)), 1)
+        width = next(w for w in (1, 2, 4, 8) if n.max() < 256**w)
+        parts = n.astype(f"<u{width}").reshape(SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([width] * SLICES, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "width", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, width, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(n, f"<u{width}").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n.tobytes() for n in total.values()], pa.binary())], ["slice", "n"])
 
-    counts = texts.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(SKETCH)
-    for bucket, k in counts:
-        n[bucket] = k
-    return np.floor(8 * np.log2(np.maximum(n / max(n.mean(), 1e-9), 1))).astype(np.int64)
+    parts = texts.select("text").mapInArrow(count, "slice int, width int, n binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, n binary")
+    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
+    for k, n in parts.collect():
+        out[k] = np.frombuffer(n, np.int64)
+    # a fine logarithmic scale in two bytes, to send with each task
+    return np.floor(1500 * np.log2(out.reshape(-1) + 1)).clip(0, 65535).astype(np.uint16)
 
 
 def _described(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row: id, n (set size), whole (digest of the set), g (hash of size and prefix), prefix (hashes in the global order)."""
-    levels = _levels(texts, words)
+    full = _counts(texts, words)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +86,11 @@ def _described(texts: DataFrame, words: int, percent: int) -> DataFrame:
             for t in batch.column(1):
                 s = shingle_set(t.as_buffer().to_pybytes(), words)
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                p = s[np.argsort(levels[_bucket(s)], kind="stable")[:keep]]
+                p = s[np.argsort(full[_bucket(s)], kind="stable")[:keep]]
                 sizes.append(len(s))
                 whole.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 group.append(int.from_bytes(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
-                prefix.append(_signed(p))
+                prefix.append(p.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
                 ["id", "n", "whole", "g", "prefix"],
@@ -90,29 +99,37 @@ def _described(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(describe, "id bigint, n bigint, whole binary, g bigint, prefix array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of set ids those that are alike on whole sets."""
-    left = sets.select(F.col("low").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("low").alias("b"), F.col("shingles").alias("sb"))
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the written pairs (a, b) of ids those that are alike on whole sets. Only the texts of compared documents move: the
+    others are dropped in their tasks, by a bitmap of fixed size, before the joins."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array(in_bitmap(wanted, batch.column(2).to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "text"]).filter(at)
+
+    some = texts.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(compared, "id bigint, text binary")
+    left, right = some.toDF("a", "ta").hint("merge"), some.toDF("b", "tb").hint("merge")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
             yes = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
+                x, y = (shingle_set(batch.column(c)[i].as_buffer().to_pybytes(), words) for c in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 yes.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Returns (doc_id, n_shingles, component_id), a row per row of ``docs``.
 
     A null text is empty; an empty set (n_shingles 0) links with nothing. A null id stays a row of its own with a null
-    component. Rows that repeat an id have one component each by their texts. Other columns are not read. An empty table gives
+    component. Rows that repeat an id are told the components of their own texts, which link by any text of that id. Other columns are not read. An empty table gives
     an empty result. Sets are compared by 64-bit shingle hashes.
     """
     texts = _ids_and_texts(docs, doc_id, text)
@@ -121,37 +138,49 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sets = written(sets, "sets")  # one row per different set; low stands for it
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
 
-    # groups: same prefix and size
-    tokens = rows.where("n > 0 AND id IS NOT NULL").groupBy("g", "n").agg(F.first("prefix").alias("prefix"))
-    tokens = tokens.select("g", "n", F.posexplode("prefix").alias("pos", "t"))
-    shared = tokens.groupBy("t").agg(F.min(F.struct("g", "n")).alias("lo"), F.max(F.struct("g", "n")).alias("hi"), F.count("*").alias("rows")).where("lo.g <> hi.g")
+    # shingles in the prefixes of two groups or more; a group is all rows of one size and prefix
+    prefixes = rows.where("n > 0 AND id IS NOT NULL").select("g", "n", "prefix")
+    shared = prefixes.select("g", F.explode("prefix").alias("t")).groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("t")
     shared = written(shared, "shared-shingles")
-    tokens = written(join_counted(tokens, shared, ["t"], "rows", F.col("g")), "shared-prefixes")
+    maybe = bitmap(shared, "t")
 
-    # first step: each group with its leaders, and the members of a group with theirs
-    leads = F.explode(F.array("lo", "hi")).alias("lead")
-    stars = tokens.select("g", "n", leads).select("g", "n", F.col("lead.g").alias("g2"), F.col("lead.n").alias("n2")).where(f"g <> g2 AND {fits}").select("g", "g2").distinct()
+    def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = np.asarray(lists.flatten())
+            at = np.flatnonzero(in_bitmap(maybe, flat.view(np.uint64)))
+            edges = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            row = np.searchsorted(edges, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((at - edges[row]).astype(np.int32)), pa.array(flat[at])], ["g", "n", "pos", "t"])
+
+    tokens = prefixes.mapInArrow(keep_shared, "g bigint, n bigint, pos int, t bigint").distinct()
+    tokens = written(tokens.join(shared, "t"), "shared-prefixes")
     heads = sets.groupBy("g").agg(F.min("low").alias("head"), F.count("*").alias("members"))
-    stars = stars.join(heads.select("g", F.col("head").alias("a")), "g").join(heads.select(F.col("g").alias("g2"), F.col("head").alias("b")), "g2").select("a", "b")
+    heads = written(heads, "groups")
     inside = sets.join(heads.where("members > 1"), "g").where("low <> head").select(F.col("head").alias("a"), F.col("low").alias("b"))
-    first = stars.union(inside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = written(first, "first-pairs")
-
-    # the shingles of all sets that a later step may compare
-    asked = tokens.select("g").union(heads.where("members > 1").select("g")).distinct()
-    asked = sets.join(asked, "g", "left_semi").select("low", "whole")
-    asked_texts = texts.join(asked.select(F.col("low").alias("id"), "whole"), "id")
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_sets = [shingle_set(t.as_buffer().to_pybytes(), words).tobytes() for t in batch.column(1)]
-            same = [hashlib.blake2b(s, digest_size=16).digest() == w.as_py() for s, w in zip(all_sets, batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_sets, pa.binary())], ["low", "shingles"]).filter(pa.array(same, pa.bool_()))
-
-    spelt = written(asked_texts.select("id", "text", "whole").mapInArrow(spelled, "low bigint, shingles binary"), "shingle-sets")
 
-    links = written(_verified(first, spelt, percent), "first-links")
-    found = written(connected_components(links.toDF("u", "v")), "first-components")
+    # first step: each group with two leaders of each shingle that it shares, and the members of a group with theirs
+    found, links, first = None, None, None
+    for turn in range(TURNS):
+        placed = tokens.join(heads.select("g", "head"), "g")
+        if found is None:
+            placed = placed.withColumn("c", F.col("head"))
+        else:  # again with other leaders where many groups meet and are still apart
+            placed = placed.join(found.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("c", F.coalesce("component", "head")).drop("component")
+        # the group in which a shingle comes earliest has the fewest rarer ones, so it is the likest to all the others
+        early = F.col("pos") if turn == 0 else F.lit(0)
+        lead = F.struct(early.alias("early"), F.xxhash64("g", F.lit(turn)).alias("h"), F.col("n").alias("n2"), F.col("head").alias("head2"), F.col("c").alias("c2"))
+        leaders = placed.withColumn("_h", F.xxhash64("g", F.lit(turn))).groupBy("t").agg(F.min(lead).alias("lo"), F.max_by(lead, "_h").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("rows")).where(f"c0 <> c1 AND rows > {CROWD if turn else 0}").drop("c0", "c1")
+        led = join_counted(placed, written(leaders, "leaders"), ["t"], "rows", F.col("g"))
+        pairs = led.select("n", "c", "head", F.explode(F.array("lo", "hi")).alias("lead")).select("n", "c", "head", "lead.n2", "lead.head2", "lead.c2")
+        pairs = pairs.where(f"c <> c2 AND head <> head2 AND {fits}").select(F.col("head").alias("a"), F.col("head2").alias("b"))
+        pairs = (pairs if turn else pairs.union(inside)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs if first is None else pairs.join(first, ["a", "b"], "left_anti"), "first-pairs")
+        new = written(_verified(pairs, texts, words, percent), "first-links")
+        first, links = (pairs, new) if first is None else (first.union(pairs), links.union(new))
+        if turn and new.isEmpty():
+            break
+        found = written(connected_components(links.toDF("u", "v")), "first-components")
 
     # second step: what shares a prefix shingle and is still apart
     members = sets.select("g", "n", "low").join(found.withColumnRenamed("node", "low"), "low", "left")
@@ -170,8 +199,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     within = members.join(torn, "g")
     within = within.select("g", F.col("low").alias("a"), F.col("c").alias("ca")).join(within.select("g", F.col("low").alias("b"), F.col("c").alias("cb")), "g")
     pairs = pairs.union(within.where("a < b AND ca <> cb").select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(first, ["a", "b"], "left_anti")
-    more = written(_verified(pairs, spelt, percent), "more-links")
+    pairs = written(pairs.join(first, ["a", "b"], "left_anti"), "second-pairs")
+    more = written(_verified(pairs, texts, words, percent), "more-links")
     if not more.isEmpty():
         found = connected_components(links.union(more).toDF("u", "v"))
 
