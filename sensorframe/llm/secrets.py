@@ -85,15 +85,18 @@ def _automaton() -> ahocorasick.Automaton:
     return words
 
 
-def _hex_starts(raw: bytes) -> np.ndarray:
-    """Starts of the runs that may be long enough: a run of 24 holds at least six consecutive probes, four bytes apart."""
+def _hex_stretches(raw: bytes) -> np.ndarray:
+    """Ranges (start, end) that hold all runs that are long enough, each run whole: a run of 24 holds at least six consecutive
+    probes, four bytes apart, and goes on for less than four bytes before and after its probes. Between the probes of a range
+    there may be other bytes, so it can hold short runs and several long ones."""
     hit = _HEX[np.frombuffer(raw, np.uint8)[_HEX_STEP - 1 :: _HEX_STEP]]
     need = _HEX_RUN // _HEX_STEP
     if len(hit) < need:
-        return np.empty(0, int)
+        return np.empty((0, 2), int)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     first, after = edge[::2], edge[1::2]
-    return first[after - first >= need] * _HEX_STEP + _HEX_STEP - 1
+    long = after - first >= need
+    return np.stack((first[long] * _HEX_STEP, after[long] * _HEX_STEP + _HEX_STEP - 1), 1)
 
 
 def scan_text(raw: bytes, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
@@ -105,15 +108,8 @@ def scan_text(raw: bytes, words: ahocorasick.Automaton) -> list[tuple[str, int,
             free[kind] = found.end()
             if _valid(kind, found):
                 spans.append((kind, at, found.end()))
-    for probe in _hex_starts(raw):
-        if probe >= free["hex"]:
-            at = int(probe)
-            while at and _HEX[raw[at - 1]]:
-                at -= 1
-            found = _HEX_MATCH.match(raw, at)
-            free["hex"] = found.end()
-            if found.end() - at >= _HEX_RUN:
-                spans.append(("hex", at, found.end()))
+    for start, end in _hex_stretches(raw).tolist():
+        spans += [("hex", m.start(), m.end()) for m in _HEX_MATCH.finditer(raw, start, end) if m.end() - m.start() >= _HEX_RUN]
     if spans and not raw.isascii():
         point = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
         spans = [(kind, int(point[a]) - 1, int(point[b - 1])) for kind, a, b in spans]

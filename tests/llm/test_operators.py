@@ -93,6 +93,19 @@ def test_secret_checksums():
             assert [s[0] for s in secrets.scan_text(b"z" * shift + b"a" * n + b"z", words)] == ["hex"] * (n >= 24)
 
 
+def test_hex_runs_after_any_prefix():
+    words = secrets._automaton()
+    assert secrets.scan_text(b"zzza" + b"z" + b"0" * 24 + b"z", words) == [("hex", 5, 29)]
+    rng = np.random.default_rng(5)
+    texts = [f"{'z' * shift}{name}: {'0f' * (n // 2)}" for shift in range(8) for name in ("md5", "sha256") for n in (22, 24, 32, 64)]
+    for _ in range(5000):
+        parts = [("".join(rng.choice(list("abc019 :=z"), rng.integers(0, 40))), "".join(rng.choice(list("0a9f"), rng.integers(18, 40)))) for _ in range(rng.integers(1, 4))]
+        texts.append("".join(a + b for a, b in parts) + "z" * int(rng.integers(0, 5)))
+    for t in texts:
+        got = [s for s in secrets.scan_text(t.encode(), words) if s[0] == "hex"]
+        assert got == [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24], t
+
+
 def test_chat_format(spark, stored):
     rows = {r.conv_id: r for r in chat_format.op3_chat_format(spark, stored).collect()}
     said = "x\n"
