@@ -340,6 +340,18 @@ def test_quality(spark, stored):
     assert quality.op10_quality_classifier(spark, stored).columns == ["doc_id", "log_weight", "key"]
 
 
+def test_quality_leaves_toxic_documents_out(spark):
+    rng = np.random.default_rng(8)
+    good, bad, toxic = ([f"{kind}{i}" for i in range(n)] for kind, n in (("good", 80), ("bad", 80), ("toxic", 3)))
+    hurts = lambda i: i % 4 > 0 and i % 5 == 0
+    rows = [(i, " ".join([*rng.choice(good if i % 4 else bad, 60), *rng.choice(toxic, 2 * hurts(i))])) for i in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(hurts(i))) for i in range(0, 1200, 3)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality.resample(table, labels).collect()}
+    clean = {i for i in range(1200) if i % 4 and not hurts(i)}
+    assert len(kept & clean) > 0.9 * len(clean) and len(kept - clean) < 10
+
+
 def test_kth_largest(spark, monkeypatch):
     monkeypatch.setattr(quality, "EXACT_AT", 50)
     rng = np.random.default_rng(7)
