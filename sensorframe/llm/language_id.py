@@ -23,7 +23,8 @@ PER_LANGUAGE = 800  # labelled rows that training reads of each language, expect
 WINDOWS_PER_TEXT = 16
 STEPS, LANES, RATE = 220, 512, 0.03
 RUN = 2048  # windows that are read side by side
-LEAST = 0.3  # a document whose best language has less is rejected by a filter
+LEAST = 0.3  # a document whose best language has less is rejected by a filter, where too few rows tell a better limit
+LOWEST, TELLING = 0.005, 100  # the limit is what this share of labelled rows that training never read stay under, of so many at least
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -244,6 +245,25 @@ def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: floa
     return docs.mapInArrow(keep, docs.schema)
 
 
+def least_score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> float:
+    """The score that all but a share ``LOWEST`` of the held-out labelled rows reach: those of the model's languages that have a
+    letter, ``per_language`` of each in expectation, taken by hash. It follows the number of languages and how well they part. A
+    model of fewer than two languages gives every text the same score, so its limit is 0; with fewer than ``TELLING`` rows it is
+    ``LEAST``."""
+    if len(model.languages) < 2:
+        return 0.0
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    own = own.where(F.col("lang").isin(model.languages) & is_held_out(F.col("id")))
+    rates = [(r[0], min(1.0, per_language / r[1])) for r in own.groupBy("lang").count().collect()]  # a row per language
+    if not rates:
+        return LEAST
+    share = F.element_at(F.create_map(*(F.lit(v) for pair in rates for v in pair)), F.col("lang"))
+    own = own.where(F.pmod(F.xxhash64(F.lit("least"), "id"), F.lit(1 << 30)) / (1 << 30) < share)
+    known = predict_languages(own, model, doc_id="id").where(F.col("lang_pred") != UNKNOWN)
+    n, least = known.agg(F.count("*"), F.percentile("score", F.lit(LOWEST))).first()
+    return LEAST if n < TELLING else least - 1e-6  # sums differ in the last digits with the texts read side by side
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = predict_languages(docs, train_on(docs))

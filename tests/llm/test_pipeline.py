@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from sensorframe.llm._common import table
 
@@ -20,3 +22,14 @@ def test_empty_table(spark, stored, tmp_path):
     table(spark, stored, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     table(spark, stored, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_junk_and_an_unlearned_language(spark):
+    words = {"en": "the of and to in that with for was hand", "de": "der und die nicht ein schule über auch"}
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(words[g].split(), 40)), g) for i in range(800) for g in (("en", "de")[i % 2],)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)), None) for i in range(40)]
+    rows += [(2000 + i, " ".join(rng.choice("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan".split(), 40)), None) for i in range(40)]
+    kept = [r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()]
+    own, junk, other = (sum(lo <= i < lo + 1000 for i in kept) for lo in (0, 1000, 2000))
+    assert own > 780 and junk < 4 and other < 4
