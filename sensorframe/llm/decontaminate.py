@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -7,15 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorframe.llm._common import bitmap, in_bitmap, table, written
 from sensorframe.llm._grams import ngrams, word_hashes
 
 SEED = 3  # words of a seed
-NEIGHBOURS = 3  # a seed is compared with its neighbours in the item, up to this many in a row
-RARE = 8  # and used unless it is over this many times as frequent as one of each such row: what is left out is common wording
 LEAST_WORDS = 5  # shorter items can't be told from chance and are never matched
 THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -82,8 +79,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     or items the result is empty.
 
     One pass over the texts finds, through a bitmap of fixed size, the words around possible seeds; what passes is joined with
-    the benchmark's seeds by Spark. How rare a seed is counts over all documents and only chooses among neighbouring seeds of one
-    item: a passage that thousands of documents share is still found in each.
+    the benchmark's seeds by Spark. All items that share a seed with a passage are aligned with it, so what is found in one document
+    does not depend on the others.
     """
     seeds = written(_seeds(items, item_id, item_text), "seeds")
     bits = bitmap(seeds, "seed")
@@ -116,14 +113,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     hits = only.mapInArrow(passages, f"doc {kind}, version bigint, first bigint, around array<bigint>, seeds array<bigint>")
     hits = written(hits, "passages")
     each = hits.select("doc", "version", "first", F.explode("seeds").alias("seed"))
-    # documents per seed; a passage names a seed once, so this counts passages, which orders seeds as well
-    counts = each.groupBy("seed").agg(F.count("*").alias("n"))
-    near = W.partitionBy("item").orderBy("at")
-    # seeds that no document has are no rows here; each row of neighbours keeps its rarest and all that are about as rare
-    ranked = seeds.select("item", "at", "seed").join(counts, "seed")
-    ranked = ranked.withColumn("low", F.min("n").over(near.rangeBetween(0, NEIGHBOURS - 1)))
-    rare = ranked.withColumn("low", F.max("low").over(near.rangeBetween(1 - NEIGHBOURS, 0))).where(F.col("n") <= RARE * F.col("low")).select("item", "seed").distinct()
-    pairs = each.join(rare, "seed").select("doc", "version", "first", "item").distinct()
+    # every seed counts, however common: an edited copy may have left no other one whole
+    pairs = each.join(seeds.select("item", "seed").distinct(), "seed").select("doc", "version", "first", "item").distinct()
     texts = seeds.select("item", "words").dropDuplicates(["item", "words"])
     pairs = pairs.join(hits.drop("seeds"), ["doc", "version", "first"]).join(texts, "item")
 

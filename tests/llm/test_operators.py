@@ -326,6 +326,15 @@ def test_decontamination(spark, docs, empty, stored):
     assert decontaminate.contaminated(empty, bench).count() == 0 == decontaminate.contaminated(table, bench.limit(0)).count()
 
 
+def test_decontamination_by_common_wording(spark):
+    copy = [(0, "a b c X e f X h i X k l")]
+    common = [(1 + i, f"n{i} a b c m{i}") for i in range(60)]
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id bigint, text string")
+    rare = [(100, "u b c d v"), (101, "u c d e v")]
+    found = decontaminate.contaminated(spark.createDataFrame(copy + common + rare, "doc_id bigint, text string"), bench).collect()
+    assert [r.doc_id for r in found] == [0]
+
+
 def test_quality(spark, stored):
     rng = np.random.default_rng(6)
     good, bad = [f"good{i}" for i in range(80)], [f"bad{i}" for i in range(80)]
