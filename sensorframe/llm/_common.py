@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,22 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = slots(hashes)
     return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+#: Bytes of text that a task turns into Python and numpy values at a time.
+PIECE_BYTES = 2 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``PIECE_BYTES`` in column ``text`` (string or binary), one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(text)
+        ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32)
+        ends = ends[column.offset : column.offset + batch.num_rows + 1].astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            after = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE_BYTES, "right")) - 1)
+            yield batch.slice(at, after - at)
+            at = after

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 1 << 20  # texts are hashed in blocks of about this many bytes, cut between words
+_BLOCK = 1 << 18  # texts are hashed in blocks of about this many bytes, cut between words
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -258,8 +258,9 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_of_chains(spark):
-    """Families of edited copies whose ends are unlike, with a passage that all share."""
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_near_duplicates_of_chains(spark, crowd):
+    """Families of edited copies whose ends are unlike, with a passage that all share, and short texts that share all but a word."""
     rng = np.random.default_rng(5)
     common = [f"c{i}" for i in range(30)]
     rows = []
@@ -269,7 +270,9 @@ def test_near_duplicates_of_chains(spark):
             rows.append((len(rows), " ".join(base + common)))
             base[rng.integers(0, 120)] = f"e{len(rows)}"
             base[rng.integers(0, 120)] = f"g{len(rows)}"
-    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(20):  # sets of 4 and 5, of 9 with one other, and of one shingle
+        rows += [(len(rows), " ".join(common[i : i + 8 + i % 2])), (len(rows) + 1, " ".join([*common[:13], f"z{i % 3}", *common[14 : 14 + i % 7]])), (len(rows) + 2, f"one {i % 4}")]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), crowd=crowd).collect()}
     assert got == brute_components(rows)
 
 
