@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,14 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with a caller's columns of these names renamed, so that an operator can use the names, and what renames them back."""
+    moved = {c: c + "_of_caller" for c in df.columns if c in names}
+    while set(moved.values()) & set(df.columns):
+        moved = {c: m + "_" for c, m in moved.items()}
+    return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({m: c for c, m in moved.items()})
+
+
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: Column, salts: int = 64) -> DataFrame:
     """Inner join of ``left`` with the unique-key table ``right`` whose hot keys are salted.
 
@@ -40,11 +48,12 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     over ``salts`` partitions.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
+    left, back = set_aside(left, "_salt", "_salts")
     hot = right.where(F.col(count) > max(1, total // HOT)).select(*keys, F.lit(salts).alias("_salts"))
     left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(spread, F.lit(salts)).cast("int")))
     many = F.when(F.col(count) > max(1, total // HOT), salts).otherwise(1)
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1)))
-    return left.drop("_salts").join(right, [*keys, "_salt"]).drop("_salt")
+    return back(left.drop("_salts").join(right, [*keys, "_salt"]).drop("_salt"))
 
 
 #: Bits of a bitmap by which tasks drop what a later join would drop; the size is fixed, whatever the input.
@@ -71,6 +80,18 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
+#: Bytes of rows that go to a Python worker at a time, instead of Spark's 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on an Arrow batch from Spark's default to ``BATCH_BYTES``: long texts would else take hundreds of
+    MB of an executor outside its heap. A limit that the session has set itself stays."""
+    if spark.conf.get(_BATCH_CONF) == f"{64 << 20}b":
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 #: Bytes of text that a task turns into Python and numpy values at a time.
 PIECE_BYTES = 2 << 20
 

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import bitmap, in_bitmap, table, written
+from sensorframe.llm._common import bitmap, in_bitmap, join_counted, pieces, small_batches, table, written
 from sensorframe.llm._grams import ngrams, word_hashes
 
 SEED = 3  # words of a seed
 LEAST_WORDS = 5  # shorter items can't be told from chance and are never matched
 THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
-PAIRS = 128
+CELLS = 1 << 20  # of a row of the table, over all pairs that are aligned side by side
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
@@ -70,6 +70,18 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best / (MATCH * np.array([max(1, len(x)) for x in items])), end
 
 
+def _side_by_side(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs by the length of their passages, as many together as fill ``CELLS`` when all are as long as the longest."""
+    size = np.diff(np.asarray(batch.column(3).offsets))
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        most = np.arange(1, len(order) - at + 1) * size[order[at:]]
+        n = max(1, int(np.searchsorted(most, CELLS, "right")))
+        yield batch.take(pa.array(order[at : at + n]))
+        at += n
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, end_word): document and item pairs whose best alignment scores ``threshold`` or more of a whole
     match; ``end_word`` is the document's word (from 0) where that passage ends.
@@ -82,6 +94,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     the benchmark's seeds by Spark. All items that share a seed with a passage are aligned with it, so what is found in one document
     does not depend on the others.
     """
+    small_batches(docs.sparkSession)
     seeds = written(_seeds(items, item_id, item_text), "seeds")
     bits = bitmap(seeds, "seed")
     longest = seeds.agg(F.max(F.size("words"))).first()[0] or 0
@@ -89,7 +102,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     kind = only.schema["doc"].dataType.simpleString()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             of, first, around, found = [], [], [], []
             for i, t in enumerate(batch.column(2)):
                 words = words_of(t.as_buffer().to_pybytes())
@@ -114,14 +127,16 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     hits = written(hits, "passages")
     each = hits.select("doc", "version", "first", F.explode("seeds").alias("seed"))
     # every seed counts, however common: an edited copy may have left no other one whole
-    pairs = each.join(seeds.select("item", "seed").distinct(), "seed").select("doc", "version", "first", "item").distinct()
-    texts = seeds.select("item", "words").dropDuplicates(["item", "words"])
-    pairs = pairs.join(hits.drop("seeds"), ["doc", "version", "first"]).join(texts, "item")
+    held = seeds.select("item", "seed").distinct().join(each.groupBy("seed").agg(F.count("*").alias("n")), "seed")
+    pairs = join_counted(each, written(held, "held-seeds"), ["seed"], "n", F.col("version")).select("doc", "version", "first", "item").distinct()
+    pairs = written(pairs, "passage-pairs")
+    texts = seeds.select("item", "words").dropDuplicates(["item", "words"]).join(pairs.groupBy("item").agg(F.count("*").alias("n")), "item")
+    pairs = pairs.join(hits.drop("seeds"), ["doc", "version", "first"])
+    pairs = join_counted(pairs, written(texts, "item-texts"), ["item"], "n", F.col("version"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, PAIRS):
-                part = batch.slice(i, PAIRS)
+            for part in _side_by_side(batch):
                 got, end = align(*([np.asarray(v.values).view(np.uint64) for v in part.column(c)] for c in (4, 3)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got), pa.array(end + part.column(2).to_numpy())], ["doc", "item", "score", "end_word"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import table
+from sensorframe.llm._common import set_aside, table
 
 WORDS = 5
 BINS = 256  # a power of two; the top bits of a hash name its bin
@@ -40,7 +40,11 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     element after each mark is the bin's smallest hash, or the next mark where the bin is empty. An empty bin takes the value
     of the first filled one in its own order of all bins: a few hashed probes, then the rest by smallest hash of (bin, other);
     it is hashed with the bin, so that one value lent to many bins does not agree with another by chance in all of them.
+
+    A null text is as an empty one. A text of any length is one array of hashes. Repeated rows each keep theirs; an empty table
+    stays empty; other columns are kept as they are, whatever their names, but for one named ``out``, which is replaced.
     """
+    df, back = set_aside(df, *{"_words", "_hashes", "_sorted", "_bins", "_full", "_low"} - {text, out})
     df = _shingles(df, text, "_hashes")
     marks = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft(b.cast("bigint"), 56))
     df = df.withColumn("_sorted", F.sort_array(F.concat("_hashes", marks, F.array(F.lit((1 << 63) - 1)))))
@@ -60,7 +64,7 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         lambda n: F.aggregate(F.slice(F.col("_low"), n * _PER_LONG + 1, F.lit(_PER_LONG)), F.lit(0).cast("bigint"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v)),
     )
     df = df.withColumn(out, F.when(F.col("_low").isNull(), F.array().cast("array<bigint>")).otherwise(packed))
-    return df.drop("_hashes", "_sorted", "_bins", "_full", "_low")
+    return back(df.drop("_hashes", "_sorted", "_bins", "_full", "_low"))
 
 
 def as_text(packed: Column) -> Column:
@@ -91,8 +95,10 @@ def with_next(df: DataFrame, order: str, tie: str, carry: list[str], derive: Cal
 
     A global order without one task for all rows: cut points from approximate quantiles of ``order`` deal the rows into as many
     ranges as there are shuffle partitions, each range looks ahead by itself, and the first row of each range, one per range,
-    completes the one before. The cut points are literals, so a lost task is recomputed the same way.
+    completes the one before. The cut points are literals, so a lost task is recomputed the same way. Rows of one id, null ids among
+    them, are in one range: what follows a row is defined by an order of all rows. An empty table stays empty.
     """
+    df, back = set_aside(df, "_range", "_last", "_no", *(f"next_{c}" for c in carry), *(f"_head_{c}" for c in carry))
     spark = df.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(df.where(F.col(order).isNotNull()).stat.approxQuantile(order, [i / parts for i in range(1, parts)], 1 / (8 * parts))))
@@ -110,7 +116,7 @@ def with_next(df: DataFrame, order: str, tie: str, carry: list[str], derive: Cal
     heads = heads.select("_range", *(F.coalesce(F.lead(f"_head_{c}").over(ring), F.first(f"_head_{c}").over(ring)).alias(f"_head_{c}") for c in carry))
     ahead = ahead.join(heads, "_range", "left")
     done = {n: F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(n)) for c, n in names.items()}
-    return ahead.withColumns(done).drop("_range", "_last", *(f"_head_{c}" for c in carry))
+    return back(ahead.withColumns(done).drop("_range", "_last", *(f"_head_{c}" for c in carry)))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -120,7 +126,8 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows each give a row; ties of doc_id follow the order of their texts."""
+    """Repeated rows each give a row; ties of doc_id follow the order of their texts. A null text is empty, an empty text has no
+    fingerprint and a null id comes last; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = with_next(docs, "doc_id", "text", ["text", "fp"], lambda d: fingerprint(d, "text", "fp"))
     docs = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited"), "fp", "next_fp")

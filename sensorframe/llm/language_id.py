@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import table
+from sensorframe.llm._common import pieces, small_batches, table
 
 WINDOW = 64
 HIDDEN = 8
@@ -48,9 +48,10 @@ def read_windows(model: Model, x: np.ndarray, valid: np.ndarray | None = None, k
     and ``keep`` gathers what backpropagation needs."""
     steps, lanes = x.shape
     size = model.state.shape[2]
-    states = np.empty((2, size, steps, lanes), np.float32)
-    h = np.zeros((2, size, lanes), np.float32)
-    gates = np.empty((2, 3 * size, lanes), np.float32)
+    kind = model.state.dtype
+    states = np.empty((2, size, steps, lanes), kind)
+    h = np.zeros((2, size, lanes), kind)
+    gates = np.empty((2, 3 * size, lanes), kind)
     for t in range(steps):
         at = (t, steps - 1 - t)
         for d in (0, 1):
@@ -93,6 +94,47 @@ def _distribution(model: Model, states: np.ndarray) -> tuple[np.ndarray, np.ndar
     return scores, label
 
 
+def loss(model: Model, x: np.ndarray, valid: np.ndarray, y: np.ndarray) -> float:
+    """Mean cross-entropy of the valid positions of windows ``x`` (steps, lanes), all of which have their lane's target ``y``."""
+    p, _ = _distribution(model, read_windows(model, x, valid))
+    return float(-(np.log(p[y, :, np.arange(len(y))].T) * valid).sum() / valid.sum())
+
+
+def gradients(model: Model, x: np.ndarray, valid: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Derivatives of ``loss`` for inputs, state, out and bias, by backpropagation through time."""
+    h, k, steps = model.state.shape[2], len(model.languages), len(x)
+    kept: list = []
+    states = read_windows(model, x, valid, kept)
+    wrong, _ = _distribution(model, states)
+    wrong[y, :, np.arange(len(y))] -= 1
+    wrong *= valid / valid.sum()
+    flat = wrong.reshape(k, -1)
+    grads = [np.zeros_like(w) for w in (model.inputs, model.state, model.out, model.bias)]
+    grads[2] = flat @ states.reshape(2 * h, -1).T
+    grads[3] = flat.sum(1, keepdims=True)
+    from_out = (model.out.T @ flat).reshape(2, h, *x.shape)
+    into = np.empty((2, 3 * h, *x.shape), model.state.dtype)
+    later = np.zeros((2, h, x.shape[1]), model.state.dtype)
+    for t in reversed(range(steps)):
+        before, z, r, n, an = kept[t]
+        at = (t, steps - 1 - t)
+        dh = later + np.stack([from_out[d, :, at[d]] for d in (0, 1)])
+        alive = np.stack([valid[at[d]] for d in (0, 1)])[:, None]
+        dh *= alive
+        dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
+        dz = dh * (before - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+        dr = dn * an * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+        da = np.concatenate((dz, dr, dn * r), 1)
+        grads[1] += np.matmul(da, before.transpose(0, 2, 1))
+        later = np.matmul(model.state.transpose(0, 2, 1), da) + dh * z
+        for d in (0, 1):
+            into[d, :, at[d]] = np.concatenate((dz[d], dr[d], dn[d]))
+    for d in (0, 1):
+        for j in range(3 * h):
+            grads[0][d, j] = np.bincount(x.ravel(), into[d, j].ravel(), 256)
+    return grads
+
+
 def train(windows: list[bytes], languages: list[str], seed: int = 7) -> Model:
     """Fits the network by backpropagation through time with Adam. Every position of a window has its text's language as target."""
     names = sorted(set(languages))
@@ -114,34 +156,7 @@ def train(windows: list[bytes], languages: list[str], seed: int = 7) -> Model:
     for step in range(1, STEPS + 1):
         pick = np.concatenate([rng.choice(of[i], LANES // k) for i in range(k)])
         x, valid, y = x_all[pick].T.copy(), v_all[pick].T.copy(), y_all[pick]
-        kept: list = []
-        states = read_windows(model, x, valid, kept)
-        wrong, _ = _distribution(model, states)
-        wrong[y, :, np.arange(len(y))] -= 1
-        wrong *= valid / valid.sum()
-        flat = wrong.reshape(k, -1)
-        grads = [np.zeros_like(w) for w in weights]
-        grads[2] = flat @ states.reshape(2 * h, -1).T
-        grads[3] = flat.sum(1, keepdims=True)
-        from_out = (model.out.T @ flat).reshape(2, h, *x.shape)
-        into = np.empty((2, 3 * h, *x.shape), np.float32)
-        later = np.zeros((2, h, x.shape[1]), np.float32)
-        for t in reversed(range(WINDOW)):
-            before, z, r, n, an = kept[t]
-            at = (t, WINDOW - 1 - t)
-            dh = later + np.stack([from_out[d, :, at[d]] for d in (0, 1)])
-            dh *= np.stack([valid[at[d]] for d in (0, 1)])[:, None]
-            dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
-            dz = dh * (before - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-            dr = dn * an * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
-            da = np.concatenate((dz, dr, dn * r), 1)
-            grads[1] += np.matmul(da, before.transpose(0, 2, 1))
-            later = np.matmul(model.state.transpose(0, 2, 1), da) + dh * z
-            for d in (0, 1):
-                into[d, :, at[d]] = np.concatenate((dz[d], dr[d], dn[d]))
-        for d in (0, 1):
-            for j in range(3 * h):
-                grads[0][d, j] = np.bincount(x.ravel(), into[d, j].ravel(), 256)
+        grads = gradients(model, x, valid, y)
         rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
         for w, g, m, v in zip(weights, grads, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -210,12 +225,13 @@ def predict_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
     A text that is null or has no letter is ``und`` with score 0. A null id stays null; repeated rows each give a row; other
     columns are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     only = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = only.schema["_id"].dataType.simpleString()
     names = model.languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = [t.as_py() for t in batch.column(1)]
             mean, labels = score_texts(model, [t.encode().lower() for t in texts])
             best = mean.argmax(1) if names else np.zeros(len(texts), int)
@@ -234,10 +250,11 @@ def predict_languages(docs: DataFrame, model: Model, *, doc_id: str = "doc_id",
 def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is not ``und`` and scores ``least`` or more. A model without
     languages keeps every text that has a letter."""
+    small_batches(docs.sparkSession)
     at, names = docs.columns.index(text), model.languages
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = [t.as_py() or "" for t in batch.column(at)]
             score = score_texts(model, [t.encode().lower() for t in texts])[0].max(1) if names else np.ones(len(texts))
             yield batch.filter(pa.array([s >= least and _LETTER.search(t) is not None for s, t in zip(score, texts, strict=True)], pa.bool_()))

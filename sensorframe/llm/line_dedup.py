@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import BLANKS, ascii_lower, hash128, join_counted, table, written
+from sensorframe.llm._common import BLANKS, ascii_lower, hash128, join_counted, set_aside, table, written
 
 
 def line_key(line: Column) -> Column:
@@ -23,6 +23,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Only (id, hash, position) rows are shuffled to count; hot lines are salted; the texts move once, to meet their dropped positions.
     """
+    docs, back = set_aside(docs, *{"_id", "_text", "_pos", "_line", "_key", "_gone", "_lines"} - {doc_id, text})
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     each = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(lines).alias("_pos", "_line")
@@ -46,7 +47,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     kept = kept.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = kept.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(F.col("_lines"), i)), "\n")))
-    return kept.drop("_id", "_text", "_gone", "_lines")
+    return back(kept.drop("_id", "_text", "_gone", "_lines"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import bitmap, in_bitmap, join_counted, pieces, table, written
+from sensorframe.llm._common import bitmap, in_bitmap, join_counted, pieces, small_batches, table, written
 from sensorframe.llm._grams import ngrams, word_hashes
 from sensorframe.llm.components import connected_components
 
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     component. Rows that repeat an id are told the components of their own texts, which link by any text of that id. Other columns are not read. An empty table gives
     an empty result. Sets are compared by 64-bit shingle hashes. ``crowd`` decides how candidates are found, not which links are.
     """
+    small_batches(docs.sparkSession)
     texts = _ids_and_texts(docs, doc_id, text)
     rows = written(_described(texts, words, percent), "prefixes")
     real = rows.where("n > 0 AND id IS NOT NULL")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import table, written
+from sensorframe.llm._common import small_batches, table, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -85,6 +85,7 @@ def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """Every document's ids and ``end_id``, cut into pieces of ``capacity``: (doc_id, piece, start, length, ids), ids as binary
     of little-endian unsigned 32-bit numbers. A null or empty text is ``end_id`` alone. A null id stays null; repeated rows each
     give their pieces; other columns are not read; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     only = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = only.schema["_id"].dataType.simpleString()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import bitmap, in_bitmap, table, written
+from sensorframe.llm._common import bitmap, in_bitmap, small_batches, table, written
 from sensorframe.llm._grams import ngrams, word_hashes
 
 BUCKETS = 1 << 17  # n-grams are counted by hash in so many buckets: the size of both models, whatever the input
@@ -191,6 +191,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, doc_id
     null id are weighed like others. Without good labels and without ``k``, and for an empty table, the result
     is empty.
     """
+    small_batches(docs.sparkSession)
     own = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min("quality").alias("q"), (F.max("toxic") != 0).alias("toxic"))
     hurts = F.coalesce("toxic", F.lit(False))
     own = own.select("id", "toxic", F.when(F.col("q").isNotNull() | hurts, F.coalesce(F.col("q") == 1, F.lit(False)) & ~hurts).alias("target"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import table
+from sensorframe.llm._common import small_batches, table
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -124,6 +124,7 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     stays null; repeated rows each give a row; other columns are not read; an empty table gives an empty result.
     Each text is scanned by itself: no shuffle, and memory is bounded by an Arrow batch.
     """
+    small_batches(docs.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     only = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     kind_of_id = only.schema["_id"].dataType.simpleString()

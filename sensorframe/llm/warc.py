@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
@@ -46,12 +47,14 @@ def _storage(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+_SIZED = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<H", 8)  # how a member with its size begins
+
+
 def _member(record: bytes) -> bytes:
     """One gzip member with its compressed size in an extra field, by which readers skip records they do not want."""
     packer = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = packer.compress(record) + packer.flush()
-    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, len(body), len(record) & 0xFFFFFFFF)
-    return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    return _SIZED + struct.pack("<Q", len(body)) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
 def _one_line(value: str) -> str:
@@ -78,10 +81,11 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files under hidden names; only a committed job gives them their names, so a lost or repeated task leaves nothing."""
+    """Each task writes files under hidden names of this job; a committed job gives those of its tasks their names and deletes the
+    others, so a lost or repeated task leaves nothing."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.job = path, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, base = _storage(self.path)
@@ -93,25 +97,29 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or out.tell() > ROLL_BYTES:
                     if out is not None:
                         out.close()
-                    paths.append(f"{base}/.{uuid.uuid4().hex}.warc.gz")
+                    paths.append(f"{base}/.{self.job}-{uuid.uuid4().hex}.warc.gz")
                     out = store.open_output_stream(paths[-1], compression=None)
                 out.write(_member(_record({n: batch.column(n)[i].as_py() for n in batch.schema.names})))
         if out is not None:
             out.close()
         return _Written(paths)
 
+    def _clear(self) -> None:
+        store, base = _storage(self.path)
+        for x in store.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            if x.is_file and x.base_name.startswith(f".{self.job}-"):
+                store.delete_file(x.path)
+
     def commit(self, messages: list) -> None:
         store, _ = _storage(self.path)
         for m in messages:
             for p in m.paths if m else ():
                 folder, _, name = p.rpartition("/")
                 store.move(p, f"{folder}/{name[1:]}")
+        self._clear()
 
     def abort(self, messages: list) -> None:
-        store, _ = _storage(self.path)
-        for m in messages:
-            for p in m.paths if m else ():
-                store.delete_file(p)
+        self._clear()
 
 
 @dataclass
@@ -139,7 +147,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         store, base = _storage(self.path)
         found = store.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
-        files = [x for x in found if x.is_file and x.base_name.endswith(".warc.gz") and x.base_name[0] not in "._"]
+        files = [x for x in found if x.is_file and x.base_name.endswith((".warc.gz", ".warc")) and x.base_name[0] not in "._"]
         return [_File(x.path) for x in sorted(files, key=lambda x: (-x.size, x.path))]
 
     def _passes(self, row: dict) -> bool:
@@ -162,42 +170,130 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def _records(self, f) -> Iterator[dict]:
+        """Members that tell their size are passed over when their header is not wanted. Other gzip members and bare records are
+        read on as one stream."""
         at, size, get = 0, f.size(), _Blocks(f).get
         while at < size:
-            packed, whole = struct.unpack("<II", get(at + 16, 8))
-            body, after = at + 24, at + 24 + packed
-            at = after + 8
-            taken = min(packed, HEAD_BYTES)
-            opened = zlib.decompressobj(-15)
-            start = opened.decompress(get(body, taken), HEAD_BYTES)
-
-            def more() -> bytes:
-                nonlocal taken
-                if opened.unconsumed_tail:
-                    return opened.decompress(opened.unconsumed_tail, HEAD_BYTES)
-                n = min(HEAD_BYTES, packed - taken)
-                taken += n
-                return opened.decompress(get(body + taken - n, n), HEAD_BYTES)
-
-            while b"\r\n\r\n" not in start and len(start) < whole:
-                start += more()
-            head, _, block = start.partition(b"\r\n\r\n")
-            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-            row = {n: fields.get(h) for n, h in HEADERS.items()}
-            row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
-            for n in ("record_id", "refers_to"):
-                row[n] = row[n] and row[n].strip("<>")
-            if not self._passes(row):
+            if get(at, len(_SIZED)) == _SIZED:
+                body = at + len(_SIZED) + 8
+                at = body + struct.unpack("<Q", get(body - 8, 8))[0]
+                stream = _Stream(get, body, at, zlib.decompressobj(-15))
+                at += 8
+                if row := self._record(stream, False):
+                    yield row
                 continue
-            while b"\r\n\r\n" not in block and len(block) < int(fields["Content-Length"]):
-                block += more()
-            http, _, payload = block.partition(b"\r\n\r\n")
-            row["payload_bytes"] = int(http.rpartition(b"Content-Length: ")[2])
-            row["payload"] = None
+            stream = _Stream(get, at, size, zlib.decompressobj(31) if get(at, 2) == b"\x1f\x8b" else None)
+            while stream.more():
+                if row := self._record(stream, True):
+                    yield row
+            return
+
+    def _record(self, stream: _Stream, to_end: bool) -> dict | None:
+        """The next record, or nothing where it is not wanted; ``to_end`` leaves the stream behind it."""
+        head = stream.until(b"\r\n\r\n").lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+        if not head[0].startswith("WARC/"):
+            raise ValueError(f"no archive record where one should begin: {head[0][:40]!r}")
+        fields = _fields(head[1:])
+        left = int(fields.get("content-length", 0))
+        row = {n: fields.get(h.lower()) for n, h in HEADERS.items()}
+        row["payload_digest"] = _hex_digest(row["payload_digest"])
+        for n in ("record_id", "refers_to"):
+            row[n] = row[n] and row[n].strip("<>")
+        wanted = self._passes(row)
+        if wanted:
+            row |= {"payload": None, "payload_bytes": left}
+            if left and fields.get("content-type", "").lower().startswith("application/http"):
+                http = stream.until(b"\r\n\r\n", left)
+                left -= len(http)
+                told = _fields(http.decode("latin-1").split("\r\n")[1:]).get("content-length", "")
+                # a revisit holds no payload; its length is the one that the kept head tells
+                row["payload_bytes"] = left if row["record_type"] != "revisit" else int(told) if told.isdigit() else None
             if self.with_payload and row["record_type"] != "revisit":
-                payload += opened.decompress(opened.unconsumed_tail + get(body + taken, packed - taken)) + opened.flush()
-                row["payload"] = payload[: row["payload_bytes"]]
-            yield row
+                row["payload"] = stream.take(left)
+                left = 0
+        if to_end:
+            stream.skip(left)
+            stream.blank()
+        return row if wanted else None
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header values by lower-case name; a repeated name keeps its first value."""
+    out: dict[str, str] = {}
+    for name, colon, value in (line.partition(":") for line in lines):
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _hex_digest(value: str | None) -> str | None:
+    """Bare lower-case hex of a digest that is told in hex or, as most archives do, in base 32."""
+    value = (value or "").partition(":")[2] or value or None
+    return base64.b32decode(value).hex() if value and len(value) == 32 and value.isalnum() and value.isupper() else value
+
+
+class _Stream:
+    """What stands between two places of a file, inflated piece by piece; gzip members that follow one another are one stream."""
+
+    def __init__(self, get, at: int, end: int, opened):
+        self.get, self.at, self.end, self.opened, self.held = get, at, end, opened, b""
+
+    def _next(self) -> bytes:
+        while True:
+            tail = self.opened.unconsumed_tail if self.opened else b""
+            raw = tail or self.get(self.at, min(HEAD_BYTES, self.end - self.at))
+            self.at += 0 if tail else len(raw)
+            if not raw or not self.opened:
+                return raw
+            out = self.opened.decompress(raw, 16 * HEAD_BYTES)
+            if self.opened.eof:
+                self.at -= len(self.opened.unused_data)
+                another = self.at < self.end and self.get(self.at, 2) == b"\x1f\x8b"
+                self.at = self.at if another else self.end
+                self.opened = zlib.decompressobj(31)
+            if out:
+                return out
+
+    def more(self) -> bool:
+        self.held = self.held or self._next()
+        return bool(self.held)
+
+    def until(self, mark: bytes, most: int | None = None) -> bytes:
+        """Up to and with ``mark``, past line ends that stand before it; all, or ``most`` bytes, where it does not come."""
+        parts = bytearray()
+        while most is None or len(parts) < most:
+            if not self.more():
+                break
+            parts += self.held
+            self.held = b""
+            skip = 0 if most is not None else len(parts) - len(parts.lstrip(b"\r\n"))
+            if (found := parts.find(mark, skip)) >= 0:
+                most = min(found + len(mark), len(parts) if most is None else most)
+                break
+        most = len(parts) if most is None else min(most, len(parts))
+        self.held = bytes(parts[most:])
+        return bytes(parts[:most])
+
+    def take(self, n: int) -> bytes:
+        parts = []
+        while n > 0 and self.more():
+            parts.append(self.held[:n])
+            self.held = self.held[n:]
+            n -= len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        while n > 0 and self.more():
+            past = min(n, len(self.held))
+            self.held = self.held[past:]
+            n -= past
+
+    def blank(self) -> None:
+        """Passes the line ends behind a record."""
+        while self.more():
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held:
+                return
 
 
 class _Blocks:
@@ -213,7 +309,8 @@ class _Blocks:
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)``; option ``payload`` = false leaves payloads undecoded."""
+    """``spark.read.format("warc").load(folder)``: the records of all ``.warc.gz`` and ``.warc`` files below. Option ``payload`` =
+    false leaves payloads undecoded. The payload of an HTTP record is what follows its HTTP head, of another record its block."""
 
     @classmethod
     def name(cls) -> str:
@@ -230,6 +327,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to the session and lets Spark push filters into Python sources, which it does not do by default."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
@@ -239,7 +337,7 @@ def records_of(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     response and the others revisit it; all smaller ones are responses.
 
     A null html is an empty payload, a null url leaves its header out, other columns are not read. Rows with a null page id
-    are responses. Repeated rows with one page id give one record each, all of one kind. Payloads never move by their digest:
+    are responses and are not shuffled. Repeated rows with one page id give one record each, all of one kind. Payloads never move by their digest:
     only (page id, digest) rows do, with hot digests salted, and payloads of revisits are not carried on.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
@@ -249,7 +347,8 @@ def records_of(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     groups = large.groupBy("_digest", "_bytes").agg(F.max("_id").alias("_keeper"), F.count("*").alias("_n")).where("_n > 1")
     copies = join_counted(large, written(groups, "equal-payloads"), ["_digest", "_bytes"], "_n", F.xxhash64("_id"))
     copies = copies.where("_id <> _keeper").select("_id", "_keeper").distinct()
-    each = each.join(copies, "_id", "left")
+    nameless = each.where(F.col("_id").isNull()).withColumn("_keeper", F.col("_id"))
+    each = each.where(F.col("_id").isNotNull()).join(copies, "_id", "left").unionByName(nameless)
     again = F.col("_keeper").isNotNull()
     return each.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),

@@ -1,5 +1,7 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -7,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sensorframe.llm import chat_format, decontaminate, fingerprints, language_id, line_dedup, near_duplicates, packing, quality, secrets, warc
@@ -58,6 +61,59 @@ def test_fingerprint_likeness_estimates_jaccard(spark):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def spark_hash(*values):
+    """The chained 64-bit hash of numpy ints of 4 or 8 bytes and of strings, as a signed number."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.tobytes(), h)
+    return int(np.uint64(h).astype(np.int64))
+
+
+def brute_fingerprint(text):
+    """A hexadecimal digit per bin, with one loop for everything."""
+    low = (text or "").lower()
+    words = [np.int64(spark_hash(w)) for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+    if not words:
+        return ""
+    grams = [spark_hash(*words[i : i + 5]) | 1 for i in range(len(words) - 4)] or [spark_hash(*words) | 1]
+    bins = [min((g for g in grams if g >> 56 == b), default=None) for b in range(-128, 128)]
+    out = ""
+    for b, value in enumerate(bins):
+        if value is None:
+            probes = [bins[spark_hash(np.int32(b), np.int32(t)) % 256] for t in range(fingerprints.PROBES)]
+            rest = [min((spark_hash(np.int32(j), np.int32(b)), v) for j, v in enumerate(bins) if v is not None)[1]]
+            value = spark_hash(np.int64(next(v for v in probes + rest if v is not None)), np.int32(b))
+        out += f"{value >> 1 & 15:x}"
+    return out
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    agree = sum(x == y for x, y in zip(a, b, strict=True)) / 256
+    return max(0.0, (agree - 1 / 16) / (15 / 16))
+
+
+def test_fingerprints_against_brute_force(spark, stored):
+    rows = sorted(((d, t or "") for d, t in ROWS), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter()
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        half = len(t) // 2
+        e = t[: len(t) - half] + after[:half]
+        f = [brute_fingerprint(x) for x in (t, e, after)]
+        want[(d, len(t), sha(e), f[0], f[1], round(brute_likeness(f[0], f[1]), 9), round(brute_likeness(f[0], f[2]), 9))] += 1
+    got = Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, fingerprints.op1_fingerprints(spark, stored).collect()))
+    assert got == want
+
+
+def test_columns_of_the_caller_stay(spark):
+    own = spark.createDataFrame([(1, "a line of some words\nb", 7, 8, 9, 10), (2, "a line of some words", 7, 8, 9, 10)], "doc_id int, text string, _bins int, _lines int, _id int, _salt int")
+    for out in (fingerprints.fingerprint(own, "text", "fp"), line_dedup.dedup_lines(own), fingerprints.with_next(own, "doc_id", "text", ["text"])):
+        assert {tuple(r) for r in out.select("_bins", "_lines", "_id", "_salt").collect()} == {(7, 8, 9, 10)}
+    assert line_dedup.dedup_lines(own).agg(F.sum("n_dropped")).first()[0] == 1
+
+
 def test_fingerprints_of_nothing(spark, empty):
     out = fingerprints.with_next(empty.select("doc_id", "text"), "doc_id", "text", ["text"])
     assert out.count() == 0
@@ -190,6 +246,46 @@ def test_warc_pushdown(spark, stored, tmp_path):
     assert warc.read_warc(spark, path, payload=False).where("payload IS NOT NULL").count() == 0
 
 
+def archive(rows, line="\r\n"):
+    """Records as other writers make them: bare, with odd cases of header names."""
+    out = []
+    for kind, name, digest, block, http in rows:
+        head = ["WARC/1.0", f"warc-type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-PAYLOAD-DIGEST: sha1:{digest}", f"content-length:{len(block)}"]
+        head += ["Content-Type: application/http; msgtype=response"] if http else []
+        out.append((line.join(head) + line * 2).encode() + block + b"\r\n\r\n")
+    return out
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\ncontent-length: 3\r\n\r\n" + b"x\r\n" * 40000
+    digest = base64.b32encode(hashlib.sha1(b"p").digest()).decode()
+    records = archive([("warcinfo", "urn:i", "-", b"software: x\r\n", False), ("response", "urn:a", digest, page, True), ("revisit", "urn:b", digest, b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n", True), ("resource", "urn:c", "00", b"", False)])
+    (tmp_path / "bare.warc").write_bytes(b"".join(records))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "mixed.warc.gz").write_bytes(warc._member(records[0]) + b"".join(map(gzip.compress, records[1:])))
+    got = Counter((r.record_type, r.record_id, r.payload_bytes, r.payload and bytes(r.payload), r.payload_digest) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    hexed = hashlib.sha1(b"p").hexdigest()
+    want = [("warcinfo", "urn:i", 13, b"software: x\r\n", "-"), ("response", "urn:a", 120000, b"x\r\n" * 40000, hexed), ("revisit", "urn:b", 9, None, hexed), ("resource", "urn:c", 0, b"", "00")]
+    assert got == Counter({(k, i, n, p, d): 4 for k, i, n, p, d in want})
+    assert warc.read_warc(spark, str(tmp_path), payload=False).where("record_id LIKE 'urn:a%' AND payload_bytes = 120000 AND payload IS NULL").count() == 4
+    (tmp_path / "bare.warc").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="no archive record"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_files_of_lost_tasks_go(tmp_path):
+    writer = warc.WarcWriter(str(tmp_path))
+    row = {"record_type": "response", "record_id": "urn:1", "target_uri": None, "date": "d", "payload_digest": "", "payload_bytes": 1, "refers_to": None, "payload": b"x"}
+    batch = [warc.pa.RecordBatch.from_pylist([row])]
+    writer.write(iter(batch))  # its message is lost
+    writer.commit([writer.write(iter(batch))])
+    assert [p.name[0] != "." for p in tmp_path.iterdir()] == [True]
+    writer.write(iter(batch))
+    writer.abort([None])
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_language_id(spark, docs, empty, stored):
     words = {"en": "the of and to in that with for was hand", "de": "der und die nicht ein schule über auch"}
     rng = np.random.default_rng(0)
@@ -212,12 +308,33 @@ def test_language_id(spark, docs, empty, stored):
 
 
 def test_gradient_of_the_network():
-    """Backpropagation against finite differences, by one step of training data."""
+    """Backpropagation against finite differences of the loss, on windows of different lengths."""
     rng = np.random.default_rng(1)
-    m = language_id.Model(["a", "b"], *(rng.normal(0, 0.5, s).astype(np.float64) for s in ((2, 24, 256), (2, 24, 8), (2, 16), (2, 1))))
-    x = rng.integers(97, 101, (6, 3)).astype(np.uint8)
+    m = language_id.Model(["a", "b", "c"], *(rng.normal(0, 0.5, s) for s in ((2, 24, 256), (2, 24, 8), (3, 16), (3, 1))))
+    x = rng.integers(97, 103, (7, 5)).astype(np.uint8)
+    valid = (np.arange(7)[:, None] < np.array([7, 7, 3, 1, 5])).astype(np.float64)
+    y = np.array([0, 1, 2, 0, 1])
     p, label = language_id._distribution(m, language_id.read_windows(m, x))
-    assert np.allclose(p.sum(0), 1, atol=1e-5) and (label.sum(0) == 1).all()
+    assert np.allclose(p.sum(0), 1, atol=1e-9) and (label.sum(0) == 1).all()
+    for w, g in zip((m.inputs, m.state, m.out, m.bias), language_id.gradients(m, x, valid, y), strict=True):
+        flat, got = w.reshape(-1), g.reshape(-1)
+        # bytes that do not occur have no gradient; of the others some entries
+        for i in rng.choice(np.flatnonzero(got), min(40, np.count_nonzero(got)), replace=False):
+            was, e = flat[i], 1e-6
+            flat[i] = was + e
+            up = language_id.loss(m, x, valid, y)
+            flat[i] = was - e
+            down = language_id.loss(m, x, valid, y)
+            flat[i] = was
+            assert abs((up - down) / (2 * e) - got[i]) < 1e-6
+
+
+def test_held_out_accuracy(spark):
+    """On rows of the given documents that training never reads."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = language_id.op6_language_id(spark, "/root/testdata/sf0.01").where("held_out AND lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL")
+    n, right = held.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 100 and right >= 0.97 * n
 
 
 def test_line_dedup(spark, docs, empty, stored):
