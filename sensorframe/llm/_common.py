@@ -56,19 +56,18 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return back(left.drop("_salts").join(right, [*keys, "_salt"]).drop("_salt"))
 
 
-#: Bits of a bitmap by which tasks drop what a later join would drop; the size is fixed, whatever the input.
-MAP_BITS = 24
-
-
-def slots(hashes: np.ndarray) -> np.ndarray:
-    """The bit of each unsigned 64-bit hash: its highest bits."""
-    return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+#: A bitmap of 2^MAP_BITS bits, by which tasks drop what a later join would drop; the size is fixed, whatever the input. Each hash
+#: sets two bits, its highest MAP_BITS bits and the next as many.
+MAP_BITS = 25
+_SHIFTS = (64 - MAP_BITS, 64 - 2 * MAP_BITS)
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     """A bitmap of the hashes (bigint) in a column, put together by Spark: at most 2^MAP_BITS / 64 words come to the driver."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - MAP_BITS)
-    words = hashes.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    slots = F.array(*(F.shiftrightunsigned(column, n).bitwiseAND(F.lit((1 << MAP_BITS) - 1)) for n in _SHIFTS))
+    slot = F.col("slot")
+    words = hashes.select(F.explode(slots).alias("slot"))
+    words = words.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
     words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
@@ -76,8 +75,12 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = slots(hashes)
-    return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+    """Whether each unsigned hash may be one of the bitmap's."""
+    found = np.ones(len(hashes), bool)
+    for n in _SHIFTS:
+        at = ((hashes >> np.uint64(n)) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+        found &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return found
 
 
 #: Bytes of rows that go to a Python worker at a time, instead of Spark's 64 MB.
