@@ -3,26 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def baseline(features: DataFrame, key: list[str]) -> DataFrame:
-    """Distribution of each feature over the baseline's records, with its sorted values."""
+    """Distribution of each feature over the baseline's records."""
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    b = features.groupBy(key).agg(F.count("value").alias("records"), F.avg("value").alias("b_mean"), F.stddev_samp("value").alias("b_sd"), q.alias("_q"), F.min("value").alias("b_min"), F.max("value").alias("b_max"), F.array_sort(F.collect_list("value")).alias("empirical"))
+    b = features.groupBy(key).agg(F.count("value").alias("records"), F.avg("value").alias("b_mean"), F.stddev_samp("value").alias("b_sd"), q.alias("_q"), F.min("value").alias("b_min"), F.max("value").alias("b_max"))
     mad = features.join(b.select(*key, F.col("_q")[1].alias("_m")), key).groupBy(key).agg(F.percentile(F.abs(F.col("value") - F.col("_m")), F.lit(0.5)).alias("b_mad"))
     return b.join(mad, key).select("*", F.col("_q")[0].alias("b_q1"), F.col("_q")[1].alias("b_median"), F.col("_q")[2].alias("b_q3")).drop("_q")
 
 
-def deviations(current: DataFrame, base: DataFrame, key: list[str], least_records: int = 3) -> DataFrame:
-    """Absolute, relative, log, z, robust z, empirical share and range position of each current value."""
-    d = current.join(F.broadcast(base), key)
+RANGES = 1024
+
+
+def empirical_share(current: DataFrame, reference: DataFrame, base: DataFrame, key: list[str]) -> DataFrame:
+    """Adds to (key, value) rows ``share``: the part of the reference values of the key that are at or below each.
+
+    Equal values are counted first. Between its least and largest one a key's values fall into ``RANGES`` ranges; running counts
+    are taken inside a range and over a key's ranges, so no task or cell holds all values of a key.
+    """
+    where = F.greatest(F.lit(-1), F.least(F.lit(RANGES), F.floor((F.col("value") - F.col("b_min")) / F.nullif(F.col("b_max") - F.col("b_min"), F.lit(0.0)) * RANGES)))
+    where = F.when(F.col("value") < F.col("b_min"), -1).when(F.col("value") >= F.col("b_max"), RANGES).otherwise(where).alias("_range")
+    counts = reference.where(F.col("value").isNotNull()).groupBy(*key, "value").agg(F.count("*").alias("_n"))
+    asked = current.select(*key, "value").where(F.col("value").isNotNull()).distinct().withColumn("_n", F.lit(0).cast("long"))
+    rows = counts.unionByName(asked).join(base.select(*key, "b_min", "b_max"), key).select(*key, "value", "_n", where)
+    per = rows.groupBy(*key, "_range").agg(F.sum("_n").alias("_in"))
+    before = per.select(*key, "_range", (F.sum("_in").over(W.partitionBy(key).orderBy("_range")) - F.col("_in")).alias("_before"), F.sum("_in").over(W.partitionBy(key)).alias("_all"))
+    run = F.sum("_n").over(W.partitionBy(*key, "_range").orderBy("value").rangeBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_run", run).join(before, [*key, "_range"]).groupBy(*key, "value").agg(F.max((F.col("_before") + F.col("_run")) / F.col("_all")).alias("share"))
+    return current.join(rows, [*key, "value"], "left")
+
+
+def deviations(current: DataFrame, reference: DataFrame, key: list[str], least_records: int = 3) -> DataFrame:
+    """Absolute, relative, log, z, robust z, empirical share and range position of each current value, against the distribution
+    of the reference values."""
+    base = baseline(reference, key)
+    d = empirical_share(current, reference, base, key).join(base, key)
     v, enough = F.col("value"), F.col("records") >= least_records
     return d.withColumns({
         "absolute": v - F.col("b_median"), "relative": F.when(F.col("b_median") != 0, (v - F.col("b_median")) / F.col("b_median")),
         "log_ratio": F.when((v > 0) & (F.col("b_median") > 0), F.log(v / F.col("b_median"))), "z": F.when(enough & (F.col("b_sd") > 0), (v - F.col("b_mean")) / F.col("b_sd")),
         "robust_z": F.when(enough & (F.col("b_mad") > 0), (v - F.col("b_median")) / (1.4826 * F.col("b_mad"))),
-        "share": F.size(F.filter("empirical", lambda x: x <= v)) / F.size("empirical"), "position": F.when(F.col("b_max") > F.col("b_min"), (v - F.col("b_min")) / (F.col("b_max") - F.col("b_min"))),
+        "position": F.when(F.col("b_max") > F.col("b_min"), (v - F.col("b_min")) / (F.col("b_max") - F.col("b_min"))),
     })
 
 

@@ -8,21 +8,70 @@ from pyspark.sql import functions as F
 from sensorframe.sources.storage import written
 
 
-def ancestors(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """(id, ancestor, depth) for every node with parents, by semi-naive rounds: each joins only the pairs of the last one.
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) for every node with parents, depth being the shortest. ``edges`` has child and parent.
 
-    ``edges`` has child and parent. A node that is its own ancestor lies on a cycle; ``limit`` rounds end a cyclic walk.
+    Rounds double the depth that is covered: pairs at exactly the last depth are joined with all pairs known so far, so a chain of n
+    takes log n rounds. The last round finds no pair at its full depth, which ends walks through cycles as well; a node that is its
+    own ancestor lies on a cycle.
     """
-    edges = edges.distinct()
-    step = written(edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
-    done = step
-    for depth in range(2, limit + 1):
-        step = step.alias("s").join(edges.alias("e"), F.col("s.ancestor") == F.col("e.child")).select("s.id", F.col("e.parent").alias("ancestor")).distinct()
-        step = written(step.join(done, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "ancestors")
-        if step.isEmpty():
-            break
-        done = done.unionByName(step)
-    return done
+    known = written(edges.distinct().select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
+    last, depth = known, 1
+    while not last.isEmpty():
+        on = F.col("l.ancestor") == F.col("k.id")
+        far = last.alias("l").join(known.alias("k"), on).groupBy("l.id", "k.ancestor").agg((F.min("k.depth") + depth).alias("depth"))
+        far = written(far.join(known, ["id", "ancestor"], "left_anti"), "ancestors")
+        known, depth = known.unionByName(far), 2 * depth
+        last = far.where(F.col("depth") == depth)
+    return known
+
+
+def independent_subset(items: DataFrame, dependent: DataFrame, key: list[str], exact: int = 20) -> DataFrame:
+    """The largest set of items without a dependent pair, of each group ``key``; of several the first in id order.
+
+    ``items`` has the key and id, ``dependent`` pairs a, b of ids in any order; pairs across groups do not count. Groups of more
+    than ``exact`` items, for which the search is exponential, take items in id order that depend on none taken before, in rounds
+    that decide all items at once whose smaller dependents are decided. Adds ``exact``: whether the set is surely the largest.
+    """
+    items = written(items.select(*key, "id").distinct(), "items")
+    both = dependent.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("other"))
+    both = both.union(both.select("other", "id")).distinct()
+    links = both.join(items, "id").join(items.select(*key, F.col("id").alias("other")), [*key, "other"])
+    sizes = items.groupBy(key).agg((F.count("*") <= exact).alias("exact"))
+    small = items.join(sizes.where("exact"), key).join(links.groupBy(*key, "id").agg(F.collect_set("other").alias("others")), [*key, "id"], "left")
+    ids = small.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("others", F.array().cast(small.schema["others"].dataType)).alias("others")))).alias("all"))
+    kind = items.schema["id"].dataType.simpleString()
+
+    @F.udf(f"array<{kind}>")
+    def largest(rows):
+        bit = {r.id: 1 << i for i, r in enumerate(rows)}
+        against = [sum(bit[o] for o in r.others) for r in rows]
+        best: list[int] = []
+
+        def grow(start: int, barred: int, taken: list[int]) -> None:
+            nonlocal best
+            if len(taken) > len(best):
+                best = list(taken)
+            for i in range(start, len(rows)):
+                if len(taken) + len(rows) - i <= len(best):
+                    return
+                if not barred >> i & 1:
+                    grow(i + 1, barred | against[i], [*taken, i])
+
+        grow(0, 0, [])
+        return [rows[i].id for i in best]
+
+    out = ids.select(*key, F.explode(largest("all")).alias("id"), F.lit(True).alias("exact"))
+    rest = written(items.join(sizes.where("NOT exact").select(key), key), "undecided")
+    big = written(links.join(rest, [*key, "id"], "left_semi"), "undecided-links")
+    while not rest.isEmpty():
+        waits = big.where("other < id").select(*key, "id").distinct()
+        taken = written(rest.join(waits, [*key, "id"], "left_anti"), "taken")
+        out = out.unionByName(taken.select(*key, "id", F.lit(False).alias("exact")))
+        barred = big.join(taken, [*key, "id"], "left_semi").select(*key, F.col("other").alias("id")).distinct()
+        rest = written(rest.join(taken.union(barred), [*key, "id"], "left_anti"), "undecided")
+        big = written(big.join(rest, [*key, "id"], "left_semi").join(rest.withColumnRenamed("id", "other"), [*key, "other"], "left_semi"), "undecided-links")
+    return out
 
 
 def independence(pairs: DataFrame, closure: DataFrame, family: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sensorframe.operators import assess
 from sensorframe.operators import estimation as T
 from sensorframe.operators import spectral as P
+
 from sensorframe.plans.common import Registry, rounded
 from sensorframe.plans.q_series import R
 from sensorframe.sources.views import SERIES, observations, readings
@@ -165,9 +167,10 @@ def _hysteresis(s, d):
 
 
 def daily(s, d):
-    """An evenly sampled series per channel: the mean of each six hours, in order."""
-    h = readings(s, d).groupBy("channel", F.floor((F.col("t_s") - 1704067200.0) / 21600).alias("i")).agg(F.avg("value").alias("value"))
-    return h
+    """An evenly sampled series per channel: the mean of each six hours, counted from the channel's first."""
+    h = readings(s, d).groupBy("channel", F.floor(F.col("t_s") / 21600).alias("i")).agg(F.avg("value").alias("value"))
+    first = h.groupBy("channel").agg(F.min("i").alias("first"))
+    return h.join(first, "channel").select("channel", (F.col("i") - F.col("first")).alias("i"), "value")
 
 
 def psd(s, d):
@@ -176,7 +179,7 @@ def psd(s, d):
 
 N = 16
 WIN = f"(0.5 - 0.5 * cos(2 * {math.pi!r} * k / {N - 1}))"
-PSD = R + f""", h AS (SELECT channel, CAST(floor((t_s - 1704067200.0) / 21600) AS BIGINT) AS i, avg(value) AS v FROM r GROUP BY ALL),
+PSD = R + f""", h0 AS (SELECT channel, CAST(floor(t_s / 21600) AS BIGINT) AS i, avg(value) AS v FROM r GROUP BY ALL), h AS (SELECT channel, i - min(i) OVER (PARTITION BY channel) AS i, v FROM h0),
  sg AS (SELECT channel, g, i - g * 8 AS k, v FROM (SELECT *, unnest([i // 8, i // 8 - 1]) AS g FROM h) WHERE g >= 0),
  ok AS (SELECT channel, g, avg(v) AS m FROM sg GROUP BY ALL HAVING count(*) = {N}), x AS (SELECT sg.channel, sg.g, k, (v - m) * {WIN} AS y FROM sg JOIN ok USING (channel, g)),
  ft AS (SELECT channel, g, bin, power(sum(y * cos(2 * {math.pi!r} * bin * k / {N})), 2) + power(sum(y * sin(2 * {math.pi!r} * bin * k / {N})), 2) AS a FROM x, (SELECT unnest(range(0, {N // 2 + 1})) AS bin) GROUP BY ALL),
@@ -221,6 +224,7 @@ def _issues(s, d):
 
 register(
     "a12_content_digest",
-    lambda s, d: readings(s, d).groupBy("sensor_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "channel", F.lpad(F.col("row_idx").cast("string"), 12, "0")))), ","), 256).alias("digest")),
-    R + " SELECT sensor_id, sha256(string_agg(channel || '|' || lpad(CAST(row_idx AS VARCHAR), 12, '0'), ',' ORDER BY channel || '|' || lpad(CAST(row_idx AS VARCHAR), 12, '0'))) AS digest FROM r GROUP BY sensor_id",
+    lambda s, d: assess.content_digest(readings(s, d), ["sensor_id"], "row_idx", ["channel", "t_s", "value"]),
+    R + """, c AS (SELECT sensor_id, row_idx % 64 AS chunk, lpad(CAST(row_idx AS VARCHAR), 19, '0') || '|' || channel || '|' || CAST(CAST(floor(t_s * 1e6 + 0.5) AS BIGINT) AS VARCHAR) || '|' || coalesce(CAST(CAST(floor(value * 1e6 + 0.5) AS BIGINT) AS VARCHAR), 'null') AS line FROM r),
+ k AS (SELECT sensor_id, chunk, sha256(string_agg(line, chr(10) ORDER BY line)) AS part FROM c GROUP BY ALL) SELECT sensor_id, sha256(string_agg(part, chr(10) ORDER BY chunk)) AS digest FROM k GROUP BY sensor_id""",
 )

@@ -35,7 +35,7 @@ def base(s, d):
 
 
 def scored(s, d):
-    return H.deviations(features(s, d).where("record % 2 = 1"), base(s, d), CF)
+    return H.deviations(features(s, d).where("record % 2 = 1"), features(s, d).where("record % 2 = 0"), CF)
 
 
 BS = FT + """, b0 AS (SELECT context, feature, count(value) AS records, avg(value) AS b_mean, stddev_samp(value) AS b_sd, quantile_cont(value, 0.25) AS b_q1, quantile_cont(value, 0.5) AS b_median, quantile_cont(value, 0.75) AS b_q3, min(value) AS b_min, max(value) AS b_max, list_sort(list(value)) AS empirical FROM f WHERE record % 2 = 0 GROUP BY ALL),
@@ -46,7 +46,7 @@ register("d32_features_long", lambda s, d: rounded(features(s, d), 5), FT + " SE
 register("a03_wide_and_long", lambda s, d: rounded(features(s, d).groupBy("record").pivot("feature", FEATURES).agg(F.first("value")), 5), FT + " SELECT record, round(mean, 5) AS mean, round(sd, 5) AS sd, round(rate, 5) AS rate, round(peak, 5) AS peak FROM w")
 register(
     "d29_baseline",
-    lambda s, d: rounded(base(s, d).drop("empirical"), 5),
+    lambda s, d: rounded(base(s, d), 5),
     BS + " SELECT context, feature, records, round(b_mean, 5) AS b_mean, round(b_sd, 5) AS b_sd, round(b_min, 5) AS b_min, round(b_max, 5) AS b_max, round(b_mad, 5) AS b_mad, round(b_q1, 5) AS b_q1, round(b_median, 5) AS b_median, round(b_q3, 5) AS b_q3 FROM b",
 )
 register(
@@ -69,11 +69,6 @@ register(
     lambda s, d: rounded(scored(s, d).select("record", "context", "feature", "value", "b_median"), 5),
     BS + " SELECT record, context, feature, round(value, 5) AS value, round(b_median, 5) AS b_median FROM dv",
 )
-register(
-    "i02_comparability",
-    lambda s, d: features(s, d).select("record", "context").distinct().select("record", F.when(F.col("context") == "soil", "matrix").when(F.col("record") % 7 == 0, "temperature").when(F.col("record") % 11 == 0, "design").otherwise("comparable").alias("class")),
-    FT + " SELECT record, CASE WHEN context = 'soil' THEN 'matrix' WHEN record % 7 = 0 THEN 'temperature' WHEN record % 11 = 0 THEN 'design' ELSE 'comparable' END AS class FROM w",
-)
 
 
 def conditions(s, d):
@@ -100,11 +95,6 @@ register(
     lambda s, d: scored(s, d).groupBy("record").agg(F.max(F.when((F.abs("robust_z") >= 3) | (F.abs("relative") >= 0.5), 1).otherwise(0)).alias("w")).select("record", F.when(F.col("w") == 1, "watch").otherwise("fine").alias("status")),
     BS + " SELECT record, CASE WHEN max(CASE WHEN abs(robust_z) >= 3 OR abs(relative) >= 0.5 THEN 1 ELSE 0 END) = 1 THEN 'watch' ELSE 'fine' END AS status FROM dv GROUP BY record",
 )
-register(
-    "i06_quality_gate",
-    lambda s, d: S.sampling_summary(readings(s, d), ["sensor_id"]).select("sensor_id", ((F.col("n") >= 60) & (F.col("missing_share") <= 0.2) & (F.col("dt_cv") < 1.1) & (F.col("duration") > 86400)).alias("passes")),
-    R + ", i AS (SELECT *, t_s - lag(t_s) OVER (PARTITION BY sensor_id ORDER BY t_s, row_idx) AS dt FROM r) SELECT sensor_id, count(*) >= 60 AND stddev_samp(dt) / avg(dt) < 1.1 AND max(t_s) - min(t_s) > 86400 AS passes FROM i GROUP BY sensor_id",
-)
 register(
     "i07_severity",
     lambda s, d: rounded(scored(s, d).withColumn("level", H.severity(F.abs("robust_z"), 1.0, 2.0, 3.0)).groupBy("record").agg(F.max("level").alias("worst"), F.max_by("feature", F.struct("level", "feature")).alias("by_feature"))),

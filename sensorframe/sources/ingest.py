@@ -100,7 +100,7 @@ def run_manifest(manifest: DataFrame, readings: DataFrame, record: str = "record
     """Readings of the manifest's records, and the records some of whose files are missing with those files: one job for all."""
     have = readings.select(file).distinct()
     gone = manifest.join(have, file, "left_anti").groupBy(record).agg(F.array_sort(F.collect_list(file)).alias("missing"))
-    return readings.join(F.broadcast(manifest), file).join(F.broadcast(gone.select(record)), record, "left_anti"), gone
+    return readings.join(manifest, file).join(gone.select(record), record, "left_anti"), gone
 
 
 def write_results(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -116,17 +116,25 @@ def scalar_filter(stream: DataFrame, key: list[str], q: float, r: float, confide
 
 
 def drop_late_duplicates(stream: DataFrame, key: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Identical repeated rows within the watermark are dropped; conflicting ones (same time, other value) pass on."""
+    """Identical repeated rows within the watermark are dropped; conflicting ones (same time, other value) pass on, to be parted by
+    ``operators.assess.part_conflicts``."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*key, "t_s", "value"])
 
 
 def latest_event(stream: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
-    """Each reading with the latest event of a static table at or before it: an equi join on day buckets of each event's reign."""
+    """Each reading with the latest event of a static table at or before it, as event_t and event_value; nulls before the first.
+
+    An event reigns until the next one: reigns that ended are met by equi joins on their day buckets, the last one of a key, which
+    never ends, by a join on the key alone.
+    """
     from pyspark.sql import Window as W
 
     day = 86400.0
-    e = events.withColumn("until", F.lead("t_s").over(W.partitionBy(key).orderBy("t_s")))
-    last = F.coalesce(F.col("until"), F.col("t_s") + 400 * day)
-    e = e.select(*key, F.col("t_s").alias("event_t"), F.col("value").alias("event_value"), last.alias("until"), F.explode(F.sequence(F.floor(F.col("t_s") / day), F.floor(last / day))).alias("_b"))
-    s = stream.withColumn("_b", F.floor(F.col("t_s") / day))
-    return s.join(e, [*key, "_b"]).where("t_s >= event_t AND t_s < until").drop("_b", "until")
+    e = events.select(*key, F.col("t_s").alias("_from"), F.col("value").alias("_value"), F.lead("t_s").over(W.partitionBy(key).orderBy("t_s")).alias("_until"))
+    past = e.where("_until > _from").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / day), F.floor(F.col("_until") / day))))
+    last = e.where("_until IS NULL").select(*key, F.struct("_from", "_value").alias("_last"))
+    s = stream.withColumn("_b", F.floor(F.col("t_s") / day)).alias("s")
+    on = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in [*key, "_b"]] + [F.col("s.t_s") >= F.col("_from"), F.col("s.t_s") < F.col("_until")]
+    s = s.join(past.alias("p"), on, "left").select("s.*", "_from", "_value").drop("_b").join(last, key, "left")
+    reigns = F.col("t_s") >= F.col("_last._from")
+    return s.withColumns({"event_t": F.when(reigns, F.col("_last._from")).otherwise(F.col("_from")), "event_value": F.when(reigns, F.col("_last._value")).otherwise(F.col("_value"))}).drop("_from", "_value", "_last")

@@ -37,7 +37,7 @@ def test_against_sql(spark, con, name):
 
 def test_rows_only_queries(spark):
     for name in sorted(set(registry.queries()) - set(registry.oracles())):
-        assert registry.queries()[name](spark, SF).columns
+        assert registry.queries()[name](spark, SF).count() > 0, name
 
 
 def test_flagship(spark):
