@@ -14,8 +14,9 @@ from sensorframe.sources.storage import fresh_path, shared_dir, written  # noqa:
 #: The six white-space characters that end words and surround lines.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A join key is hot when it holds over 1/HOT of the joined rows, so there are at most HOT such keys.
-HOT = 1000
+#: A join key is hot when it holds over 1/HOT of the joined rows, or over 1/(rows / HOT_ROWS) where these are so many that 1/HOT of
+#: them is too much for a task. There are at most as many hot keys, MOST_HOT at the utmost, which bounds their broadcast.
+HOT, HOT_ROWS, MOST_HOT = 1000, 1_000_000, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,19 +41,20 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFram
     return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({m: c for c, m in moved.items()})
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: Column, salts: int = 64) -> DataFrame:
-    """Inner join of ``left`` with the unique-key table ``right`` whose hot keys are salted.
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
+    """Inner join of ``left`` with the table ``right`` whose hot keys are salted.
 
-    ``right`` (a written table) tells in ``count`` how many rows of ``left`` have the key. Keys with more than 1/HOT of all
-    counted rows are hot; there are at most HOT of them, which bounds the broadcast. ``spread`` deals the rows of a hot key
-    over ``salts`` partitions.
+    ``right`` (a written table) tells in ``count`` how many rows of ``left`` have the key; it is small beside them. A hot key gets a
+    salt for each share of rows that makes a key hot, so it is dealt over about as many tasks as other keys with as many rows;
+    ``spread`` deals its rows.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
     left, back = set_aside(left, "_salt", "_salts")
-    hot = right.where(F.col(count) > max(1, total // HOT)).select(*keys, F.lit(salts).alias("_salts"))
-    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(spread, F.lit(salts)).cast("int")))
-    many = F.when(F.col(count) > max(1, total // HOT), salts).otherwise(1)
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1)))
+    total = right.agg(F.sum(count)).first()[0] or 0
+    share = max(1, total // min(MOST_HOT, max(HOT, total // HOT_ROWS)))
+    salts = F.ceil(F.col(count) / share).cast("int")
+    hot = right.where(F.col(count) > share).select(*keys, salts.alias("_salts")).distinct()
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(spread, F.col("_salts")).cast("int")))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > share, salts).otherwise(1) - 1)))
     return back(left.drop("_salts").join(right, [*keys, "_salt"]).drop("_salt"))
 
 
