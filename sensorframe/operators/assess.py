@@ -132,15 +132,20 @@ def predict_potential(inputs: DataFrame, models: DataFrame, key: list[str], acti
     return d.select(*inputs.columns, (F.col("e0") + F.col("slope") * x).alias("potential"), error.alias("potential_se"), _beyond(x).alias("distance"), reason.alias("reason"))
 
 
+DIGITS = 307  # powers of ten that a double holds
+
+
 def predict_activity(inputs: DataFrame, models: DataFrame, key: list[str], potential: str = "potential", z: float = 1.96) -> DataFrame:
-    """Adds activity, its interval (``z`` residual errors through the slope), distance beyond the calibrated range and a reason."""
+    """Adds activity and its interval (``z`` residual errors through the slope), their log10, the distance beyond the calibrated range
+    and a reason. An activity that no double holds is null (not_finite); its log10 stays."""
     d = inputs.join(models, key, "left")
     v = F.col(potential)
     x = F.when(F.col("slope") != 0, (v - F.col("e0")) / F.col("slope"))
     half = z * F.col("rmse") / F.abs("slope")
-    reason = F.when(F.col("slope").isNull(), "model").when(v.isNull() | F.isnan(v), "potential").when(x.isNull(), "slope").when(_beyond(x) > 0, "extrapolated")
-    ten = F.lit(10.0)
-    return d.select(*inputs.columns, F.pow(ten, x).alias("activity"), F.pow(ten, x - half).alias("activity_lower"), F.pow(ten, x + half).alias("activity_upper"), _beyond(x).alias("distance"), reason.alias("reason"))
+    reason = F.when(F.col("slope").isNull(), "model").when(v.isNull() | F.isnan(v), "potential").when(x.isNull(), "slope").when(F.abs(x) >= DIGITS, "not_finite").when(_beyond(x) > 0, "extrapolated")
+    ends = {"": x, "_lower": x - half, "_upper": x + half}
+    held = [F.when(F.abs(e) < DIGITS, F.pow(F.lit(10.0), e)).alias(f"activity{n}") for n, e in ends.items()]
+    return d.select(*inputs.columns, *held, *(e.alias(f"log10_activity{n}") for n, e in ends.items()), _beyond(x).alias("distance"), reason.alias("reason"))
 
 
 def component_levels(evidence: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -103,14 +103,16 @@ MODEL = """WITH ob AS (SELECT l_suppkey AS series, log10(l_quantity / 1000) AS x
 def fit_predict(s, d):
     fit, new = halves(s, d)
     out = A.predict_activity(new.select("series", "o", "l", F.col("y").alias("potential")), A.line_models(fit, ["series"]), ["series"])
-    return out.select("series", "o", "l", F.log10("activity").alias("lg"), F.log10("activity_lower").alias("lg_lower"), F.log10("activity_upper").alias("lg_upper"), "distance", "reason")
+    shown = [F.when(F.abs(f"log10_activity{n}") < A.DIGITS, F.col(f"log10_activity{n}")).alias(f"lg{n}") for n in ("", "_lower", "_upper")]
+    return out.select("series", "o", "l", *shown, F.when(F.abs("log10_activity") < A.DIGITS, F.col("distance")).alias("distance"), "reason")
 
 
 register(
     "l06_fit_and_predict",
-    lambda s, d: rounded(fit_predict(s, d).where("abs(lg) < 1e3"), 4),
+    lambda s, d: rounded(fit_predict(s, d), 4),
     MODEL + """, p AS (SELECT *, (y - e0) / slope AS lg, 1.96 * rmse / abs(slope) AS half FROM q), z AS (SELECT *, greatest(0, lo - lg, lg - hi) AS dist FROM p)
- SELECT series, o, l, round(lg, 4) AS lg, round(lg - half, 4) AS lg_lower, round(lg + half, 4) AS lg_upper, round(dist, 4) AS distance, CASE WHEN slope IS NULL THEN 'model' WHEN dist > 0 THEN 'extrapolated' END AS reason FROM z WHERE abs(lg) < 1e3""",
+ SELECT series, o, l, CASE WHEN abs(lg) < 307 THEN round(lg, 4) END AS lg, CASE WHEN abs(lg - half) < 307 THEN round(lg - half, 4) END AS lg_lower, CASE WHEN abs(lg + half) < 307 THEN round(lg + half, 4) END AS lg_upper, CASE WHEN abs(lg) < 307 THEN round(dist, 4) END AS distance,
+ CASE WHEN slope IS NULL THEN 'model' WHEN abs(lg) >= 307 THEN 'not_finite' WHEN dist > 0 THEN 'extrapolated' END AS reason FROM z""",
 )
 register(
     "j_predict_potential",
