@@ -37,7 +37,8 @@ class _Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer lower-cases, cuts a text into words, digits and runs of marks, and encodes each by itself; so repeated ones
-    are looked up. Two generations of at most ``CACHE_WORDS`` bound the memory. Texts that may hold a special string are not cut.
+    are looked up. Two generations of ``CACHE_WORDS`` words and those of one call bound the memory. Texts that may hold a special
+    string are not cut.
     """
 
     def __init__(self, path: str):
@@ -51,8 +52,6 @@ class _Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
         ask = []
         for word in new:
             if (ids := self.older.get(word)) is None:
@@ -72,12 +71,11 @@ class _Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [None if "<|" in t or (not t.isascii() and _OTHER.search(t)) else _CUT.findall(t.lower()) for t in texts]
+        if len(self.known) > CACHE_WORDS:  # only here, so what is learned below is all there when it is looked up
+            self.known, self.older = {}, self.known
         missing = set().union(*(w for w in words if w is not None)).difference(self.known)
         if missing:
-            before = len(self.known)
             self._learn(sorted(missing))
-            if len(self.known) < before:  # a new generation has begun
-                self._learn(sorted(set().union(*(w for w in words if w is not None)).difference(self.known)))
         return [self._whole(t) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
 
 
