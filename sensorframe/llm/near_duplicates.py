@@ -220,17 +220,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = written(connected_components(links.toDF("u", "v")), "first-components")
 
     def of_members() -> DataFrame:
-        out = sets.select("g", "n", "low").join(found.withColumnRenamed("node", "low"), "low", "left")
-        return out.select("g", "n", "low", F.coalesce("component", "low").alias("c"))
+        """Each set with its component so far; written, as the steps below read it several times."""
+        out = sets.select("g", "n", "low", "whole").join(found.withColumnRenamed("node", "low"), "low", "left")
+        return written(out.select("g", "n", "low", "whole", F.coalesce("component", "low").alias("c")), "members")
 
+    members = of_members()
     if crowded:  # again with other leaders where groups are still apart
-        apart = placed.join(of_members().groupBy("g").agg(F.min("c").alias("c")), "g")
+        apart = placed.join(members.groupBy("g").agg(F.min("c").alias("c")), "g")
         apart = apart.join(apart.groupBy("t").agg(F.min("c").alias("m0"), F.max("c").alias("m1")).where("m0 <> m1").select("t"), "t")
         if link(of_heads(_led(apart, 1).where(f"c <> c2 AND {fits}").select("g", "g2").distinct()), "again"):
             found = written(connected_components(links.toDF("u", "v")), "again-components")
+            members = of_members()
 
     # what may be alike and is still in different components: pairs of groups and pairs inside a group
-    members = of_members()
     spans = written(members.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")), "spans")
     other = spans.select(F.col("g").alias("g2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     torn = "NOT (c0 = c1 AND c0 = d0 AND d0 = d1)"
@@ -251,9 +253,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     within = within.select("g", F.col("low").alias("a"), F.col("c").alias("ca")).join(within.select("g", F.col("low").alias("b"), F.col("c").alias("cb")), "g")
     if link(last.union(within.where("a < b AND ca <> cb").select("a", "b")), "last"):
         found = connected_components(links.toDF("u", "v"))
+        members = of_members()
 
-    known = sets.select("whole", "low").join(found.withColumnRenamed("node", "low"), "low", "left").select("whole", F.coalesce("component", "low").alias("component"))
-    out = rows.select("id", "n", "whole").join(known, "whole", "left")
+    out = rows.select("id", "n", "whole").join(members.select("whole", F.col("c").alias("component")), "whole", "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
