@@ -86,7 +86,7 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of rows that go to a Python worker at a time, instead of Spark's 64 MB.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -98,7 +98,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 #: Bytes of text that a task turns into Python and numpy values at a time.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
