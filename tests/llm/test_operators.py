@@ -489,3 +489,15 @@ def test_kth_largest(spark, monkeypatch):
     for k in (1, 60, 1200, 1500, 3700):
         assert quality.kth_largest(df, "v", k) == np.sort(values)[::-1][k - 1]
     assert quality.kth_largest(df, "v", 3701) is None
+
+
+def test_encoder_with_more_new_words_than_it_remembers(monkeypatch):
+    """Calls that bring more new words than a generation holds, and words of an older one, encode as the tokenizer does."""
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    own, plain = packing._Encoder(path), Tokenizer.from_file(path)
+    for lo in (0, 7, 3, 20, 0):
+        text = " ".join(f"{a}{b}x" for a in "abcd" for b in "efghijkl"[lo % 5 :]) + " again"
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
