@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Vectored reads keep, outside the heap, a buffer as large as a whole column chunk for every thread that ever read one from a local or
+#: mounted file system. Plain reads take the chunk into the heap, where it is freed.
+PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where none is set, on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -27,4 +32,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
