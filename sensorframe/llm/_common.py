@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.sources.storage import fresh_path, shared_dir, written  # noqa: F401
+from sensorframe.sources.storage import PLAIN_READS, fresh_path, shared_dir, written  # noqa: F401
 
 #: The six white-space characters that end words and surround lines.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,7 +20,7 @@ HOT, HOT_ROWS, MOST_HOT = 1000, 1_000_000, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(text: Column) -> Column:
