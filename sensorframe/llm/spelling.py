@@ -15,6 +15,8 @@ from sensorframe.llm._common import HOT, ascii_lower, set_aside, small_batches,
 #: Letters that are a group each; all other characters fall into REST groups by their code point.
 FREQUENT, REST = "etaoinsrhdlu", 4
 GROUPS = len(FREQUENT) + REST
+#: So many queries to one part of the trie are no reason to salt it; so many are searched for at a time.
+LEAST_HOT, QUERIES_AT_ONCE = 100_000, 50_000
 #: A node of the trie with more words is split by the next group's count; there are at most MOST_NODES such nodes at each level, whatever
 #: the vocabulary, and they travel to each task.
 BUCKET, MOST_NODES = 4096, 20_000
@@ -99,6 +101,38 @@ def homes(vecs: np.ndarray, split: set[bytes]) -> list[bytes]:
     return out
 
 
+#: Words of up to so many code points are compared many pairs at a time, so many pairs.
+WIDTH, PAIRS = 32, 20_000
+
+
+def _points(words: list[str]) -> np.ndarray:
+    """(words, WIDTH) code points, 0 after a word's end; longer words are cut."""
+    return np.array(words, f"<U{WIDTH}").view(np.uint32).reshape(-1, WIDTH)
+
+
+def edits(queries: list[str], words: list[str], pairs: np.ndarray) -> np.ndarray:
+    """Those of the (query, word) numbers in ``pairs``, (n, 2), for which ``one_edit`` holds."""
+    q, w = (np.fromiter(map(len, x), np.int64, len(x)) for x in (queries, words))
+    ahead = w[pairs[:, 1]] - q[pairs[:, 0]]
+    pairs = pairs[(ahead == 0) | (ahead == 1)]
+    long = w[pairs[:, 1]] > WIDTH
+    kept = [np.array([p for p in pairs[long] if one_edit(queries[p[0]], words[p[1]])], np.int64).reshape(-1, 2)]
+    pairs = pairs[~long]
+    some, of_query = np.unique(pairs[:, 0], return_inverse=True)
+    a_points, b_points = _points([queries[i] for i in some]), _points(words)
+    for at in range(0, len(pairs), PAIRS):
+        part, a = pairs[at : at + PAIRS], a_points[of_query[at : at + PAIRS]]
+        b = b_points[part[:, 1]]
+        differ = a != b
+        first, row = differ.argmax(1), np.arange(len(a))
+        same_size = q[part[:, 0]] == w[part[:, 1]]
+        replaced = same_size & (differ.sum(1) == 1) & (a[row, first] < b[row, first])
+        moved = np.zeros_like(differ)
+        moved[:, :-1] = (a[:, :-1] != b[:, 1:]) & (np.arange(WIDTH - 1) >= first[:, None])
+        kept.append(part[replaced | (~same_size & ~moved.any(1))])
+    return np.concatenate(kept)
+
+
 class Trie:
     """Words arranged by successive letter-group counts, below a prefix of ``depth`` counts that they all share."""
 
@@ -107,46 +141,51 @@ class Trie:
         order = np.lexsort(vecs.T[::-1])
         self.vecs, self.words, self.depth = vecs[order], [words[i] for i in order], depth
 
-    def search(self, queries: list[str]) -> list[tuple[int, int]]:
-        """(query, word) numbers of all pairs of ``one_edit``: a depth-first search that takes all queries along, each with its own
-        surplus and deficit, and verifies the words of the leaves."""
-        vecs = vectors(queries)
-        total = vecs[:, : self.depth].astype(np.int64) - self.vecs[:1, : self.depth].astype(np.int64)
-        more, less = (-total).clip(0).sum(1), total.clip(0).sum(1)
+    def search(self, queries: list[str]) -> np.ndarray:
+        """(query, word) numbers of all pairs of ``one_edit``, (n, 2): a depth-first search that takes all queries along, each with its
+        own surplus and deficit; the words of the leaves that it comes to are verified."""
+        vecs, found = vectors(queries), [np.empty((0, 2), np.int64)]
+        ahead = self.vecs[:1, : self.depth].astype(np.int64) - vecs[:, : self.depth]
+        more, less = ahead.clip(0).sum(1), (-ahead).clip(0).sum(1)
         who = np.flatnonzero((more <= 1) & (less <= 1))
-        found: list[tuple[int, int]] = []
         if len(self.words) and len(who):
-            self._visit(0, len(self.words), self.depth, who, more[who] == 0, less[who] == 0, vecs, queries, found)
-        return found
-
-    def _visit(self, low, high, level, who, more, less, vecs, queries, found) -> None:
-        if level == GROUPS:
-            self._leaf(low, high, who, queries, found)
-        elif high - low <= FEW:
-            rest = self.vecs[low:high, level:].astype(np.int64)
-            for i in range(high - low):
-                ahead = rest[i] - vecs[who, level:]
-                ok = (ahead.clip(0).sum(1) <= more) & ((-ahead).clip(0).sum(1) <= less)
-                found.extend((int(q), low + i) for q in who[ok] if one_edit(queries[q], self.words[low + i]))
+            waiting, size = [], 0
+            for pairs in self._visit(0, len(self.words), self.depth, who, more[who] == 0, less[who] == 0, vecs, queries):
+                waiting.append(pairs)
+                size += len(pairs)
+                if size > 10 * PAIRS:
+                    found.append(edits(queries, self.words, np.concatenate(waiting)))
+                    waiting, size = [], 0
+            if waiting:
+                found.append(edits(queries, self.words, np.concatenate(waiting)))
+        return np.concatenate(found)
+
+    def _visit(self, low, high, level, who, more, less, vecs, queries) -> Iterator[np.ndarray]:
+        """Pairs to verify: words from ``low`` to ``high`` have the same counts before ``level``, queries ``who`` may have ``more`` and
+        ``less`` of what is to come."""
+        if high - low <= FEW:
+            rest = self.vecs[None, low:high, level:].view(np.int8) - vecs[who, None, level:].view(np.int8)
+            # differences wrap around at 256, which can only let more pairs pass
+            q, w = np.nonzero((np.maximum(rest, 0).sum(2) <= more[:, None]) & (np.maximum(-rest, 0).sum(2) <= less[:, None]))
+            if len(q):
+                yield np.stack((who[q], low + w), 1)
+        elif level == GROUPS:
+            yield self._leaf(low, high, who, queries)
         else:
             column = self.vecs[low:high, level]
             for c, may, m, d in _steps(vecs[who, level], more, less):
-                a, b = np.searchsorted(column, [c, c + 1]) if c < 255 else (np.searchsorted(column, c), len(column))
+                a, b = (int(np.searchsorted(column, np.uint8(c), side)) for side in ("left", "right"))
                 if b > a:
-                    self._visit(low + int(a), low + int(b), level + 1, who[may], m, d, vecs, queries, found)
+                    yield from self._visit(low + a, low + b, level + 1, who[may], m, d, vecs, queries)
 
-    def _leaf(self, low, high, who, queries, found) -> None:
-        """Words of one leaf have the same counts; where there are many, the half of a word that an edit leaves finds them."""
-        if high - low <= FEW:
-            found.extend((int(q), i) for q in who for i in range(low, high) if one_edit(queries[q], self.words[i]))
-            return
+    def _leaf(self, low, high, who, queries) -> np.ndarray:
+        """The words of a leaf have the same counts; where there are many, the half of a word that an edit leaves finds them."""
         half = defaultdict(list)
         for i in range(low, high):
             for key in halves_of_member(self.words[i]):
                 half[key].append(i)
-        for q in who:
-            hits = {i for key in halves_of_query(queries[q]) for i in half.get(key, ())}
-            found.extend((int(q), i) for i in sorted(hits) if one_edit(queries[q], self.words[i]))
+        pairs = {(int(q), i) for q in who for key in halves_of_query(queries[q]) for i in half.get(key, ())}
+        return np.array(sorted(pairs), np.int64).reshape(-1, 2)
 
 
 def _nodes(words: DataFrame, limit: int) -> set[bytes]:
@@ -196,35 +235,47 @@ def _routed(words: DataFrame, split: set[bytes]) -> DataFrame:
 def _pairs(routed: DataFrame) -> DataFrame:
     """(word, near, near_n), both ways for each pair of near words. Buckets with very many queries are salted; their words are repeated."""
     sizes = routed.where("query").groupBy("bucket").agg(F.count("*").alias("size"))
-    share = max(1, (sizes.agg(F.sum("size")).first()[0] or 0) // HOT)
+    share = max(LEAST_HOT, (sizes.agg(F.sum("size")).first()[0] or 0) // HOT)
     hot = sizes.where(F.col("size") > share).select("bucket", F.ceil(F.col("size") / share).cast("int").alias("salts"))  # at most HOT rows
     rows = routed.join(F.broadcast(hot), "bucket", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     salt = F.when(F.col("query"), F.array(F.pmod(F.xxhash64("word"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
     rows = rows.withColumn("salt", F.explode(salt)).select("bucket", "salt", "query", "word", "n")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, trie = None, [], None
+        key, members, asking = None, [], []  # rows of one bucket and salt: words at home, then queries
+        trie = None
+
+        def answers() -> pa.RecordBatch:
+            nonlocal trie, asking
+            queries, asking = asking, []
+            if trie is None:
+                trie = Trie([w for w, _ in members], min(len(key[0]), GROUPS)), dict(members)
+            second_half = b", 's', " in key[0][GROUPS:]  # a pair that shares the first half is found by that one
+            out = []
+            for q, m in trie[0].search([w for w, _ in queries]).tolist():
+                (word, n), near = queries[q], trie[0].words[m]
+                if not second_half or word[: len(near) // 2] != near[: len(near) // 2]:
+                    out += [(word, near, trie[1][near]), (near, word, n)]
+            kinds = (pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kinds[i]) for i in range(3)], ["word", "near", "near_n"])
+
         for batch in batches:
             names, salts, asks, texts, ns = (batch.column(i).to_pylist() for i in range(5))
-            cuts = [0, *(i for i in range(1, len(names)) if (names[i], salts[i], asks[i]) != (names[i - 1], salts[i - 1], asks[i - 1])), len(names)]
-            out: list[tuple] = []
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
+            cuts = [i for i in range(len(names)) if not i or (names[i], salts[i], asks[i]) != (names[i - 1], salts[i - 1], asks[i - 1])]
+            for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
                 if (names[a], salts[a]) != key:
+                    if asking:
+                        yield answers()
                     key, members, trie = (names[a], salts[a]), [], None
+                rows_here = zip(texts[a:b], ns[a:b], strict=True)
                 if not asks[a]:
-                    members += zip(texts[a:b], ns[a:b], strict=True)
+                    members += rows_here
                 elif members:
-                    if trie is None:
-                        trie, times = Trie([w for w, _ in members], min(len(key[0]), GROUPS)), dict(members)
-                    for q, m in trie.search(texts[a:b]):
-                        word, near = texts[a + q], trie.words[m]
-                        if key[0][GROUPS:] and b", 's', " in key[0][GROUPS:] and word[: len(near) // 2] == near[: len(near) // 2]:
-                            continue  # found by the first half as well
-                        out += [(word, near, times[near]), (near, word, ns[a + q])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["word", "near", "near_n"])
+                    asking += rows_here
+                    if len(asking) >= QUERIES_AT_ONCE:
+                        yield answers()
+        if asking:
+            yield answers()
 
     rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "query")
     return rows.mapInArrow(match, "word string, near string, near_n bigint")
@@ -270,9 +321,9 @@ def word_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ``slips`` plants misspellings to measure by: with h the CRC-32 of '<doc_id>:<word>', where ``slips`` divides h the word loses its
     code point h % length. A null text has no words; a null id counts as an empty one; repeated rows each count."""
     docs, _ = set_aside(docs, *{"_id", "word"} - {doc_id, text})
-    runs = F.regexp_extract_all(F.col(text), F.lit("[A-Za-z\\u00C0-\\u00FF]+"), F.lit(0))
+    runs = F.regexp_extract_all(F.col(text), F.lit(f"[A-Za-z\\u00C0-\\u00FF]{{{least_chars},}}+"), F.lit(0))  # whole runs that are long enough
     words = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), F.explode(runs).alias("word"))
-    words = words.where(F.char_length("word") >= least_chars).select("_id", ascii_lower(F.col("word")).alias("word"))
+    words = words.select("_id", ascii_lower(F.col("word")).alias("word"))
     if slips:
         words = words.withColumn("h", F.crc32(F.concat("_id", F.lit(":"), "word").cast("binary")))
         at = (F.col("h") % F.char_length("word")).cast("int")
