@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,9 +36,9 @@ _ANCHORED = {
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
     "github": re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[\s\S]*?-----END \1PRIVATE KEY-----"),
 }
+_JWT, _PART = re.compile(rb"eyJ[A-Za-z0-9_-]+"), re.compile(rb"\.[A-Za-z0-9_-]+")
+_PEM, _PEM_END = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"), re.compile(rb"-----END ([A-Z ]*)PRIVATE KEY(?=-----)")
 #: Lower-case keywords that lead to each kind.
 _KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
@@ -72,9 +74,38 @@ def _valid(kind: str, found: re.Match) -> bool:
         return len(found[2]) >= 6
     if kind == "access":
         return len(whole) >= 20
-    if kind in ("github", "npm"):
-        return whole[-6:].decode() == crc_base62(whole[4:-6])
-    return kind != "jwt" or _is_json_header(whole.partition(b".")[0])
+    return whole[-6:].decode() == crc_base62(whole[4:-6])
+
+
+class _Long:
+    """Matches of the two kinds without a bound on their length, such that a text is read a fixed number of times however many places
+    fail: what ends a run of token characters decides for all places in that run, and end lines are looked up in one list."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.failed, self.ends = raw, 0, None
+
+    def jwt(self, at: int) -> tuple[int, bool] | None:
+        """The end of a token of three parts that begins here, and whether its header is valid."""
+        if at < self.failed or not (first := _JWT.match(self.raw, at)):
+            return None
+        second = _PART.match(self.raw, first.end())
+        third = second and _PART.match(self.raw, second.end())
+        if not third:
+            self.failed = first.end()
+            return None
+        return third.end(), _is_json_header(first[0])
+
+    def pem(self, at: int) -> tuple[int, bool] | None:
+        """The end of the first end line with the label of the begin line that stands here."""
+        if not (head := _PEM.match(self.raw, at)):
+            return None
+        if self.ends is None:
+            self.ends = defaultdict(list)
+            for m in _PEM_END.finditer(self.raw):
+                self.ends[m[1]].append(m.start())
+        ends = self.ends[head[1]]
+        i = bisect.bisect_left(ends, head.end())
+        return (ends[i] + len(b"-----END " + head[1] + b"PRIVATE KEY-----"), True) if i < len(ends) else None
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -101,13 +132,20 @@ def _hex_stretches(raw: bytes) -> np.ndarray:
 
 def scan_text(raw: bytes, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of one UTF-8 text in code points, by start and then kind."""
-    spans, free = [], dict.fromkeys(KINDS, 0)
+    spans, free, long = [], dict.fromkeys(KINDS, 0), _Long(raw)
     for last, (size, kind) in words.iter(raw.lower().decode("latin-1")):
         at = last + 1 - size
-        if at >= free[kind] and (found := _ANCHORED[kind].match(raw, at)):
-            free[kind] = found.end()
-            if _valid(kind, found):
-                spans.append((kind, at, found.end()))
+        if at < free[kind]:
+            continue
+        if kind in ("jwt", "pem"):
+            end, valid = getattr(long, kind)(at) or (0, False)
+        else:
+            found = _ANCHORED[kind].match(raw, at)
+            end, valid = (found.end(), _valid(kind, found)) if found else (0, False)
+        if end:
+            free[kind] = end
+            if valid:
+                spans.append((kind, at, end))
     for start, end in _hex_stretches(raw).tolist():
         spans += [("hex", m.start(), m.end()) for m in _HEX_MATCH.finditer(raw, start, end) if m.end() - m.start() >= _HEX_RUN]
     if spans and not raw.isascii():
