@@ -229,7 +229,7 @@ def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     pieces = token_pieces(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, capacity=capacity)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
-    return pack(pieces, capacity=capacity, tie=(doc_id, "piece"))
+    return pack(pieces, capacity=capacity, tie=(doc_id, "piece", "ids_crc32"))  # rows that repeat an id differ in their ids, or are alike
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
