@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.operators import linear
+
+
 def weighted_sums(obs: DataFrame, key: list[str], x: str = "x", y: str = "y", w: str = "w") -> DataFrame:
     """Weighted sums per key, with x and y centred on their plain means for accuracy."""
     m = obs.groupBy(key).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
@@ -52,3 +55,17 @@ def cross_validate(obs: DataFrame, key: list[str], fold: list[str]) -> DataFrame
     t = t.withColumn("slope", (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.col("det")).withColumn("_c0", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
     p = d.join(t.select(*key, *fold, "slope", "_c0"), [*key, *fold])
     return p.withColumn("predicted", F.col("my") + F.col("_c0") + F.col("slope") * F.col("dx")).withColumn("error", F.col("y") - F.col("predicted"))
+
+
+def fit_calibrations(rows: DataFrame, key: list[str], level: list[str], criterion: str = "aicc") -> DataFrame:
+    """All candidate models of every calibration, validated by leaving one concentration level out, scored, and one selected.
+
+    ``rows`` are observations exploded by :func:`sensorframe.operators.linear.expand`; they are summed once for all fits and folds."""
+    return linear.choose(linear.fit_and_validate(rows, key, level), key, criterion)
+
+
+def selected_intervals(rows: DataFrame, fits: DataFrame, key: list[str], block: Column, order: list[str], *, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Bootstrap intervals of each calibration's selected model; see :func:`sensorframe.operators.linear.bootstrap`."""
+    best = fits.where("selected")
+    out = linear.bootstrap(rows, best, key, block, order, replicates=replicates, seed=seed)
+    return out.join(best.select(*key, "model"), key).select(*key, "model", "succeeded", *(f"{c}_{end}" for c in ("intercept", "b1", "b2") for end in ("lower", "upper")))
