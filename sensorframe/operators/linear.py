@@ -1,4 +1,4 @@
-"""Least-squares fits of many small models at once: moments by aggregation, systems of up to three regressors solved as columns.
+"""Least-squares fits of many small models at once: moments by aggregation, systems of up to three regressors solved a batch at a time.
 
 A model is an intercept and up to three regressors. Rows of observations are exploded by model and summed once into cells of (key, model,
 fold); a fit of all rows, of all but one fold, or of a penalised model is arithmetic on those sums.
@@ -6,9 +6,12 @@ fold); a fit of all rows, of all but one fold, or of a penalised model is arithm
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,48 +61,60 @@ def cells(rows: DataFrame, by: list[str], centre: list[str]) -> DataFrame:
     return d.groupBy(by).agg(*sums, *carried)
 
 
-def _squares(kind: str, prefix: str = "") -> Column:
-    """Sum of squared residuals of the fitted columns a0, b1 to b3 over the sums named with ``prefix``; weighted for kind w."""
-    s = lambda term: F.col(prefix + kind + term)
-    b = {j: F.col(f"b{j}") for j in range(1, P + 1)}
-    a = F.col("a0")
-    out = s("tt") - 2 * a * s("t") + a * a * s("")
-    for j in b:
-        out = out - 2 * b[j] * s(f"{j}t") + 2 * a * b[j] * s(f"{j}")
-    for j, k in _PAIRS:
-        out = out + (1 if j == k else 2) * b[j] * b[k] * s(f"{j}{k}")
-    return out
+SOLVED = ["a0", "b1", "b2", "b3", "intercept", "v11", "v12", "v13", "v22", "v23", "v33"]
+
+
+def solve(sums: DataFrame, kind: str = "w", squares: tuple[str, ...] = ("u", "w"), least: float = 1e-12) -> DataFrame:
+    """From the sums of one kind: adds b1 to b3 (0 for what a model has not), a0 (the intercept around the means), intercept, v11 to v33
+    (the inverse of the system without the intercept) and, for each prefix in ``squares``, ss_<prefix>, the sum of squared residuals
+    over the sums named so. All are null where the regressors do not determine them (a regressor's part that
+    the others do not explain is under ``least``), or the rows are fewer than the coefficients.
+
+    The intercept is eliminated first, then the system is factored as L D L', for a batch of rows of sums at a time."""
+    names = [*SOLVED, *(f"ss_{x}" for x in squares)]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema] + [f"{n} double" for n in names]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names) if pa.types.is_floating(batch.schema.types[i]) or c == "p"}
+            with np.errstate(all="ignore"):
+                out = _solved(at, kind, squares, least)
+            fine = np.isfinite(out[3])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, mask=~(fine & np.isfinite(x))) for x in out)], [*batch.schema.names, *names])
 
-def solve(sums: DataFrame) -> DataFrame:
-    """Adds b1 to b3, a0 (the intercept around the means), intercept, and v11 to v33, the inverse of the system without the intercept;
-    all null where the regressors do not determine them. The intercept is eliminated first, then the system is factored as L D L'."""
-    w = F.col("w")
-    first = {}
+    return sums.mapInArrow(run, ", ".join(fields))
+
+
+def _solved(at: dict[str, np.ndarray], kind: str, squares: tuple[str, ...], least: float) -> list[np.ndarray]:
+    p, w, c = at["p"], at[kind], {}
     for j, k in _PAIRS:
-        c = F.col(f"w{j}{k}") - F.col(f"w{j}") * F.col(f"w{k}") / w
-        c = c + F.col("precision") if (j, k) == (1, 1) else c
-        first[f"c{j}{k}"] = F.when(F.col("p") >= k, c).otherwise(1.0 if j == k else 0.0)
-    for j in range(1, P + 1):
-        c = F.col(f"w{j}t") - F.col(f"w{j}") * F.col("wt") / w
-        c = c + F.col("precision") * F.col("prior") if j == 1 else c
-        first[f"c{j}t"] = F.when(F.col("p") >= j, c).otherwise(0.0)
-    c = F.col
-    s = sums.withColumns(first).withColumns({"l21": c("c12") / c("c11"), "l31": c("c13") / c("c11")})
-    s = s.withColumns({"d2": c("c22") - c("l21") * c("c12"), "e32": c("c23") - c("l31") * c("c12")})
-    s = s.withColumn("l32", c("e32") / c("d2")).withColumn("d3", c("c33") - c("l31") * c("c13") - c("l32") * c("e32"))
-    fine = (c("c11") > 1e-12) & (c("d2") > 1e-12 * F.greatest(c("c22"), F.lit(1.0))) & (c("d3") > 1e-12 * F.greatest(c("c33"), F.lit(1.0))) & (c("u") >= c("p") + 1)
-    s = s.withColumn("y2", c("c2t") - c("l21") * c("c1t"))
-    s = s.withColumn("b3", F.when(fine, (c("c3t") - c("l31") * c("c1t") - c("l32") * c("y2")) / c("d3")))
-    s = s.withColumn("b2", c("y2") / c("d2") - c("l32") * c("b3")).withColumn("b1", c("c1t") / c("c11") - c("l21") * c("b2") - c("l31") * c("b3"))
-    n21, n31, n32 = -c("l21"), c("l32") * c("l21") - c("l31"), -c("l32")
-    s = s.withColumns({
-        "v11": 1 / c("c11") + n21 * n21 / c("d2") + n31 * n31 / c("d3"), "v12": n21 / c("d2") + n31 * n32 / c("d3"), "v13": n31 / c("d3"),
-        "v22": 1 / c("d2") + n32 * n32 / c("d3"), "v23": n32 / c("d3"), "v33": 1 / c("d3"),
-        "a0": (c("wt") - sum(c(f"b{j}") * c(f"w{j}") for j in range(1, P + 1))) / w,
-    })
-    s = s.withColumn("intercept", c("mt") + c("a0") - sum(c(f"b{j}") * c(f"m{j}") for j in range(1, P + 1)))
-    return s.drop(*first, "l21", "l31", "d2", "e32", "l32", "d3", "y2")
+        c[j, k] = at[f"{kind}{j}{k}"] - at[f"{kind}{j}"] * at[f"{kind}{k}"] / w + (at["precision"] if (j, k) == (1, 1) else 0)
+        c[j, k] = np.where(p >= k, c[j, k], float(j == k))
+    t = [at[f"{kind}{j}t"] - at[f"{kind}{j}"] * at[f"{kind}t"] / w + (at["precision"] * at["prior"] if j == 1 else 0) for j in range(1, P + 1)]
+    t = [np.where(p >= j, x, 0.0) for j, x in enumerate(t, 1)]
+    l21, l31 = c[1, 2] / c[1, 1], c[1, 3] / c[1, 1]
+    d2, e32 = c[2, 2] - l21 * c[1, 2], c[2, 3] - l31 * c[1, 2]
+    l32 = e32 / d2
+    d3 = c[3, 3] - l31 * c[1, 3] - l32 * e32
+    fine = (c[1, 1] > 1e-12) & (d2 > least * np.maximum(c[2, 2], 1)) & (d3 > least * np.maximum(c[3, 3], 1)) & (at["u"] >= p + 1)
+    y2 = t[1] - l21 * t[0]
+    b3 = np.where(fine, (t[2] - l31 * t[0] - l32 * y2) / d3, np.nan)
+    b2 = y2 / d2 - l32 * b3
+    b1 = t[0] / c[1, 1] - l21 * b2 - l31 * b3
+    b, n31 = (b1, b2, b3), l32 * l21 - l31
+    v = [1 / c[1, 1] + l21 * l21 / d2 + n31 * n31 / d3, -l21 / d2 - n31 * l32 / d3, n31 / d3, 1 / d2 + l32 * l32 / d3, -l32 / d3, 1 / d3]
+    a0 = (at[f"{kind}t"] - sum(x * at[f"{kind}{j}"] for j, x in enumerate(b, 1))) / w
+    intercept = at["mt"] + a0 - sum(x * at[f"m{j}"] for j, x in enumerate(b, 1))
+    out = [a0, b1, b2, b3, intercept, *v]
+    for prefix in squares:
+        s = lambda term, prefix=prefix: at[prefix + term]
+        total = s("tt") - 2 * a0 * s("t") + a0 * a0 * s("")
+        for j, x in enumerate(b, 1):
+            total = total - 2 * x * s(f"{j}t") + 2 * a0 * x * s(f"{j}")
+        for j, k in _PAIRS:
+            total = total + (1 if j == k else 2) * b[j - 1] * b[k - 1] * s(f"{j}{k}")
+        out.append(np.maximum(total, 0))
+    return out
 
 
 def fit(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -111,7 +126,7 @@ def fit(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def described(s: DataFrame) -> DataFrame:
     c, n = F.col, F.col("u")
-    s = s.withColumn("k", (c("p") + 1).cast("bigint")).withColumn("rss", F.greatest(_squares("u"), F.lit(0.0))).withColumn("wrss", F.greatest(_squares("w"), F.lit(0.0)))
+    s = s.withColumn("k", (c("p") + 1).cast("bigint")).withColumnsRenamed({"ss_u": "rss", "ss_w": "wrss"})
     penalty = c("precision") * (c("b1") - c("prior")) ** 2
     s = s.withColumn("_free", n + F.when(c("precision") > 0, 1).otherwise(0) - c("k")).withColumn("s2", F.when(c("_free") > 0, (c("wrss") + penalty) / c("_free")).otherwise(0.0))
     m = {j: c(f"m{j}") + c(f"w{j}") / c("w") for j in range(1, P + 1)}
@@ -142,11 +157,11 @@ def fit_and_validate(rows: DataFrame, key: list[str], fold: list[str]) -> DataFr
     own = c.withColumnsRenamed({s: f"own_{s}" for s in SUMS})
     total = own.groupBy(by).agg(*(F.sum(f"own_{s}").alias(s) for s in SUMS), *(F.first(x).alias(x) for x in carried))
     train = own.drop(*carried).join(total, by).withColumns({s: F.col(s) - F.col(f"own_{s}") for s in SUMS})
-    train = solve(train.where("u + own_u >= 3"))
+    train = solve(train.where("u + own_u >= 3"), squares=("own_u",))
     fine, a, b = F.col("b1").isNotNull(), F.col("a0"), {j: F.col(f"b{j}") for j in range(1, P + 1)}
     bias = a * F.col("own_u") + sum(b[j] * F.col(f"own_u{j}") for j in b) - F.col("own_ut")
     cv = train.groupBy(by).agg(
-        F.sqrt(F.sum(F.when(fine, F.greatest(_squares("u", "own_"), F.lit(0.0)))) / F.sum(F.when(fine, F.col("own_u")))).alias("cv_rmse"),
+        F.sqrt(F.sum("ss_own_u") / F.sum(F.when(fine, F.col("own_u")))).alias("cv_rmse"),
         (F.sum(F.when(fine, bias)) / F.sum(F.when(fine, F.col("own_u")))).alias("cv_bias"),
         F.sum(F.when(fine, F.col("own_u")).otherwise(0)).cast("bigint").alias("cv_n"), F.sum(F.when(~fine, F.col("own_u")).otherwise(0)).cast("bigint").alias("cv_failed"),
     )

@@ -1,4 +1,4 @@
-"""Registered queries of model choice: calibrations with several regressor sets."""
+"""Registered queries of model choice: calibrations with several regressor sets, responses with several relaxation models."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import calibration as C
 from sensorframe.operators import linear as L
+from sensorframe.operators import transient as T
 from sensorframe.plans.common import Registry, rounded
-from sensorframe.sources.views import observations
+from sensorframe.sources.storage import written
+from sensorframe.sources.views import observations, readings
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -68,3 +70,65 @@ register(
     PICKED + """ SELECT series, model, CAST(count(*) AS BIGINT) AS succeeded, round(quantile_cont(b0, 0.025), 5) AS intercept_lower, round(quantile_cont(b0, 0.975), 5) AS intercept_upper, CASE WHEN any_value(p) > 0 THEN round(quantile_cont(b1, 0.025), 5) END AS b1_lower, CASE WHEN any_value(p) > 0 THEN round(quantile_cont(b1, 0.975), 5) END AS b1_upper,
  CASE WHEN any_value(p) > 1 THEN round(quantile_cont(b2, 0.025), 5) END AS b2_lower, CASE WHEN any_value(p) > 1 THEN round(quantile_cont(b2, 0.975), 5) END AS b2_upper FROM x GROUP BY series, model""",
 )
+
+GRID = T.Grid(high=0.0, steps=5, betas=(0.5, 0.8), rounds=1)
+SENSOR = ["sensor_id"]
+
+
+def responses(s, d):
+    """Each sensor's readings since its first error."""
+    r = readings(s, d)
+    t0 = r.where("channel = 'error'").groupBy("sensor_id").agg(F.min("t_s").alias("t0"))
+    p = r.where("channel <> 'error'").join(t0, "sensor_id").where("t_s >= t0")
+    return written(p.select("sensor_id", "row_idx", (F.col("t_s") - F.col("t0")).alias("local"), F.col("value").alias("v")), "responses")
+
+
+def transients(s, d):
+    return T.analyze_transients(responses(s, d), SENSOR, grid=GRID, order=("row_idx",))
+
+
+def _round_sql(name: str, candidates: str) -> str:
+    """All candidates' fits by Cramer's rule and direct residuals, and the best of each model."""
+    return f""", {name}_e AS (SELECT p.sensor_id, p.local, p.v, p.n, span, model, fast, slow, beta, CASE model WHEN 'double_drift' THEN 3 WHEN 'double' THEN 2 ELSE 1 END AS p, exp(-CASE WHEN model = 'stretched' THEN power(local / (power(10.0, fast) * span), beta) ELSE local / (power(10.0, fast) * span) END) AS z1,
+ CASE WHEN model LIKE 'double%' THEN exp(-local / (power(10.0, slow) * span)) ELSE 0.0 END AS z2, CASE WHEN model = 'double_drift' THEN local / span ELSE 0.0 END AS z3 FROM p JOIN {candidates} WHERE p.n >= CASE model WHEN 'single' THEN 5 WHEN 'double' THEN 7 WHEN 'double_drift' THEN 8 ELSE 6 END),
+ {name}_c AS (SELECT sensor_id, model, fast, slow, beta, any_value(p) AS p, any_value(span) AS span, count(*) AS n, avg(z1) AS m1, avg(z2) AS m2, avg(z3) AS m3, avg(v) AS mv, count(*) * covar_pop(z1, z1) AS c11, count(*) * covar_pop(z1, z2) AS c12, count(*) * covar_pop(z1, z3) AS c13, count(*) * covar_pop(z2, z2) AS c22, count(*) * covar_pop(z2, z3) AS c23, count(*) * covar_pop(z3, z3) AS c33,
+ count(*) * covar_pop(z1, v) AS c1v, count(*) * covar_pop(z2, v) AS c2v, count(*) * covar_pop(z3, v) AS c3v FROM {name}_e GROUP BY ALL),
+ {name}_d AS (SELECT *, c11 * c22 - c12 * c12 AS d2, c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c13 * c23) + c13 * (c12 * c23 - c13 * c22) AS d3 FROM {name}_c WHERE c11 > 1e-12),
+ {name}_b AS (SELECT *, CASE p WHEN 1 THEN c1v / c11 WHEN 2 THEN (c1v * c22 - c2v * c12) / d2 ELSE (c1v * (c22 * c33 - c23 * c23) - c12 * (c2v * c33 - c3v * c23) + c13 * (c2v * c23 - c3v * c22)) / d3 END AS b1,
+ CASE p WHEN 1 THEN 0.0 WHEN 2 THEN (c2v * c11 - c1v * c12) / d2 ELSE (c11 * (c2v * c33 - c3v * c23) - c1v * (c12 * c33 - c13 * c23) + c13 * (c12 * c3v - c13 * c2v)) / d3 END AS b2,
+ CASE p WHEN 3 THEN (c11 * (c22 * c3v - c23 * c2v) - c12 * (c12 * c3v - c13 * c2v) + c1v * (c12 * c23 - c13 * c22)) / d3 ELSE 0.0 END AS b3 FROM {name}_d WHERE p = 1 OR (d2 / c11 > 1e-6 * greatest(c22, 1.0) AND (p = 2 OR d3 / d2 > 1e-6 * greatest(c33, 1.0)))),
+ {name}_r AS (SELECT b.sensor_id, b.model, b.fast, b.slow, b.beta, sum(power(e.v - (mv + b1 * (z1 - m1) + b2 * (z2 - m2) + b3 * (z3 - m3)), 2)) AS rss FROM {name}_b b JOIN {name}_e e ON e.sensor_id = b.sensor_id AND e.model = b.model AND e.fast = b.fast AND e.slow = b.slow AND e.beta = b.beta GROUP BY ALL),
+ {name}_k AS (SELECT *, mv - b1 * m1 - b2 * m2 - b3 * m3 AS b0, row_number() OVER (PARTITION BY sensor_id, model ORDER BY rss, fast, slow, beta) AS i FROM {name}_b JOIN {name}_r USING (sensor_id, model, fast, slow, beta)), {name} AS (SELECT * FROM {name}_k WHERE i = 1)"""
+
+
+_STEP = GRID.step / GRID.ratio
+_MOVES = "(VALUES " + ", ".join(f"({i})" for i in range(-2, 3)) + ")"
+RESPONSES = (
+    """WITH rd AS (SELECT user_id AS sensor_id, event_type AS channel, event_id AS row_idx, epoch_us(ts) / 1e6 AS t_s, value FROM events), t0 AS (SELECT sensor_id, min(t_s) AS t0 FROM rd WHERE channel = 'error' GROUP BY sensor_id),
+ p0 AS (SELECT sensor_id, row_idx, t_s - t0 AS local, value AS v FROM rd JOIN t0 USING (sensor_id) WHERE channel <> 'error' AND t_s >= t0), p AS (SELECT *, max(local) OVER (PARTITION BY sensor_id) AS span, count(*) OVER (PARTITION BY sensor_id) AS n FROM p0),
+ g0(model, fast, slow, beta) AS (VALUES """ + ", ".join(f"('{m}', {f!r}::DOUBLE, {s!r}::DOUBLE, {b!r}::DOUBLE)" for m, f, s, b in T._coarse(list(T.MODELS), GRID)) + ")"
+    + _round_sql("f0", "g0 ON true")
+    + f""", g1 AS (SELECT DISTINCT sensor_id, model, fast + {_STEP!r} * a AS fast, CASE WHEN model LIKE 'double%' THEN slow + {_STEP!r} * b ELSE slow END AS slow, CASE WHEN model = 'stretched' THEN greatest(0.05, least(1.0, beta + {0.2 / GRID.ratio!r} * b)) ELSE 1.0 END AS beta FROM f0, {_MOVES} x(a), {_MOVES} y(b)), g2 AS (SELECT * FROM g1 WHERE model NOT LIKE 'double%' OR fast < slow)"""
+    + _round_sql("f1", "g2 ON g2.sensor_id = p.sensor_id")
+    + """, f AS (SELECT *, power(10.0, fast) * span AS tf, power(10.0, slow) * span AS ts, b3 / span AS dr, CASE model WHEN 'single' THEN 3 WHEN 'double' THEN 5 WHEN 'double_drift' THEN 6 ELSE 4 END AS k FROM f1),
+ y AS (SELECT f.sensor_id, f.model, p.v - (b0 + b1 * exp(-power(local / tf, beta)) + b2 * exp(-local / ts) + dr * local) AS r, row_number() OVER (PARTITION BY f.sensor_id, f.model ORDER BY local, row_idx) AS i FROM f JOIN p USING (sensor_id)),
+ z AS (SELECT *, lag(r) OVER (PARTITION BY sensor_id, model ORDER BY i) AS r0 FROM y), q AS (SELECT sensor_id, model, avg(abs(r)) AS mae, max(abs(r)) AS max_abs, sum(power(r - r0, 2)) / sum(r * r) AS durbin_watson, sum(r * r0) / sum(r * r) AS lag1 FROM z GROUP BY ALL),
+ c AS (SELECT f.*, mae, max_abs, durbin_watson, lag1, n * ln(rss / n) + 2 * k AS aic FROM f JOIN q USING (sensor_id, model))"""
+)
+register(
+    "l04_analyze_transients",
+    lambda s, d: rounded(transients(s, d).select(*SENSOR, "model", "n", "k", "tau_fast", "tau_slow", "beta", "e_infinity", "a_fast", "a_slow", (F.col("drift") * F.col("duration")).alias("drifted"), "rss", "adj_r2", "aic", "aicc", "bic", "delta", "weight", "selected", "weak_support", "mae", "max_abs", "durbin_watson", "lag1"), 3),
+    RESPONSES + """, m AS (SELECT *, aic - min(aic) OVER (PARTITION BY sensor_id) AS delta FROM c) SELECT sensor_id, model, n, CAST(k AS BIGINT) AS k, round(tf, 3) AS tau_fast, CASE WHEN p > 1 THEN round(ts, 3) END AS tau_slow, CASE WHEN model = 'stretched' THEN round(beta, 3) END AS beta, round(b0, 3) AS e_infinity, round(b1, 3) AS a_fast,
+ CASE WHEN p > 1 THEN round(b2, 3) END AS a_slow, CASE WHEN p > 2 THEN round(b3, 3) END AS drifted, round(rss, 3) AS rss, round(1 - rss / v2 * (n - 1) / (n - k - 1), 3) AS adj_r2, round(aic, 3) AS aic, CASE WHEN n > k + 1 THEN round(aic + 2.0 * k * (k + 1) / (n - k - 1), 3) END AS aicc, round(aic - 2 * k + k * ln(n), 3) AS bic, round(delta, 3) AS delta,
+ round(exp(-delta / 2) / sum(exp(-delta / 2)) OVER (PARTITION BY sensor_id), 3) AS weight, row_number() OVER (PARTITION BY sensor_id ORDER BY aic, CASE model WHEN 'single' THEN 0 WHEN 'double' THEN 1 WHEN 'double_drift' THEN 2 ELSE 3 END) = 1 AS selected, delta > 10 AS weak_support, round(mae, 3) AS mae, round(max_abs, 3) AS max_abs, round(durbin_watson, 3) AS durbin_watson, round(lag1, 3) AS lag1
+ FROM m JOIN (SELECT sensor_id, var_pop(v) * count(*) AS v2 FROM p GROUP BY sensor_id) USING (sensor_id)""",
+)
+register(
+    "g13_response_features",
+    lambda s, d: rounded(transients(s, d).select(*SENSOR, "model", "total_amplitude", (F.col("initial_rate") * F.col("tau_fast")).alias("first_rate"), *((F.col(t) / F.col("duration")).alias(t) for t in ("t63", "t90", "t95")), "long_time_constant", "poor_separation", "negligible_amplitude", "no_aicc", "high_autocorrelation"), 3),
+    RESPONSES + """, u AS (SELECT * EXCLUDE (i), 20 * greatest(CASE WHEN p > 1 THEN ts ELSE tf END, span, 1.0) AS upper, abs(b1 + b2) AS d0 FROM c), w AS (SELECT sensor_id, model, i, upper * i / 2000 AS t, d0, abs(b1 * exp(-power(upper * i / 2000 / tf, beta)) + b2 * exp(-(upper * i / 2000) / ts) + dr * (upper * i / 2000)) AS away FROM u, range(2001) r(i)),
+ x AS (SELECT *, lag(away) OVER (PARTITION BY sensor_id, model ORDER BY i) AS away0, lag(t) OVER (PARTITION BY sensor_id, model ORDER BY i) AS t0 FROM w), """
+    + ", ".join(f"h{n} AS (SELECT sensor_id, model, arg_min(t0 + (t - t0) * (away0 - d0 * (1 - {q})) / (away0 - away), i) AS t{n} FROM x WHERE i > 0 AND away <= d0 * (1 - {q}) GROUP BY ALL)" for n, q in ((63, 0.632), (90, 0.9), (95, 0.95)))
+    + """ SELECT sensor_id, model, round(-b1 - b2, 3) AS total_amplitude, CASE WHEN beta >= 1 THEN round((-b1 / tf - b2 / ts + dr) * tf, 3) END AS first_rate, round(t63 / span, 3) AS t63, round(t90 / span, 3) AS t90, round(t95 / span, 3) AS t95, CASE WHEN p > 1 THEN ts ELSE tf END / span > 1 AS long_time_constant, p > 1 AND ts / tf < 3 AS poor_separation,
+ p > 1 AND least(abs(b1), abs(b2)) / (abs(b1) + abs(b2)) < 0.05 AS negligible_amplitude, n <= k + 1 AS no_aicc, abs(lag1) > 0.8 AS high_autocorrelation FROM c LEFT JOIN h63 USING (sensor_id, model) LEFT JOIN h90 USING (sensor_id, model) LEFT JOIN h95 USING (sensor_id, model)""",
+)
