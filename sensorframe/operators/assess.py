@@ -166,3 +166,74 @@ def priors(results: DataFrame, mapping: DataFrame, key: list[str]) -> DataFrame:
     result has the path. ``results`` has key, source, path and value."""
     wanted = results.select(key).distinct().join(mapping)
     return wanted.join(results, [*key, "source", "path"], "left").select(*key, "component", "parameter", "value")
+
+
+#: Operators of a rule's condition on a feature, what they read, and when they hold for a threshold ``v``.
+OPERATORS = {
+    "greater_than": lambda v: F.col("value") > v, "less_than": lambda v: F.col("value") < v,
+    "relative_increase": lambda v: F.col("relative") > v, "relative_decrease": lambda v: F.col("relative") < -v,
+    "log_ratio": lambda v: F.abs("log_ratio") > v, "robust_z": lambda v: F.abs("robust_z") > v,
+    "warning_present": lambda v: F.when(F.col("_found"), F.col("warning").isNotNull()), "level_present": lambda v: F.when(F.col("_found"), F.col("value").isNotNull()),
+    "trend_increasing": lambda v: F.col("slope") > F.coalesce(v, F.lit(0.0)), "trend_decreasing": lambda v: F.col("slope") < -F.coalesce(v, F.lit(0.0)),
+}
+#: Operators that compare with a baseline.
+AGAINST_BASELINE = ["relative_increase", "relative_decrease", "log_ratio", "robust_z"]
+#: Domains of features without a row, by how their names begin; then by ``drift`` in the name, else data_quality.
+DOMAINS = {"transient": "dynamic_response", "calibration": "calibration", "eis": "impedance", "mechanism": "mechanism_evidence"}
+
+
+def evaluate_rules(
+    rules: DataFrame, conditions: DataFrame, features: DataFrame, comparisons: DataFrame, record: list[str], *, trends: DataFrame | None = None,
+    baselines: DataFrame | None = None, mechanistic_domains: int = 2,
+) -> DataFrame:
+    """Every rule for every record of ``features``: (record, rule, triggered, confidence, severity, satisfied, contradicted, unavailable, domains).
+
+    ``rules``: rule, severity, mechanistic, minimum_domains, minimum_records. ``conditions``: rule, part (all or any), feature, operator (one of
+    ``OPERATORS``), threshold. ``features``: record, feature, value, warning, domain, one row a feature. ``comparisons``: record, feature,
+    relative, log_ratio, robust_z, records (of its baseline). ``baselines``: record, records; ``trends``: record, feature, slope.
+
+    A condition holds, does not hold, or is unavailable where what it reads is not there. A rule triggers when all its ``all`` conditions and
+    one of its ``any`` conditions (where it has some) hold, none is unavailable, and those that hold are of as many domains as it needs
+    (mechanistic rules: ``mechanistic_domains`` at least). Confidence is high from three domains on, else moderate.
+
+    Without ``trends`` a rule needs ``minimum_records`` records in the record's baseline, one unavailable item where it has fewer, and trends are
+    features named ``trend.<feature>`` that are over or under 0. With ``trends`` each comparison with a baseline of fewer records is
+    unavailable by itself, slopes are held against the threshold, features without a row have a domain by their name, and a
+    condition that does not hold lowers confidence one step.
+    """
+    if trends is None:
+        trends = features.where("feature LIKE 'trend.%'").select(*record, F.expr("substring(feature, 7)").alias("feature"), F.col("value").alias("slope"))
+        longitudinal = False
+    else:
+        longitudinal = True
+    listed = conditions.join(rules, "rule")  # a configuration: as many rows as its rules have conditions
+    asked = features.select(record).distinct().join(listed)
+    on = [*record, "feature"]
+    c = asked.join(features.select(*on, "value", "warning", "domain", F.lit(True).alias("_found")), on, "left")
+    c = c.join(comparisons.select(*on, "relative", "log_ratio", "robust_z", F.col("records").alias("_compared")), on, "left").join(trends.select(*on, "slope"), on, "left")
+    v = F.col("threshold") if longitudinal else F.when(F.col("operator").startswith("trend_"), 0.0).otherwise(F.col("threshold"))
+    holds = F.lit(None).cast("boolean")
+    for name, test in OPERATORS.items():
+        holds = F.when(F.col("operator") == name, test(v)).otherwise(holds)
+    if longitudinal:
+        short = F.col("operator").isin(AGAINST_BASELINE) & (F.col("minimum_records") > 0) & ~F.coalesce(F.col("_compared") >= F.col("minimum_records"), F.lit(False))
+        holds = F.when(~short, holds)
+        domain = F.when(F.col("feature").contains("drift"), "drift").otherwise("data_quality")
+        for start, name in DOMAINS.items():
+            domain = F.when(F.col("feature").startswith(start), name).otherwise(domain)
+        c = c.withColumn("domain", F.coalesce("domain", domain))
+    c = c.withColumn("_holds", holds)
+    g = c.groupBy(*record, "rule").agg(
+        F.count_if("_holds").alias("satisfied"), F.count_if(~F.col("_holds")).alias("contradicted"), F.count_if(F.col("_holds").isNull()).alias("unavailable"),
+        F.count_distinct(F.when(F.col("_holds"), F.col("domain"))).alias("domains"), F.count_if((F.col("part") == "all") & ~F.coalesce("_holds", F.lit(False))).alias("_missed"),
+        F.count_if(F.col("part") == "any").alias("_any"), F.count_if((F.col("part") == "any") & F.coalesce("_holds", F.lit(False))).alias("_one"),
+        *(F.first(x).alias(x) for x in ("severity", "mechanistic", "minimum_domains", "minimum_records")),
+    )
+    if not longitudinal:
+        g = g.join(baselines.select(*record, "records"), record, "left") if baselines is not None else g.withColumn("records", F.lit(0))
+        g = g.withColumn("unavailable", F.col("unavailable") + F.when(F.coalesce("records", F.lit(0)) < F.col("minimum_records"), 1).otherwise(0))
+    needed = F.greatest("minimum_domains", F.when(F.col("mechanistic"), mechanistic_domains).otherwise(0))
+    g = g.withColumn("triggered", (F.col("_missed") == 0) & ((F.col("_any") == 0) | (F.col("_one") > 0)) & (F.col("unavailable") == 0) & (F.col("domains") >= needed))
+    grade = F.when(F.col("domains") >= 3, 3).otherwise(2) - (F.when(F.col("contradicted") > 0, 1).otherwise(0) if longitudinal else F.lit(0))
+    confidence = F.when(~F.col("triggered"), "insufficient").when(grade == 3, "high").when(grade == 2, "moderate").otherwise("low")
+    return g.select(*record, "rule", "triggered", confidence.alias("confidence"), "severity", "satisfied", "contradicted", "unavailable", "domains")

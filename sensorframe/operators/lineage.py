@@ -84,3 +84,27 @@ def independence(pairs: DataFrame, closure: DataFrame, family: DataFrame) -> Dat
     shared = F.coalesce(F.arrays_overlap("up_a", "up_b"), F.lit(False)) | (F.col("f_a") == F.col("f_b"))
     kind = F.when(F.col("a") == F.col("b"), "same_source").when(F.col("f_a").isNull() | F.col("f_b").isNull(), "unknown").when(shared, "partial").otherwise("independent")
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), kind.alias("class"), F.size(F.array_intersect(F.coalesce("up_a", F.array()), F.coalesce("up_b", F.array()))).alias("shared"))
+
+
+def resolve(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lineage of every artifact: (id, status, ancestors, missing, families).
+
+    ``artifacts`` has id and families (an array, null where unknown), ``edges`` child and parent; edges of children that are no artifacts are not
+    followed. Status is cycle where a cycle can be reached, else incomplete where an ancestor is no artifact (``missing`` lists those,
+    comma separated), else complete. ``families`` joins those of the artifact and all its known ancestors, and is null as soon as one is
+    unknown. An id that is only asked for, without an artifact, has no row: its status is root_missing by a left join.
+    """
+    nodes = artifacts.select("id", "families")
+    closure = ancestors(edges.join(nodes.select(F.col("id").alias("child")), "child", "left_semi").select("child", "parent"))
+    loops = closure.where(F.col("id") == F.col("ancestor")).select(F.col("id").alias("ancestor"), F.lit(True).alias("_loop"))
+    up = closure.join(nodes.select(F.col("id").alias("ancestor"), F.lit(True).alias("_known"), F.col("families").alias("_families")), "ancestor", "left").join(loops, "ancestor", "left")
+    g = up.groupBy("id").agg(
+        F.count("*").alias("ancestors"), F.bool_or(F.coalesce("_loop", F.lit(False))).alias("_cycle"), F.collect_list(F.when(F.col("_known").isNull(), F.col("ancestor"))).alias("_missing"),
+        F.bool_or(F.col("_known").isNotNull() & F.col("_families").isNull()).alias("_unknown"),
+    )
+    own = nodes.select("id", F.explode("families").alias("f")).union(up.select("id", F.explode("_families")))
+    names = own.distinct().groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("f")), ",").alias("_names"))
+    d = nodes.join(g, "id", "left").join(names, "id", "left")
+    status = F.when(F.col("_cycle"), "cycle").when(F.size("_missing") > 0, "incomplete").otherwise("complete")
+    unknown = F.col("families").isNull() | F.coalesce("_unknown", F.lit(False))
+    return d.select("id", status.alias("status"), F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce(F.array_join(F.sort_array("_missing"), ","), F.lit("")).alias("missing"), F.when(~unknown, F.coalesce("_names", F.lit(""))).alias("families"))
