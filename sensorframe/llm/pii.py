@@ -234,7 +234,8 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """(doc_id, spans) of every row: ``spans`` are (kind, start, end, base, score) by kind as in ``KINDS`` and then start, in code points
     with exclusive ends. Base spans (valid e-mail and IPv4 addresses, card numbers of 16 to 19 digits, telephone numbers with +)
     are always kept; looser forms (account numbers, social security numbers, national telephone numbers, IPv6, mail addresses with
-    (at), card numbers of 13 to 15 digits, base forms that fail their check) are kept with a score of ``least`` or more.
+    (at), card numbers of 13 to 15 digits) are kept with a score of ``least`` or more. Candidates that fail their kind's check (a checksum, a
+    range, a number of digits) teach the labelers and the classifier, but have the score 0.
 
     Labelers vote for, against or not at all; their reliabilities are estimated from how often each pattern of votes occurs over all
     rows. The classifier is trained on the features of all candidates, labelled with the chance that the votes give them. At most
@@ -261,7 +262,9 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         for j in range(len(FEATURES)):
             z = z + F.when(c["features"].bitwiseAND(F.lit(1 << j)) != 0, weights[len(KINDS) + j]).otherwise(0.0)
         name = F.element_at(F.array(*map(F.lit, KINDS)), c["kind"] + 1)
-        return F.struct(name.alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), (1 / (1 + F.exp(-z))).alias("score"))
+        failed = c["features"].bitwiseAND(F.lit(1 << FEATURES.index("check_against"))) != 0
+        score = F.when(failed, 0.0).otherwise(1 / (1 + F.exp(-z)))
+        return F.struct(name.alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), score.alias("score"))
 
     spans = F.filter(F.transform("found", scored), lambda s: s["base"] | (s["score"] >= least))
     return found.select(F.col("id").alias(doc_id), spans.alias("spans"))
