@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorframe.functions import complexes as Z
+from sensorframe.operators import kramers_kronig as K
 from sensorframe.operators import spectra as P
 from sensorframe.plans.common import Registry, rounded
 from sensorframe.sources.views import spectra
@@ -16,6 +17,7 @@ register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
 S = "WITH s AS (SELECT l_suppkey AS spectrum_id, l_quantity AS level, power(10.0, (l_quantity - 1) / 10) AS freq_hz, avg(l_extendedprice) AS z_re, -1e3 * avg(l_discount) AS z_im FROM lineitem GROUP BY ALL)"
 PREP = S + f", p AS (SELECT *, 2 * {math.pi!r} * freq_hz AS omega, greatest(sqrt(z_re * z_re + z_im * z_im), 1.0) AS weight, row_number() OVER (PARTITION BY spectrum_id ORDER BY freq_hz DESC) AS rank FROM s QUALIFY count(*) OVER (PARTITION BY spectrum_id) >= 3)"
+ID = "spectrum_id"
 GRID = [(f"zarc{a}", 10.0**-e, a) for e in range(6) for a in (0.7, 0.85)] + [("rc", 10.0**-e, 1.0) for e in range(6)]
 
 
@@ -150,3 +152,34 @@ register(
     lambda s, d: rounded(prep(s, d).select("spectrum_id", "level", *(lambda z: (z.re.alias("re"), z.im.alias("im")))(Z.circuit(("series", ["R0", ("parallel", ["R1", "C1"])]), {"R0": [F.lit(260.0)], "R1": [F.lit(5000.0)], "C1": [F.lit(2e-5)]}, F.col("omega")))), 4),
     PREP + " SELECT spectrum_id, level, round(260 + 5000 / (1 + power(omega * 0.1, 2)), 4) AS re, round(-5000 * omega * 0.1 / (1 + power(omega * 0.1, 2)), 4) AS im FROM p",
 )
+
+
+def kk(s, d):
+    return K.kramers_kronig(spectra(s, d), [ID])
+
+
+def _eliminated(p: int) -> str:
+    """CTEs that solve the system a11..app, b1..bp of table n0 by elimination and substitution, one step each."""
+    out = ""
+    for k in range(1, p):
+        cells = [f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k} AS a{i}{j}" for i in range(k + 1, p + 1) for j in range(k + 1, p + 1)] + [f"b{i} - a{i}{k} * b{k} / a{k}{k} AS b{i}" for i in range(k + 1, p + 1)]
+        out += f", n{k} AS (SELECT * REPLACE ({', '.join(cells)}) FROM n{k - 1})"
+    for k in range(p, 0, -1):
+        known = "".join(f" - a{k}{j} * x{j}" for j in range(k + 1, p + 1))
+        out += f", x{k} AS (SELECT *, (b{k}{known}) / a{k}{k} AS x{k} FROM {f'x{k + 1}' if k < p else f'n{p - 1}'})"
+    return out
+
+
+_P, _TAU = 4, "exp(ln(tau_min) + {k} / 2.0 * ln(tau_max / tau_min))"
+_COLUMNS = [("1.0", "0.0")] + [(f"1 / (1 + power(w * {_TAU.format(k=k)}, 2))", f"-(w * {_TAU.format(k=k)}) / (1 + power(w * {_TAU.format(k=k)}, 2))") for k in range(3)]
+register(
+    "g08_kramers_kronig",
+    lambda s, d: rounded(K.kramers_kronig(spectra(s, d), [ID], first=3, most=3).select(ID, "m", "n", "mu", *((F.col("series") if not k else F.get("resistances", F.lit(k - 1))).alias(f"r{k}") for k in range(4)), F.sqrt(F.col("rss") / F.col("n")).alias("rms")), 4),
+    """WITH q AS (SELECT l_suppkey AS spectrum_id, power(10.0, (l_quantity - 1) / 10) AS f, avg(l_extendedprice) AS z_re, -1e3 * avg(l_discount) AS z_im FROM lineitem GROUP BY l_suppkey, l_quantity),
+ t AS (SELECT *, 2 * pi() * f AS w, 1 / (2 * pi() * max(f) OVER (PARTITION BY spectrum_id)) AS tau_min, 1 / (2 * pi() * min(f) OVER (PARTITION BY spectrum_id)) AS tau_max FROM q),
+ c AS (SELECT *, """ + ", ".join(f"{re} AS p{i}, {im} AS q{i}" for i, (re, im) in enumerate(_COLUMNS, 1)) + """ FROM t WHERE tau_min < tau_max),
+ n0 AS (SELECT spectrum_id, count(*) AS n, """ + ", ".join(f"sum(p{i} * p{j} + q{i} * q{j}) AS a{i}{j}" for i in range(1, _P + 1) for j in range(1, _P + 1)) + ", " + ", ".join(f"sum(p{i} * z_re + q{i} * z_im) AS b{i}" for i in range(1, _P + 1)) + " FROM c GROUP BY spectrum_id)" + _eliminated(_P) + """,
+ e AS (SELECT spectrum_id, sum(power(z_re - x1 * p1 - x2 * p2 - x3 * p3 - x4 * p4, 2) + power(z_im - x1 * q1 - x2 * q2 - x3 * q3 - x4 * q4, 2)) AS rss FROM c JOIN x1 USING (spectrum_id) GROUP BY spectrum_id)
+ SELECT spectrum_id, 3::BIGINT AS m, n, round(CASE WHEN least(x2, x3, x4) < 0 THEN 1 - (greatest(x2, 0) + greatest(x3, 0) + greatest(x4, 0)) / -(least(x2, 0) + least(x3, 0) + least(x4, 0)) ELSE -1.0 END, 4) AS mu, round(x1, 4) AS r0, round(x2, 4) AS r1, round(x3, 4) AS r2, round(x4, 4) AS r3, round(sqrt(rss / n), 4) AS rms FROM x1 JOIN e USING (spectrum_id)""",
+)
+register("g08_kramers_kronig_residuals", lambda s, d: rounded(K.residuals(spectra(s, d), kk(s, d), [ID]).select(ID, "freq_hz", "res_re", "res_im")))

@@ -30,14 +30,15 @@ def number(token: Column) -> Column:
     return F.when(~F.lower(F.trim(token)).isin(MISSING) & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
-def read_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Delimited logs of a folder as (readings, issues, failed).
+def read_logs(spark: SparkSession, path: str, name: str = "file_name") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Delimited logs of a folder as (readings, issues, failed). ``name`` says what tells files apart: file_name, or file_path where
+    folders hold files of one name.
 
     The preamble ends at the first line of two or more fields one of which is a time header; other columns are channels. Lines
     keep their numbers in the file. A bad time skips the row, a bad value is null; both, and rows of another width, are issues.
     Files without a time header are in ``failed``. Files are read in parallel, a file in one row.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col(f"_metadata.{name}").alias("file"), F.col("value"))
     lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).where(F.trim("line") != "")
     lines = lines.withColumn("cells", F.transform(F.split("line", r"\s*[,;\t]\s*"), lambda c: F.trim(c)))
     name = F.transform("cells", lambda c: F.lower(header_parts(c)["name"]))
