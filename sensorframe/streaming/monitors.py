@@ -116,11 +116,99 @@ def scalar_filter(stream: DataFrame, key: list[str], q: float, r: float, confide
 
 
 def drop_late_duplicates(stream: DataFrame, key: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Identical repeated rows within the watermark are dropped; conflicting ones (same time, other value) pass on, to be parted by
-    ``operators.assess.part_conflicts``."""
+    """Identical repeated rows within the watermark are dropped; conflicting ones (same time, other value) pass on;
+    :func:`part_conflicts` holds them back."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*key, "t_s", "value"])
 
 
+class ConflictHolder(StatefulProcessor):
+    """Holds the rows of one time of a series until the watermark passes it, then lets the first of equal rows go, or all that conflict."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "row_idx bigint, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            self.rows.appendList([(int(r.row_idx), None if pd.isna(r.value) else float(r.value)) for r in part.itertuples(index=False)])
+            self.handle.registerTimer(int(part["ts"].iloc[0].timestamp() * 1000))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.rows.exists():
+            rows = sorted(self.rows.get(), key=lambda r: r[0])
+            conflict = len({r[1] for r in rows}) > 1
+            yield pd.DataFrame([(*key, r[0], r[1], "quarantined" if conflict else "kept") for r in (rows if conflict else rows[:1])], columns=self.out)
+            self.rows.clear()
+
+    def __init__(self, out: list[str]):
+        self.out = out
+
+    def close(self) -> None:
+        pass
+
+
+def part_conflicts(stream: DataFrame, key: list[str], delay: str = "10 minutes") -> DataFrame:
+    """Rows with a fate, the twin of ``operators.assess.part_conflicts``: of rows with one key, time and value the first by row_idx is kept,
+    all rows of a time with different values are quarantined. A time's rows come out once the watermark has passed it; state is kept per
+    key and time, so a busy key is spread. Rows later than ``delay`` are dropped by the watermark."""
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in [*key, "t_s"])
+    schema = StructType.fromDDL(f"{kinds}, row_idx bigint, value double, fate string")
+    rows = stream.withWatermark("ts", delay).select(*key, "t_s", "ts", F.col("row_idx").cast("bigint").alias("row_idx"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy(*key, "t_s").transformWithStateInPandas(statefulProcessor=ConflictHolder(schema.names), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class OrderedMatcher(StatefulProcessor):
+    """Pairs left rows with their nearest unused right rows in order of time, each once the watermark is a tolerance past it."""
+
+    def __init__(self, out: list[str], tolerance: float):
+        self.out, self.tolerance = out, tolerance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.left, self.right = (handle.getListState(name, "x double, id bigint") for name in ("left", "right"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for side, kept in (("l", self.left), ("r", self.right)):
+                own = part[part["side"] == side]
+                if len(own):
+                    kept.appendList([(float(r.x), int(r.id)) for r in own.itertuples(index=False)])
+            for x in part.loc[part["side"] == "l", "x"]:
+                self.handle.registerTimer(int((x + self.tolerance) * 1000) + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        left = sorted(tuple(r) for r in self.left.get()) if self.left.exists() else []
+        due = [r for r in left if r[0] + self.tolerance <= now]
+        if due:
+            right = sorted(tuple(r) for r in self.right.get()) if self.right.exists() else []
+            made = []
+            for x, li in due:
+                near = min(((abs(x - rx), rx, ri) for rx, ri in right if abs(x - rx) <= self.tolerance), default=None)
+                if near:
+                    right.remove(near[1:])
+                    made.append((*key, li, near[2], near[0]))
+            # later left rows are at the watermark or after it, waiting ones less than a tolerance before it
+            for kept, rows in ((self.left, left[len(due) :]), (self.right, [r for r in right if r[0] >= now - 2 * self.tolerance])):
+                kept.put(rows) if rows else kept.clear()
+            yield pd.DataFrame(made, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+def match_ordered(stream: DataFrame, key: list[str], tolerance: float, delay: str = "10 minutes") -> DataFrame:
+    """Pairs (li, ri, d), the twin of ``operators.estimation.match_ordered``, of a stream with key, side (l or r), id, x (seconds since 1970) and
+    ts, the same as a timestamp. A left row is decided once the watermark is ``tolerance`` past it; the last ones of a stream that ends
+    wait. State holds a key's rows of twice the tolerance and the delay."""
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in key)
+    schema = StructType.fromDDL(f"{kinds}, li bigint, ri bigint, d double")
+    rows = stream.withWatermark("ts", delay).select(*key, "side", F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"), "ts")
+    return rows.groupBy(*key).transformWithStateInPandas(statefulProcessor=OrderedMatcher(schema.names, tolerance), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 def latest_event(stream: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
     """Each reading with the latest event of a static table at or before it, as event_t and event_value; nulls before the first.
 
