@@ -148,12 +148,43 @@ def matched(s, d):
     return T.match_ordered(r.where("channel = 'click'"), r.where("channel = 'view'"), ["sensor_id"], 21600.0)
 
 
-register("c13_truth_alignment", lambda s, d: rounded(matched(s, d), 4))
+def greedy_sql(left: str, right: str, key: str, tolerance: float) -> str:
+    """CTEs of the same pairing: each left row in turn takes the first of its candidates that is not in the list of those taken."""
+    return f""" lt AS (SELECT {key}, id, x, row_number() OVER (PARTITION BY {key} ORDER BY x, id) AS i FROM {left}),
+ cd AS (SELECT l.{key} AS k, l.i, list({{'d': abs(l.x - b.x), 'rx': b.x, 'ri': b.id}} ORDER BY abs(l.x - b.x), b.x, b.id) AS c FROM lt l JOIN {right} b ON l.{key} = b.{key} AND abs(l.x - b.x) <= {tolerance!r} GROUP BY l.{key}, l.i),
+ rows_ AS (SELECT lt.{key} AS k, lt.id, lt.i, coalesce(c, []) AS c FROM lt LEFT JOIN cd ON cd.k = lt.{key} AND cd.i = lt.i),
+ step AS (SELECT k, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS li, NULL::BIGINT AS ri, NULL::DOUBLE AS d FROM (SELECT DISTINCT k FROM rows_)
+ UNION ALL SELECT k, i, CASE WHEN f IS NULL THEN used ELSE list_append(used, f.ri) END, id, f.ri, f.d FROM (SELECT s.k, n.i, n.id, s.used, list_filter(n.c, lambda z: NOT list_contains(s.used, z.ri))[1] AS f FROM step s JOIN rows_ n ON n.k = s.k AND n.i = s.i + 1)),
+ pairs AS (SELECT k AS {key}, li, ri, d FROM step WHERE ri IS NOT NULL)"""
+
+
+CLICKS = R.replace("WITH r", "WITH RECURSIVE r") + ", cl AS (SELECT sensor_id, row_idx AS id, t_s AS x FROM r WHERE channel = 'click'), vw AS (SELECT sensor_id, row_idx AS id, t_s AS x FROM r WHERE channel = 'view'),"
+register("c13_truth_alignment", lambda s, d: rounded(matched(s, d), 4), CLICKS + greedy_sql("cl", "vw", "sensor_id", 21600.0) + " SELECT sensor_id, li, ri, round(d, 4) AS d FROM pairs")
+
+
+def aligned(s, d):
+    """All clicks and views with what became of them: matched, or without a partner on their side."""
+    r, m = readings(s, d), matched(s, d)
+    own = lambda channel, side: r.where(F.col("channel") == channel).select("sensor_id", F.col("row_idx").alias(side), F.col("value").alias(f"{side}_value"))
+    both = m.join(own("click", "li"), ["sensor_id", "li"], "full").join(own("view", "ri"), ["sensor_id", "ri"], "full")
+    fate = F.when(F.col("li").isNull(), "unmatched_right").when(F.col("ri").isNull(), "unmatched_left").otherwise("matched")
+    return both.select("sensor_id", "li", "ri", fate.alias("fate"), (F.col("li_value") - F.col("ri_value")).alias("error"))
+
+
+register(
+    "c13_alignment_fates",
+    lambda s, d: rounded(aligned(s, d), 4),
+    CLICKS + greedy_sql("cl", "vw", "sensor_id", 21600.0) + """, m AS (SELECT p.sensor_id, li, ri, a.value - b.value AS error FROM pairs p JOIN r a ON a.row_idx = li JOIN r b ON b.row_idx = ri)
+ SELECT sensor_id, li, ri, 'matched' AS fate, round(error, 4) AS error FROM m UNION ALL SELECT sensor_id, id, NULL, 'unmatched_left', NULL FROM cl WHERE id NOT IN (SELECT li FROM m) UNION ALL SELECT sensor_id, NULL, id, 'unmatched_right', NULL FROM vw WHERE id NOT IN (SELECT ri FROM m)""",
+)
+LEVELS = """WITH RECURSIVE o AS (SELECT l_suppkey AS series, log10(l_quantity / 1000) AS x, l_extendedprice / 1e5 AS y, l_quantity AS level, lag(l_quantity) OVER w AS prev, row_number() OVER w AS id FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey)),
+ dn AS (SELECT series, id, x FROM o WHERE level < prev), up AS (SELECT series, id, x FROM o WHERE level > prev),""" + greedy_sql("dn", "up", "series", 0.01) + ", h AS (SELECT p.series, li, ri, a.y - b.y AS difference FROM pairs p JOIN o a ON a.series = p.series AND a.id = li JOIN o b ON b.series = p.series AND b.id = ri)"
+register("c14_hysteresis_pairs", lambda s, d: rounded(_hysteresis(s, d), 6), LEVELS + " SELECT series, li, ri, round(difference, 6) AS difference FROM h")
 register(
-    "c14_hysteresis_pairs",
-    lambda s, d: rounded(_hysteresis(s, d), 6),
+    "d25_hysteresis_summary",
+    lambda s, d: rounded(_hysteresis(s, d).groupBy("series").agg(F.count("*").alias("pairs"), F.avg("difference").alias("mean"), F.percentile("difference", F.lit(0.5)).alias("median"), F.max(F.abs("difference")).alias("largest"))),
+    LEVELS + " SELECT series, count(*) AS pairs, round(avg(difference), 6) AS mean, round(quantile_cont(difference, 0.5), 6) AS median, round(max(abs(difference)), 6) AS largest FROM h GROUP BY series",
 )
-register("d25_hysteresis_summary", lambda s, d: rounded(_hysteresis(s, d).groupBy("series").agg(F.count("*").alias("pairs"), F.avg("difference").alias("mean"), F.percentile("difference", F.lit(0.5)).alias("median"), F.max(F.abs("difference")).alias("largest"))))
 
 
 def _hysteresis(s, d):

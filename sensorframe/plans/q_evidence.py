@@ -172,23 +172,13 @@ def _robust(s, d):
     return k.agg(F.count("*").alias("n"), F.when((F.count("*") >= 20) & (F.max("c") - F.min("c") > 3600), F.abs(S.pearson("a", "b"))).alias("rho"))
 
 
-register("g14_residual_bootstrap", lambda s, d: rounded(bootstrap(s, d, 50)))
-
-
-def bootstrap(s, d, replicates, seed=42):
-    """Percentile interval of the calibration slope from resampled residuals: a replicate picks residuals by hash and is refitted
-    from sums; replicates are exploded rows."""
-    o = observations(s, d).select("series", "x", "y", F.row_number().over(W.partitionBy("series").orderBy("d", "o", "l", "p")).alias("i"))
-    f = S.ols(o, ["series"]).select("series", "slope", "intercept", "n")
-    o = o.join(f, "series").withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x")).withColumn("res", F.col("y") - F.col("fit"))
-    draws = o.select("series", "x", "fit", "n", "i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    draws = draws.withColumn("pick", (F.pmod(F.xxhash64(F.lit(seed), "rep", "i", "series"), F.col("n")) + 1).cast("int"))
-    draws = draws.join(o.select("series", F.col("i").alias("pick"), "res"), ["series", "pick"]).withColumn("z", F.col("fit") + F.col("res"))
-    slopes = draws.groupBy("series", "rep").agg(F.try_divide(F.covar_pop("x", "z"), F.var_pop("x")).alias("slope"))
-    return slopes.groupBy("series").agg(F.count("slope").alias("replicates"), F.percentile("slope", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("series", "replicates", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-
-
-register("g19_compatibility_share", lambda s, d: rounded(compatibility(s, d, 200)))
+register(
+    "g19_compatibility_share",
+    lambda s, d: rounded(compatibility(s, d, 200)),
+    R + """, m AS (SELECT sensor_id, channel, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS se FROM r WHERE channel IN ('click', 'view') GROUP BY ALL HAVING count(*) >= 2), p AS (SELECT a.sensor_id, a.mean AS a, a.se AS sa, b.mean AS b, b.se AS sb FROM m a JOIN m b ON a.sensor_id = b.sensor_id AND a.channel = 'click' AND b.channel = 'view'),
+ u AS (SELECT p.*, (CAST('0x' || substr(md5('7:r:' || sensor_id || ':' || k), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS ur, (CAST('0x' || substr(md5('7:t:' || sensor_id || ':' || k), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS ut FROM p, range(1, 201) t(k)),
+ q AS (SELECT sensor_id, a + sa * sqrt(-2 * ln(ur)) * cos(2 * pi() * ut) AS x, b + sb * sqrt(-2 * ln(ur)) * sin(2 * pi() * ut) AS y FROM u) SELECT sensor_id, round(avg(CASE WHEN greatest(x, y) <= 1.2 * least(x, y) AND least(x, y) > 0 THEN 1.0 ELSE 0.0 END), 6) AS share FROM q GROUP BY sensor_id""",
+)
 
 
 def compatibility(s, d, draws, seed=7):
@@ -197,7 +187,8 @@ def compatibility(s, d, draws, seed=7):
     p = m.where("channel = 'click'").select("sensor_id", F.col("mean").alias("a"), F.col("se").alias("sa")).join(m.where("channel = 'view'").select("sensor_id", F.col("mean").alias("b"), F.col("se").alias("sb")), "sensor_id")
 
     def uniform(tag):
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "sensor_id", "k"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        text = F.concat_ws(":", F.lit(seed), F.lit(tag), F.col("sensor_id").cast("string"), F.col("k").cast("string"))
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint") + 0.5) / float(1 << 48)
 
     k = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k"))
     r, t = F.sqrt(-2 * F.log(uniform("r"))), 2 * F.pi() * uniform("t")

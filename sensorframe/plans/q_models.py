@@ -71,6 +71,24 @@ register(
  CASE WHEN any_value(p) > 1 THEN round(quantile_cont(b2, 0.025), 5) END AS b2_lower, CASE WHEN any_value(p) > 1 THEN round(quantile_cont(b2, 0.975), 5) END AS b2_upper FROM x GROUP BY series, model""",
 )
 
+FREE = [L.Model("free", ("x",))]
+
+
+def slope_intervals(s, d, replicates=50):
+    r = L.expand(obs(s, d).withColumn("one", F.lit(1.0)), FREE, "y", "one", [*KEY, *ORDER])
+    out = L.bootstrap(r, L.fit(r, KEY), KEY, F.floor(F.col("o") / 1000), ORDER, replicates=replicates)
+    return out.select("series", F.col("succeeded").alias("replicates"), F.col("b1_lower").alias("low"), F.col("b1_upper").alias("high"))
+
+
+register(
+    "g14_residual_bootstrap",
+    lambda s, d: rounded(slope_intervals(s, d)),
+    ROWS + """, g AS (SELECT series, count(*) AS n, covar_pop(x, y) / var_pop(x) AS b1, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS b0 FROM o GROUP BY series),
+ y AS (SELECT o.series, x, b0 + b1 * x AS fit, y - b0 - b1 * x AS res, n, row_number() OVER (PARTITION BY o.series ORDER BY o, l, part) - 1 AS i FROM o JOIN g USING (series)), k AS (SELECT y.*, rep, CAST('0x' || substr(md5('42:' || rep || ':' || i), 1, 12) AS BIGINT) % n AS pick FROM y, range(50) t(rep)),
+ b AS (SELECT k.series, rep, covar_pop(k.x, k.fit + y.res) / var_pop(k.x) AS slope FROM k JOIN y ON y.series = k.series AND y.i = k.pick GROUP BY k.series, rep)
+ SELECT series, count(*) AS replicates, round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high FROM b GROUP BY series""",
+)
+
 GRID = T.Grid(high=0.0, steps=5, betas=(0.5, 0.8), rounds=1)
 SENSOR = ["sensor_id"]
 
