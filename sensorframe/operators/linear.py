@@ -23,6 +23,10 @@ _TERMS = ["", *(f"{j}" for j in range(1, P + 1)), "t", *(f"{j}{k}" for j, k in _
 SUMS = [kind + term for kind in ("w", "u") for term in _TERMS]
 
 
+#: Names of columns that sums and fits add.
+RESERVED = {*SUMS, "model", "place", "p", "precision", "prior", "z1", "z2", "z3", "t", "m1", "m2", "m3", "mt", "a0", "b1", "b2", "b3", "intercept", "n", "parameters", "rss", "wrss", "s2"}
+
+
 @dataclass(frozen=True)
 class Model:
     """Regressors and the part of the target that is known are SQL expressions of an observation; ``prior`` is a value and standard
@@ -38,6 +42,9 @@ def expand(obs: DataFrame, models: list[Model], y: str, w: str, keep: list[str])
     """A row per observation and model: ``keep``, model, place (the model's number), p (regressors), z1 to z3 (0 beyond p), t, w, and the
     prior's precision and value. Rows that lack a value of their model go."""
 
+    if taken := RESERVED & set(keep):
+        raise ValueError(f"columns of these names are made here, rename yours: {sorted(taken)}")
+
     def one(i: int, m: Model) -> Column:
         z = [F.expr(r) for r in m.regressors] + [F.lit(0.0)] * (P - len(m.regressors))
         precision, value = (1 / m.prior[1] ** 2, m.prior[0]) if m.prior else (0.0, 0.0)
@@ -118,7 +125,7 @@ def _solved(at: dict[str, np.ndarray], kind: str, squares: tuple[str, ...], leas
 
 
 def fit(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row per key and model of :func:`expand`: n, k, intercept, b1 to b3 with their standard errors, rss, wrss, rmse, r2, adj_r2,
+    """One row per key and model of :func:`expand`: n, parameters, intercept, b1 to b3 with their standard errors, rss, wrss, rmse, r2, adj_r2,
     aic, aicc, bic. Models that the rows do not determine have nulls."""
     by = [*key, "model"]
     return described(solve(cells(rows, by, by)))
@@ -126,14 +133,14 @@ def fit(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def described(s: DataFrame) -> DataFrame:
     c, n = F.col, F.col("u")
-    s = s.withColumn("k", (c("p") + 1).cast("bigint")).withColumnsRenamed({"ss_u": "rss", "ss_w": "wrss"})
+    s = s.withColumn("parameters", (c("p") + 1).cast("bigint")).withColumnsRenamed({"ss_u": "rss", "ss_w": "wrss"})
     penalty = c("precision") * (c("b1") - c("prior")) ** 2
-    s = s.withColumn("_free", n + F.when(c("precision") > 0, 1).otherwise(0) - c("k")).withColumn("s2", F.when(c("_free") > 0, (c("wrss") + penalty) / c("_free")).otherwise(0.0))
+    s = s.withColumn("_free", n + F.when(c("precision") > 0, 1).otherwise(0) - c("parameters")).withColumn("s2", F.when(c("_free") > 0, (c("wrss") + penalty) / c("_free")).otherwise(0.0))
     m = {j: c(f"m{j}") + c(f"w{j}") / c("w") for j in range(1, P + 1)}
     at_zero = 1 / c("w") + sum((1 if j == k else 2) * F.when(c("p") >= k, m[j] * m[k] * c(f"v{j}{k}")).otherwise(0.0) for j, k in _PAIRS)
     s = s.withColumn("intercept_se", F.sqrt(c("s2") * at_zero)).withColumns({f"b{j}_se": F.when(c("p") >= j, F.sqrt(c("s2") * c(f"v{j}{j}"))) for j in range(1, P + 1)})
     s = s.withColumns({f"b{j}": F.when(c("p") >= j, c(f"b{j}")) for j in range(1, P + 1)})
-    k, aic = c("k"), n * F.log(F.greatest(c("rss"), F.lit(EPSILON)) / n) + 2 * F.col("k")
+    k, aic = c("parameters"), n * F.log(F.greatest(c("rss"), F.lit(EPSILON)) / n) + 2 * F.col("parameters")
     total = c("utt") - c("ut") * c("ut") / n
     s = s.withColumns({
         "n": n.cast("bigint"), "rmse": F.sqrt(c("rss") / n), "aic": aic, "aicc": F.when(n > k + 1, aic + 2.0 * k * (k + 1) / (n - k - 1)), "bic": aic - 2 * k + k * F.log(n),
@@ -142,8 +149,6 @@ def described(s: DataFrame) -> DataFrame:
     return s.drop("_free")
 
 
-RESULT = ["place", "n", "k", "intercept", "b1", "b2", "b3", "intercept_se", "b1_se", "b2_se", "b3_se", "rss", "wrss", "rmse", "r2", "adj_r2", "aic", "aicc", "bic"]
-
 
 def fit_and_validate(rows: DataFrame, key: list[str], fold: list[str]) -> DataFrame:
     """:func:`fit` of every model, with leave-one-fold-out validation from the same sums: cv_rmse, cv_bias, cv_n (rows predicted), cv_failed

@@ -33,7 +33,7 @@ class Grid:
     betas: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9)
     beta_low: float = 0.05
     beta_high: float = 1.0
-    rounds: int = 3
+    rounds: int = 5
     ratio: float = 3.0
 
     @property
@@ -105,13 +105,15 @@ def _reduced(points: DataFrame, key: list[str]) -> DataFrame:
 
 
 def fit_responses(points: DataFrame, key: list[str], *, t: str = "local", y: str = "v", models: tuple[str, ...] = tuple(MODELS), grid: Grid = Grid()) -> DataFrame:
-    """The best fit of every model to each segment: key, model, n, k, duration, tau_fast, tau_slow, beta, e_infinity, a_fast, a_slow, drift,
+    """The best fit of every model to each segment: key, model, n, parameters, duration, tau_fast, tau_slow, beta, e_infinity, a_fast, a_slow, drift,
     rss, rmse, r2, adj_r2, aic, aicc, bic. The response is e_infinity + a_fast exp(-(t / tau_fast)^beta) + a_slow exp(-t / tau_slow) +
     drift t; parameters that a model has not are null.
 
     Points with null or negative times or values that are no numbers are left out. A model needs two points more than it has
     parameters, and candidates that the points do not determine drop out; a segment without any fit of a model has no row for it. Time
-    constants are as exact as the last grid's step (by default 10^(0.25 / 27), 2 %)."""
+    constants are as exact as the last grid's step (by default 10^(0.25 / 243), 0.3 %)."""
+    if taken := (linear.RESERVED | {"fast", "slow", "beta", "span"}) & set(key):
+        raise ValueError(f"columns of these names are made here, rename yours: {sorted(taken)}")
     d = points.where((F.col(t) >= 0) & ~F.isnan(t) & F.col(y).isNotNull() & ~F.isnan(y)).select(*key, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_v"))
     spans = d.groupBy(key).agg(F.max("_t").alias("_span"), F.count("*").alias("_n")).where("_span > 0")
     d = d.join(spans, key)
@@ -129,7 +131,7 @@ def fit_responses(points: DataFrame, key: list[str], *, t: str = "local", y: str
     n, rss = c("n"), F.greatest("rss", F.lit(linear.EPSILON))
     aic = n * F.log(rss / n) + 2 * k
     return best.select(
-        *key, "model", "n", k.cast("bigint").alias("k"), c("span").alias("duration"), tau("fast").alias("tau_fast"), F.when(two, tau("slow")).alias("tau_slow"), F.when(c("model") == "stretched", c("beta")).alias("beta"),
+        *key, "model", "n", k.cast("bigint").alias("parameters"), c("span").alias("duration"), tau("fast").alias("tau_fast"), F.when(two, tau("slow")).alias("tau_slow"), F.when(c("model") == "stretched", c("beta")).alias("beta"),
         c("intercept").alias("e_infinity"), c("b1").alias("a_fast"), F.when(two, c("b2")).alias("a_slow"), F.when(c("model") == "double_drift", c("b3") / c("span")).alias("drift"), "rss", "rmse", "r2",
         F.when((n > k + 1) & c("r2").isNotNull(), 1 - (1 - c("r2")) * (n - 1) / (n - k - 1)).alias("adj_r2"), aic.alias("aic"), F.when(n > k + 1, aic + 2.0 * k * (k + 1) / (n - k - 1)).alias("aicc"), (aic - 2 * k + k * F.log(n)).alias("bic"),
     )

@@ -52,8 +52,8 @@ FITS = ROWS + fit_sql("f", "e", "series, model") + """, r AS (SELECT series, mod
 register(
     "l06_model_choice",
     lambda s, d: rounded(C.fit_calibrations(rows(s, d), KEY, ["level"]).select(
-        *KEY, "model", "n", "k", "intercept", "b1", "b2", "intercept_se", "b1_se", "b2_se", "rss", "wrss", "adj_r2", "aicc", "bic", "cv_rmse", "cv_bias", "cv_n", "cv_failed", "delta", "weight", "selected"), 5),
-    FITS + """ SELECT series, model, n, CAST(k AS BIGINT) AS k, round(b0, 5) AS intercept, CASE WHEN p > 0 THEN round(b1, 5) END AS b1, CASE WHEN p > 1 THEN round(b2, 5) END AS b2,
+        *KEY, "model", "n", "parameters", "intercept", "b1", "b2", "intercept_se", "b1_se", "b2_se", "rss", "wrss", "adj_r2", "aicc", "bic", "cv_rmse", "cv_bias", "cv_n", "cv_failed", "delta", "weight", "selected"), 5),
+    FITS + """ SELECT series, model, n, CAST(k AS BIGINT) AS parameters, round(b0, 5) AS intercept, CASE WHEN p > 0 THEN round(b1, 5) END AS b1, CASE WHEN p > 1 THEN round(b2, 5) END AS b2,
  round(sqrt(s2 * (1 / sw + CASE p WHEN 0 THEN 0 WHEN 1 THEN m1 * m1 / s11 ELSE (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det END)), 5) AS intercept_se, CASE p WHEN 1 THEN round(sqrt(s2 / s11), 5) WHEN 2 THEN round(sqrt(s2 * s22 / det), 5) END AS b1_se, CASE p WHEN 2 THEN round(sqrt(s2 * s11 / det), 5) END AS b2_se,
  round(rss, 5) AS rss, round(wrss, 5) AS wrss, CASE WHEN n > k + 1 AND tss > 0 THEN round(1 - rss / tss * (n - 1) / (n - k - 1), 5) END AS adj_r2, CASE WHEN n > k + 1 THEN round(score, 5) END AS aicc, round(aic - 2 * k + k * ln(n), 5) AS bic, round(cv_rmse, 5) AS cv_rmse, round(cv_bias, 5) AS cv_bias, cv_n, cv_failed,
  round(delta, 5) AS delta, round(exp(-delta / 2) / sum(exp(-delta / 2)) OVER (PARTITION BY series), 5) AS weight, place = max(CASE WHEN delta < 1e-12 THEN place END) OVER (PARTITION BY series) AS selected FROM q""",
@@ -135,8 +135,8 @@ RESPONSES = (
 )
 register(
     "l04_analyze_transients",
-    lambda s, d: rounded(transients(s, d).select(*SENSOR, "model", "n", "k", "tau_fast", "tau_slow", "beta", "e_infinity", "a_fast", "a_slow", (F.col("drift") * F.col("duration")).alias("drifted"), "rss", "adj_r2", "aic", "aicc", "bic", "delta", "weight", "selected", "weak_support", "mae", "max_abs", "durbin_watson", "lag1"), 3),
-    RESPONSES + """, m AS (SELECT *, aic - min(aic) OVER (PARTITION BY sensor_id) AS delta FROM c) SELECT sensor_id, model, n, CAST(k AS BIGINT) AS k, round(tf, 3) AS tau_fast, CASE WHEN p > 1 THEN round(ts, 3) END AS tau_slow, CASE WHEN model = 'stretched' THEN round(beta, 3) END AS beta, round(b0, 3) AS e_infinity, round(b1, 3) AS a_fast,
+    lambda s, d: rounded(transients(s, d).select(*SENSOR, "model", "n", "parameters", "tau_fast", "tau_slow", "beta", "e_infinity", "a_fast", "a_slow", (F.col("drift") * F.col("duration")).alias("drifted"), "rss", "adj_r2", "aic", "aicc", "bic", "delta", "weight", "selected", "weak_support", "mae", "max_abs", "durbin_watson", "lag1"), 3),
+    RESPONSES + """, m AS (SELECT *, aic - min(aic) OVER (PARTITION BY sensor_id) AS delta FROM c) SELECT sensor_id, model, n, CAST(k AS BIGINT) AS parameters, round(tf, 3) AS tau_fast, CASE WHEN p > 1 THEN round(ts, 3) END AS tau_slow, CASE WHEN model = 'stretched' THEN round(beta, 3) END AS beta, round(b0, 3) AS e_infinity, round(b1, 3) AS a_fast,
  CASE WHEN p > 1 THEN round(b2, 3) END AS a_slow, CASE WHEN p > 2 THEN round(b3, 3) END AS drifted, round(rss, 3) AS rss, round(1 - rss / v2 * (n - 1) / (n - k - 1), 3) AS adj_r2, round(aic, 3) AS aic, CASE WHEN n > k + 1 THEN round(aic + 2.0 * k * (k + 1) / (n - k - 1), 3) END AS aicc, round(aic - 2 * k + k * ln(n), 3) AS bic, round(delta, 3) AS delta,
  round(exp(-delta / 2) / sum(exp(-delta / 2)) OVER (PARTITION BY sensor_id), 3) AS weight, row_number() OVER (PARTITION BY sensor_id ORDER BY aic, CASE model WHEN 'single' THEN 0 WHEN 'double' THEN 1 WHEN 'double_drift' THEN 2 ELSE 3 END) = 1 AS selected, delta > 10 AS weak_support, round(mae, 3) AS mae, round(max_abs, 3) AS max_abs, round(durbin_watson, 3) AS durbin_watson, round(lag1, 3) AS lag1
  FROM m JOIN (SELECT sensor_id, var_pop(v) * count(*) AS v2 FROM p GROUP BY sensor_id) USING (sensor_id)""",

@@ -151,7 +151,7 @@ class ConflictHolder(StatefulProcessor):
 def part_conflicts(stream: DataFrame, key: list[str], delay: str = "10 minutes") -> DataFrame:
     """Rows with a fate, the twin of ``operators.assess.part_conflicts``: of rows with one key, time and value the first by row_idx is kept,
     all rows of a time with different values are quarantined. A time's rows come out once the watermark has passed it; state is kept per
-    key and time, so a busy key is spread. Rows later than ``delay`` are dropped by the watermark."""
+    key and time, so a busy key is spread. Rows later than ``delay``, and times up to 1970, are dropped by the watermark."""
     kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in [*key, "t_s"])
     schema = StructType.fromDDL(f"{kinds}, row_idx bigint, value double, fate string")
     rows = stream.withWatermark("ts", delay).select(*key, "t_s", "ts", F.col("row_idx").cast("bigint").alias("row_idx"), F.col("value").cast("double").alias("value"))
