@@ -15,20 +15,21 @@ def baseline(features: DataFrame, key: list[str]) -> DataFrame:
     return b.join(mad, key).select("*", F.col("_q")[0].alias("b_q1"), F.col("_q")[1].alias("b_median"), F.col("_q")[2].alias("b_q3")).drop("_q")
 
 
-RANGES = 1024
+RANGES = 256
 
 
 def empirical_share(current: DataFrame, reference: DataFrame, base: DataFrame, key: list[str]) -> DataFrame:
-    """Adds to (key, value) rows ``share``: the part of the reference values of the key that are at or below each.
+    """Adds to (key, value) rows ``share``: the part of the reference values of the key that are at or below each, for keys of ``base``.
 
-    Equal values are counted first. Between its least and largest one a key's values fall into ``RANGES`` ranges; running counts
-    are taken inside a range and over a key's ranges, so no task or cell holds all values of a key.
+    Equal values are counted first. Approximate quantiles of the different values cut each key into about ``RANGES`` ranges of as many values,
+    however far apart they lie; running counts are taken inside a range and over a key's ranges, so no task or cell holds all values of a key.
     """
-    where = F.greatest(F.lit(-1), F.least(F.lit(RANGES), F.floor((F.col("value") - F.col("b_min")) / F.nullif(F.col("b_max") - F.col("b_min"), F.lit(0.0)) * RANGES)))
-    where = F.when(F.col("value") < F.col("b_min"), -1).when(F.col("value") >= F.col("b_max"), RANGES).otherwise(where).alias("_range")
     counts = reference.where(F.col("value").isNotNull()).groupBy(*key, "value").agg(F.count("*").alias("_n"))
-    asked = current.select(*key, "value").where(F.col("value").isNotNull()).distinct().withColumn("_n", F.lit(0).cast("long"))
-    rows = counts.unionByName(asked).join(base.select(*key, "b_min", "b_max"), key).select(*key, "value", "_n", where)
+    shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    cuts = counts.groupBy(key).agg(F.percentile_approx("value", shares, 4 * RANGES).alias("_cuts"))
+    asked = current.join(base.select(key), key, "left_semi").select(*key, "value").where(F.col("value").isNotNull()).distinct().withColumn("_n", F.lit(0).cast("long"))
+    where = F.size(F.filter("_cuts", lambda c: c < F.col("value"))).alias("_range")
+    rows = counts.unionByName(asked).join(cuts, key).select(*key, "value", "_n", where)
     per = rows.groupBy(*key, "_range").agg(F.sum("_n").alias("_in"))
     before = per.select(*key, "_range", (F.sum("_in").over(W.partitionBy(key).orderBy("_range")) - F.col("_in")).alias("_before"), F.sum("_in").over(W.partitionBy(key)).alias("_all"))
     run = F.sum("_n").over(W.partitionBy(*key, "_range").orderBy("value").rangeBetween(W.unboundedPreceding, 0))

@@ -10,6 +10,7 @@ from sensorframe.operators import lineage as G
 from sensorframe.operators import series as S
 from sensorframe.plans.common import Registry, rounded
 from sensorframe.plans.q_series import R
+from sensorframe.sources.storage import written
 from sensorframe.sources.views import readings, table
 
 register = Registry()
@@ -35,7 +36,8 @@ def base(s, d):
 
 
 def scored(s, d):
-    return H.deviations(features(s, d).where("record % 2 = 1"), features(s, d).where("record % 2 = 0"), CF)
+    f = written(features(s, d), "features")  # read for the baseline, its spread, shares and current values
+    return H.deviations(f.where("record % 2 = 1"), f.where("record % 2 = 0"), CF)
 
 
 BS = FT + """, b0 AS (SELECT context, feature, count(value) AS records, avg(value) AS b_mean, stddev_samp(value) AS b_sd, quantile_cont(value, 0.25) AS b_q1, quantile_cont(value, 0.5) AS b_median, quantile_cont(value, 0.75) AS b_q3, min(value) AS b_min, max(value) AS b_max, list_sort(list(value)) AS empirical FROM f WHERE record % 2 = 0 GROUP BY ALL),

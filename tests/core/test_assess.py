@@ -107,3 +107,12 @@ def test_predictions_without_a_model(spark):
     assert got[("a", 100.0)] == (5.0, 0.0, None) and got[("a", -1.0)][::2] == (None, "activity") and got[("b", 1.0)][::2] == (None, "model") and got[("a", 1e6)] == (13.0, 2.0, "extrapolated")
     back = assess.predict_activity(spark.createDataFrame([("a", 5.0), ("b", 1.0), ("a", None)], "k string, potential double"), fits, ["k"])
     assert [(r.activity and round(r.activity, 6), r.reason) for r in back.orderBy(F.col("potential").desc_nulls_last()).collect()] == [(100.0, None), (None, "model"), (None, "potential")]
+
+
+def test_shares_with_a_far_outlier(spark):
+    """One value far from all others must not put the others into one range."""
+    ref = spark.range(20_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") % 5000).cast("double").alias("value"))
+    asked = spark.createDataFrame([(1, -1.0), (1, 0.0), (1, 2499.0), (1, 2499.5), (1, 5000.0), (1, 1e12), (2, 1.0)], "k int, value double")
+    got = {r.value: r.share for r in fleet.empirical_share(asked, ref, fleet.baseline(ref, ["k"]), ["k"]).collect() if r.k == 1}
+    values = [1e12 if i == 0 else float(i % 5000) for i in range(20_000)]
+    assert got == {v: sum(x <= v for x in values) / 20_000 for v in got}
