@@ -103,10 +103,10 @@ def _hourly(s, d, channel):
 
 register(
     "c12_lagged_correlation",
-    lambda s, d: rounded(A.lagged_pairs(left(s, d), part(s, d, "view"), KEY, 21600.0, 2).where("n >= 3")),
+    lambda s, d: rounded(A.lagged_pairs(left(s, d), part(s, d, "view"), KEY, 21600.0, 2)),
     N + """, l AS (SELECT a.sensor_id, a.row_idx AS ia, lag, a.value AS va, arg_min(b.value, b.row_idx) AS vb FROM a, (VALUES (-2), (-1), (0), (1), (2)) f(lag), b
  WHERE a.sensor_id = b.sensor_id AND abs(b.t_s - (a.t_s + lag * 21600.0)) <= 10800 GROUP BY ALL)
- SELECT sensor_id, CAST(lag AS BIGINT) AS lag, count(*) AS n, round(CASE WHEN var_pop(va) > 0 AND var_pop(vb) > 0 THEN corr(va, vb) END, 6) AS r FROM l GROUP BY sensor_id, lag HAVING count(*) >= 3""",
+ SELECT sensor_id, CAST(lag AS BIGINT) AS lag, count(*) AS n, round(CASE WHEN var_pop(va) > 0 AND var_pop(vb) > 0 THEN corr(va, vb) END, 6) AS r FROM l GROUP BY sensor_id, lag""",
 )
 register(
     "d27_event_baselines",

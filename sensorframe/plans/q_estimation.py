@@ -225,8 +225,8 @@ register(
 )
 register(
     "e17_psd_peaks",
-    lambda s, d: rounded(P.peaks(psd(s, d), ["channel"], 2).select("channel", "bin", "power", "place"), 1),
-    PSD + ", n AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b FROM psd WINDOW w AS (PARTITION BY channel ORDER BY hz)), k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY power DESC, hz) AS place FROM n WHERE power >= a AND power >= b) SELECT channel, bin, round(power, 1) AS power, place FROM k WHERE place <= 2",
+    lambda s, d: rounded(P.peaks(psd(s, d), ["channel"], 5).select("channel", "bin", "power", "place"), 1),
+    PSD + ", n AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b FROM psd WINDOW w AS (PARTITION BY channel ORDER BY hz)), k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY power DESC, hz) AS place FROM n WHERE power >= a AND power >= b) SELECT channel, bin, round(power, 1) AS power, place FROM k WHERE place <= 5",
 )
 register(
     "e18_roll_off",

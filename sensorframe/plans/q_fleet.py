@@ -213,9 +213,9 @@ def families(s, d):
 
 register(
     "f04_independence",
-    lambda s, d: rounded(G.independence(supplier_pairs(s, d), G.ancestors(edges(s, d)).where("id LIKE 's%' AND ancestor NOT LIKE 'r%'"), families(s, d))),
-    "WITH " + ED + PR + """, f AS (SELECT 's' || s_suppkey AS id, s_nationkey AS n, CASE WHEN s_suppkey % 9 <> 0 THEN n_regionkey END AS family FROM supplier JOIN nation ON s_nationkey = n_nationkey)
- SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a = b THEN 'same_source' WHEN x.family IS NULL OR y.family IS NULL THEN 'unknown' WHEN x.n = y.n OR x.family = y.family THEN 'partial' ELSE 'independent' END AS class, CAST(CASE WHEN x.n = y.n THEN 1 ELSE 0 END AS BIGINT) AS shared FROM sp JOIN f x ON x.id = a JOIN f y ON y.id = b""",
+    lambda s, d: rounded(G.independence(supplier_pairs(s, d), G.ancestors(edges(s, d)).where("id LIKE 's%'"), families(s, d))),
+    "WITH " + ED + PR + """, f AS (SELECT 's' || s_suppkey AS id, s_nationkey AS n, n_regionkey AS rg, CASE WHEN s_suppkey % 9 <> 0 THEN n_regionkey END AS family FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a = b THEN 'same_source' WHEN x.family IS NULL OR y.family IS NULL THEN 'unknown' WHEN x.rg = y.rg OR x.family = y.family THEN 'partial' ELSE 'independent' END AS class, CAST(CASE WHEN x.n = y.n THEN 2 WHEN x.rg = y.rg THEN 1 ELSE 0 END AS BIGINT) AS shared FROM sp JOIN f x ON x.id = a JOIN f y ON y.id = b""",
 )
 register(
     "f05_canonical_pair",

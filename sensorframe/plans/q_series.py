@@ -131,22 +131,22 @@ def hourly(s, d, channel):
 
 
 HP = R + ", h AS (SELECT sensor_id, channel, CAST(floor(t_s / 21600) AS BIGINT) AS h, avg(value) AS v FROM r GROUP BY ALL), p AS (SELECT a.sensor_id, a.h, a.v AS va, b.v AS vb FROM h a JOIN h b ON a.sensor_id = b.sensor_id AND a.h = b.h AND a.channel = 'click' AND b.channel = 'view')"
-CORR = lambda s, d: S.correlate(hourly(s, d, "click"), hourly(s, d, "view"), ["sensor_id"], ["h"]).where("n >= 5")
+CORR = lambda s, d: S.correlate(hourly(s, d, "click"), hourly(s, d, "view"), ["sensor_id"], ["h"])
 RK = HP + ", k AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY va, h) AS oa, row_number() OVER (PARTITION BY sensor_id ORDER BY vb, h) AS ob, rank() OVER (PARTITION BY sensor_id ORDER BY va) + (count(*) OVER (PARTITION BY sensor_id, va) - 1) / 2 AS ta, rank() OVER (PARTITION BY sensor_id ORDER BY vb) + (count(*) OVER (PARTITION BY sensor_id, vb) - 1) / 2 AS tb FROM p)"
 register(
     "d14_pearson_covariance",
     lambda s, d: rounded(CORR(s, d).select("sensor_id", "n", "pearson", "covariance")),
-    HP + " SELECT sensor_id, count(*) AS n, round(corr(va, vb), 6) AS pearson, round(covar_samp(va, vb), 6) AS covariance FROM p GROUP BY sensor_id HAVING count(*) >= 5",
+    HP + " SELECT sensor_id, count(*) AS n, CASE WHEN var_pop(va) > 0 AND var_pop(vb) > 0 THEN round(corr(va, vb), 6) END AS pearson, round(covar_samp(va, vb), 6) AS covariance FROM p GROUP BY sensor_id",
 )
 register(
     "d15_spearman_ordinal",
     lambda s, d: rounded(CORR(s, d).select("sensor_id", "spearman_ordinal")),
-    RK + " SELECT sensor_id, round(corr(oa, ob), 6) AS spearman_ordinal FROM k GROUP BY sensor_id HAVING count(*) >= 5",
+    RK + " SELECT sensor_id, CASE WHEN var_pop(oa) > 0 AND var_pop(ob) > 0 THEN round(corr(oa, ob), 6) END AS spearman_ordinal FROM k GROUP BY sensor_id",
 )
 register(
     "d16_spearman_ties",
     lambda s, d: rounded(CORR(s, d).select("sensor_id", "spearman_ties")),
-    RK + " SELECT sensor_id, round(corr(ta, tb), 6) AS spearman_ties FROM k GROUP BY sensor_id HAVING count(*) >= 5",
+    RK + " SELECT sensor_id, CASE WHEN var_pop(ta) > 0 AND var_pop(tb) > 0 THEN round(corr(ta, tb), 6) END AS spearman_ties FROM k GROUP BY sensor_id",
 )
 register(
     "d21_residual_summary",
@@ -156,9 +156,9 @@ register(
 )
 register(
     "d21_autocorrelation",
-    lambda s, d: rounded(S.lag_pairs(readings(s, d), SERIES, 5)),
+    lambda s, d: rounded(S.lag_pairs(readings(s, d), SERIES, 49)),
     R + """, m AS (SELECT sensor_id, channel, row_number() OVER (PARTITION BY sensor_id, channel ORDER BY t_s, row_idx) AS i, value - avg(value) OVER (PARTITION BY sensor_id, channel) AS v FROM r),
- c AS (SELECT a.sensor_id, a.channel, b.i - a.i AS lag, sum(a.v * b.v) AS c FROM m a JOIN m b ON a.sensor_id = b.sensor_id AND a.channel = b.channel AND b.i BETWEEN a.i AND a.i + 5 GROUP BY ALL)
+ c AS (SELECT a.sensor_id, a.channel, b.i - a.i AS lag, sum(a.v * b.v) AS c FROM m a JOIN m b ON a.sensor_id = b.sensor_id AND a.channel = b.channel AND b.i BETWEEN a.i AND a.i + 49 GROUP BY ALL)
  SELECT c.sensor_id, c.channel, lag, round(c.c / z.c0, 6) AS acf FROM c JOIN (SELECT sensor_id, channel, c AS c0 FROM c WHERE lag = 0 AND c > 0) z USING (sensor_id, channel)""",
 )
 register(
@@ -202,10 +202,10 @@ register(
 )
 register(
     "e09_allan",
-    lambda s, d: rounded(S.allan(readings(s, d), SERIES, [1, 2, 4])),
+    lambda s, d: rounded(S.allan(readings(s, d), SERIES, [1, 2, 3, 4, 6, 8, 12, 16, 24, 32])),
     R + """, i AS (SELECT sensor_id, channel, row_number() OVER w AS i, sum(value) OVER w AS s FROM r WINDOW w AS (PARTITION BY sensor_id, channel ORDER BY t_s, row_idx)),
  z AS (SELECT * FROM i UNION ALL SELECT DISTINCT sensor_id, channel, 0, 0.0 FROM r),
- d AS (SELECT a.sensor_id, a.channel, m, (c.s - 2 * b.s + a.s) / m AS d FROM z a, (VALUES (1), (2), (4)) f(m), z b, z c WHERE a.sensor_id = b.sensor_id AND a.channel = b.channel AND b.i = a.i + m AND a.sensor_id = c.sensor_id AND a.channel = c.channel AND c.i = a.i + 2 * m)
+ d AS (SELECT a.sensor_id, a.channel, m, (c.s - 2 * b.s + a.s) / m AS d FROM z a, (VALUES (1), (2), (3), (4), (6), (8), (12), (16), (24), (32)) f(m), z b, z c WHERE a.sensor_id = b.sensor_id AND a.channel = b.channel AND b.i = a.i + m AND a.sensor_id = c.sensor_id AND a.channel = c.channel AND c.i = a.i + 2 * m)
  SELECT sensor_id, channel, CAST(m AS BIGINT) AS m, count(*) AS terms, round(sqrt(sum(d * d) / (2 * count(*))), 6) AS deviation, round(sqrt(sum(d * d) / (2 * count(*))) / sqrt(2.0 * count(*)), 6) AS se FROM d GROUP BY sensor_id, channel, m""",
 )
 EV = ", e AS (SELECT sensor_id, t_s - 7200.0 AS lo, t_s + 14400.0 AS hi FROM r WHERE channel = 'error')"
