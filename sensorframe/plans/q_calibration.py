@@ -198,3 +198,70 @@ register(
     lambda s, d: rounded(line(s, d).groupBy(F.col("l_orderkey").alias("solution")).agg((0.5 * F.sum(F.col("l_quantity") / 1000 * z_col() * z_col())).alias("ionic_strength"))),
     f"SELECT l_orderkey AS solution, round(0.5 * sum(l_quantity / 1000 * {Z_} * {Z_}), 6) AS ionic_strength FROM lineitem GROUP BY l_orderkey",
 )
+
+
+def temperatures(s, d):
+    """Slopes of each line's charge at its own temperature, where it has one, and at the two fixed ones, by convention."""
+    own = F.when(F.col("l_linenumber") % 3 != 0, t_col() - F.when(F.col("l_quantity") == 1, 400.0).otherwise(0.0))
+    out = line(s, d)
+    picked = {m: E.effective_temperature(m, own, 298.15, 293.15) for m in ("constant", "reference", "observation")}
+    slopes = {f"{m}_{sign}": E.response_slope(E.nernst_slope(t, -z_col()), sign) for m, t in picked.items() for sign in ("auto", "positive", "negative")}
+    return out.select(*keys(), *(c.alias(n) for n, c in slopes.items()))
+
+
+def _signed(t: str) -> str:
+    slope = f"(2.302585092994046 * {E.GAS} * {t} / (-{Z_} * {E.FARADAY}))"
+    return ", ".join(f"round(CASE WHEN {t} > 0 THEN {x} END, 6) AS {{m}}_{n}" for n, x in (("auto", slope), ("positive", f"abs{slope}"), ("negative", f"-abs{slope}")))
+
+
+_OWN = f"coalesce(CASE WHEN l_linenumber % 3 <> 0 THEN {T_} - CASE WHEN l_quantity = 1 THEN 400.0 ELSE 0.0 END END, 298.15)"
+register(
+    "j_temperature_policy",
+    lambda s, d: rounded(temperatures(s, d)),
+    f"SELECT {L}, {_signed('298.15').format(m='constant')}, {_signed('293.15').format(m='reference')}, {_signed(_OWN).format(m='observation')} FROM lineitem",
+)
+_MODELS = ("ideal", "davies", "debye_huckel", "conductivity", "user_provided")
+
+
+def evaluated(s, d):
+    """Activities by a model that goes with the quantity; some lines bring an activity or a coefficient of their own, some lack what it needs."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    model = F.element_at(F.array(*map(F.lit, _MODELS)), (q % 5 + 1).cast("int"))
+    a = E.evaluate_activity(
+        model, F.when(q != 17, F.col("l_discount") - F.when(q == 18, 1.0).otherwise(0.0) + 0.001), F.when(q == 19, 0.0).otherwise(z_col()), explicit=F.when(q == 20, F.col("l_tax") - 0.02), coefficient=F.when(n == 5, F.col("l_tax") - 0.01),
+        ionic=F.when(q != 21, F.col("l_discount") * 6), conductivity=F.when(q != 28, F.col("l_tax")), b0=0.1, b1=-2.0, conductivity_range=(0.01, 0.06),
+    )
+    return line(s, d).select(*keys(), a.alias("v")).select("*", "v.*").drop("v")
+
+
+register(
+    "j_activity_evaluation",
+    lambda s, d: rounded(evaluated(s, d)),
+    f"""WITH x AS (SELECT {L}, CASE l_quantity % 5 WHEN 0 THEN 'ideal' WHEN 1 THEN 'davies' WHEN 2 THEN 'debye_huckel' WHEN 3 THEN 'conductivity' ELSE 'user_provided' END AS m, CASE WHEN l_quantity <> 17 THEN l_discount - CASE WHEN l_quantity = 18 THEN 1.0 ELSE 0.0 END + 0.001 END AS c, CASE WHEN l_quantity = 19 THEN 0.0 ELSE {Z_} END AS z,
+ CASE WHEN l_quantity = 20 THEN l_tax - 0.02 END AS ea, CASE WHEN l_linenumber = 5 THEN l_tax - 0.01 END AS eg, CASE WHEN l_quantity <> 21 THEN l_discount * 6 END AS i, CASE WHEN l_quantity <> 28 THEN l_tax END AS kappa FROM lineitem),
+ r AS (SELECT *, CASE WHEN z = 0 THEN 'charge' WHEN eg <= 0 THEN 'coefficient' WHEN ea <= 0 THEN 'explicit_activity' WHEN ea IS NULL AND (c IS NULL OR c <= 0) THEN 'concentration' WHEN ea IS NULL AND eg IS NULL AND m = 'user_provided' THEN 'model' WHEN ea IS NULL AND eg IS NULL AND m IN ('davies', 'debye_huckel') AND i IS NULL THEN 'ionic_strength' WHEN ea IS NULL AND eg IS NULL AND m = 'conductivity' AND kappa IS NULL THEN 'conductivity' END AS reason,
+ CASE WHEN eg IS NOT NULL THEN eg WHEN ea IS NOT NULL THEN NULL WHEN m = 'ideal' THEN 1.0 WHEN m = 'davies' THEN power(10.0, -0.509 * z * z * (sqrt(i) / (1 + sqrt(i)) - 0.3 * i)) WHEN m = 'debye_huckel' THEN power(10.0, -0.509 * z * z * sqrt(i) / (1 + 3.29 * 0.3 * sqrt(i))) END AS g, ea IS NULL AND eg IS NULL AND m = 'conductivity' AS emp FROM x)
+ SELECT o, l, p, series, CASE WHEN reason IS NULL THEN round(CASE WHEN ea IS NOT NULL THEN ea WHEN emp THEN power(10.0, log10(c) + 0.1 - 2.0 * kappa) ELSE c * g END, 6) END AS activity, CASE WHEN reason IS NULL THEN round(g, 6) END AS coefficient, reason IS NULL AND emp AS empirical,
+ CASE WHEN reason IS NULL AND ea IS NULL AND eg IS NULL THEN CASE WHEN m = 'davies' AND i > 0.5 OR m = 'debye_huckel' AND i > 0.1 THEN 'ionic_strength' WHEN emp AND (kappa < 0.01 OR kappa > 0.06) THEN 'conductivity' END END AS warning, reason FROM r""",
+)
+_OTHERS = lambda: F.array(F.struct(F.lit(1e-2).alias("k"), (F.col("l_tax") + 0.01).alias("a"), F.lit(1.0).alias("z")))
+register(
+    "j_selectivity_inverse",
+    lambda s, d: rounded(line(s, d).select(*keys(), E.primary_activity(F.col("l_discount") + 0.0005, z_col(), _OTHERS()).alias("own"), E.selectivity_derivative(E.nernst_slope(t_col(), z_col()), F.col("l_discount")).alias("derivative"), E.logistic_derivative(F.col("l_tax"), 0.0, 5.0).alias("bounded_slope"), E.logit_derivative(F.col("l_discount"), 0.0, 0.1).alias("unbounded_slope"))),
+    f"SELECT {L}, round(CASE WHEN l_discount + 0.0005 - 1e-2 * power(l_tax + 0.01, {Z_}) > 0 THEN l_discount + 0.0005 - 1e-2 * power(l_tax + 0.01, {Z_}) END, 6) AS own, round(CASE WHEN l_discount > 0 THEN {SLOPE} / (2.302585092994046 * l_discount) END, 6) AS derivative, round(5.0 * (1 / (1 + exp(-l_tax))) * (1 - 1 / (1 + exp(-l_tax))), 6) AS bounded_slope, round(CASE WHEN l_discount > 0 AND l_discount < 0.1 THEN 0.1 / (l_discount * (0.1 - l_discount)) END, 6) AS unbounded_slope FROM lineitem",
+)
+
+
+def unit_reasons(s, d):
+    u = F.element_at(F.array(*map(F.lit, ("mV", "C", "g/L", "mmol/L", "mg/L", "furlong", "L/min", "K"))), (F.col("l_partkey") % 8 + 1).cast("int"))
+    v = F.col("l_quantity") - F.when(u.isin("C", "K"), 280.0).otherwise(0.0)
+    return line(s, d).select(*keys(), u.alias("unit"), E.molar(v, u, F.when(F.col("l_linenumber") != 3, 58.44)).alias("molar"), E.unit_problem(v, u, "temperature").alias("as_temperature"), E.unit_problem(v, u, "concentration").alias("as_concentration"))
+
+
+register(
+    "j_unit_reasons",
+    lambda s, d: rounded(unit_reasons(s, d)),
+    f"""WITH x AS (SELECT *, list_extract(['mV', 'C', 'g/L', 'mmol/L', 'mg/L', 'furlong', 'L/min', 'K'], CAST(l_partkey % 8 + 1 AS BIGINT)) AS u FROM lineitem), y AS (SELECT *, l_quantity - CASE WHEN u IN ('C', 'K') THEN 280.0 ELSE 0.0 END AS v FROM x)
+ SELECT {L}, u AS unit, round(CASE WHEN u = 'mmol/L' THEN v * 1e-3 WHEN l_linenumber <> 3 AND u = 'g/L' THEN v / 58.44 WHEN l_linenumber <> 3 AND u = 'mg/L' THEN v * 1e-3 / 58.44 END, 6) AS molar, CASE WHEN u = 'furlong' THEN 'unknown_unit' WHEN u NOT IN ('C', 'K') THEN 'other_dimension' WHEN u = 'C' AND v + 273.15 <= 0 OR u = 'K' AND v <= 0 THEN 'not_above_zero' END AS as_temperature,
+ CASE WHEN u = 'furlong' THEN 'unknown_unit' WHEN u <> 'mmol/L' THEN 'other_dimension' END AS as_concentration FROM y""",
+)
