@@ -13,7 +13,7 @@ from sensorframe.sources.views import observations, readings
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
-KEY, ORDER = ["series"], ["o", "l", "part"]
+KEY, ORDER = ["series"], ["o", "l", "part", "level"]
 MODELS = [
     L.Model("fixed", offset="0.1 * x"), L.Model("free", ("x",)), L.Model("prior", ("x",), prior=(0.1, 0.02)), L.Model("conductivity_fixed", ("x + 0.5 * c0",)),
     L.Model("conductivity", ("x", "c0")),
@@ -25,7 +25,7 @@ def obs(s, d):
 
 
 def rows(s, d):
-    return L.expand(obs(s, d), MODELS, "y", "w", [*KEY, "level", *ORDER])
+    return L.expand(obs(s, d), MODELS, "y", "w", [*KEY, *ORDER])
 
 
 ROWS = """WITH o AS (SELECT l_suppkey AS series, log10(l_quantity / 1000) AS x, l_extendedprice / 1e5 AS y, l_quantity AS level, l_tax AS c0, 1.0 + l_discount * 10 AS w, l_orderkey AS o, l_linenumber AS l, l_partkey AS part FROM lineitem),
@@ -61,7 +61,7 @@ register(
 
 REPLICATES = 40
 PICKED = FITS + f""", s AS (SELECT q.*, place = max(CASE WHEN delta < 1e-12 THEN place END) OVER (PARTITION BY series) AS chosen FROM q),
- y AS (SELECT e.*, s.b0 + s.b1 * z1 + s.b2 * z2 AS fit, t - (s.b0 + s.b1 * z1 + s.b2 * z2) AS res, s.n, row_number() OVER (PARTITION BY e.series ORDER BY o, l, part) - 1 AS i FROM e JOIN s ON s.series = e.series AND s.model = e.model AND chosen),
+ y AS (SELECT e.*, s.b0 + s.b1 * z1 + s.b2 * z2 AS fit, t - (s.b0 + s.b1 * z1 + s.b2 * z2) AS res, s.n, row_number() OVER (PARTITION BY e.series ORDER BY o, l, part, level) - 1 AS i FROM e JOIN s ON s.series = e.series AND s.model = e.model AND chosen),
  k AS (SELECT y.*, rep, CAST('0x' || substr(md5('42:' || rep || ':' || i), 1, 12) AS BIGINT) % n AS pick FROM y, range({REPLICATES}) t(rep)),
  z AS (SELECT k.series, k.model, k.rep, k.w, k.p, k.place, k.prec, k.prior, k.z1, k.z2, k.fit + y.res AS t FROM k JOIN y ON y.series = k.series AND y.i = k.pick)""" + fit_sql("x", "z", "series, model, rep")
 register(
@@ -84,7 +84,7 @@ register(
     "g14_residual_bootstrap",
     lambda s, d: rounded(slope_intervals(s, d)),
     ROWS + """, g AS (SELECT series, count(*) AS n, covar_pop(x, y) / var_pop(x) AS b1, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS b0 FROM o GROUP BY series),
- y AS (SELECT o.series, x, b0 + b1 * x AS fit, y - b0 - b1 * x AS res, n, row_number() OVER (PARTITION BY o.series ORDER BY o, l, part) - 1 AS i FROM o JOIN g USING (series)), k AS (SELECT y.*, rep, CAST('0x' || substr(md5('42:' || rep || ':' || i), 1, 12) AS BIGINT) % n AS pick FROM y, range(50) t(rep)),
+ y AS (SELECT o.series, x, level, b0 + b1 * x AS fit, y - b0 - b1 * x AS res, n, row_number() OVER (PARTITION BY o.series ORDER BY o, l, part, level) - 1 AS i FROM o JOIN g USING (series)), k AS (SELECT y.*, rep, CAST('0x' || substr(md5('42:' || rep || ':' || i), 1, 12) AS BIGINT) % n AS pick FROM y, range(50) t(rep)),
  b AS (SELECT k.series, rep, covar_pop(k.x, k.fit + y.res) / var_pop(k.x) AS slope FROM k JOIN y ON y.series = k.series AND y.i = k.pick GROUP BY k.series, rep)
  SELECT series, count(*) AS replicates, round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high FROM b GROUP BY series""",
 )
