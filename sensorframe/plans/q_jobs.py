@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import calibration as C
 from sensorframe.operators import jobs as J
+from sensorframe.operators import timescales as X
 from sensorframe.operators import transient as T
 from sensorframe.plans import q_models as Q
 from sensorframe.plans.common import Registry, rounded
 from sensorframe.plans.q_series import R
 from sensorframe.sources.storage import written
-from sensorframe.sources.views import SERIES, readings
+from sensorframe.sources.views import SERIES, readings, table
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -61,3 +62,36 @@ register(
  g AS (SELECT source, record, count(*) AS n, sum(power(v - p, 2)) / sum(v * v) AS dw, sum(c * pc) / sum(c * c) AS lag1, count(*) FILTER ((c >= 0) <> (pc >= 0)) + 1 AS runs, sqrt(avg(v * v)) AS rms, max(abs(v)) AS largest, covar_pop(t_s, v) / var_pop(t_s) AS drift FROM c GROUP BY ALL)
  SELECT source, record, n, round(dw, 3) AS durbin_watson, round(lag1, 3) AS lag1, runs, round(rms, 3) AS rms, round(largest, 3) AS largest, round(drift * 1e6, 3) AS drift, round(spike_share, 3) AS spike_share FROM g JOIN sp USING (source, record)""",
 )
+
+TOPOLOGY = [("a", "R0", "R", None), ("a", "R1", "R", "p1"), ("a", "C1", "C", "p1"), ("a", "R2", "R", "p2"), ("a", "Q2", "CPE", "p2"), ("a", "W1", "Wo", None), ("b", "R0", "R", None), ("b", "R1", "R", "p1"), ("b", "C1", "C", "p1"), ("b", "Q2", "CPE", "p1")]
+
+
+def circuits(s, d):
+    """Suppliers' circuits, one of two, with parameters from the means of their lines and covariances from their scatter; every fifth has none."""
+    g = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("record")).agg(
+        F.avg("l_extendedprice").alias("m0"), F.avg("l_quantity").alias("m1"), F.avg("l_discount").alias("m2"), F.stddev_pop("l_extendedprice").alias("s0"), F.stddev_pop("l_quantity").alias("s1"), F.covar_pop("l_extendedprice", "l_quantity").alias("c01"),
+    )
+    fits = g.select("record", F.when(F.col("record") % 2 == 0, "a").otherwise("b").alias("circuit"), F.lit(0.5).alias("f_min"), F.lit(20.0).alias("f_max"))
+    values = F.array(*(F.struct(F.lit(e).alias("element"), F.lit(i).alias("slot"), v.alias("value")) for e, i, v in (
+        ("R0", 0, F.col("m0")), ("R1", 0, F.col("m0") / 100), ("C1", 0, F.col("m1") * 1e-5), ("R2", 0, F.when(F.col("record") % 7 != 0, F.col("m0") / 10)), ("Q2", 0, F.col("m1") * 1e-6), ("Q2", 1, 0.6 + F.col("m2") * F.when(F.col("record") % 3 == 0, 10).otherwise(1)), ("W1", 0, F.col("m0")), ("W1", 1, F.col("m2")))))
+    parameters = g.select("record", F.explode(values).alias("x")).select("record", "x.*")
+    pairs = (("R1", 0, "R1", 0, F.pow(F.col("s0") / 1000, 2)), ("C1", 0, "C1", 0, F.pow(F.col("s1") * 1e-6, 2)), ("R1", 0, "C1", 0, F.col("c01") * 1e-10), ("C1", 0, "R1", 0, F.col("c01") * 1e-10), ("R2", 0, "R2", 0, F.pow(F.col("s0") / 100, 2)), ("Q2", 0, "Q2", 0, F.pow(F.col("s1") * 1e-7, 2)), ("Q2", 1, "Q2", 1, F.lit(1e-4)))
+    cov = F.array(*(F.struct(F.lit(a).alias("element"), F.lit(i).alias("slot"), F.lit(b).alias("other"), F.lit(j).alias("other_slot"), v.alias("covariance")) for a, i, b, j, v in pairs))
+    covariance = g.where("record % 5 <> 0").select("record", F.explode(cov).alias("x")).select("record", "x.*")
+    topology = s.createDataFrame(TOPOLOGY, "circuit string, element string, kind string, parallel string")
+    return X.circuit_timescales(topology, fits, parameters, covariance)
+
+
+register(
+    "g09_circuit_timescales",
+    lambda s, d: rounded(circuits(s, d), 6),
+    """WITH g AS (SELECT l_suppkey AS record, avg(l_extendedprice) AS m0, avg(l_quantity) AS m1, avg(l_discount) AS m2, stddev_pop(l_extendedprice) AS s0, stddev_pop(l_quantity) AS s1, covar_pop(l_extendedprice, l_quantity) AS c01 FROM lineitem GROUP BY l_suppkey),
+ v AS (SELECT *, m0 / 100 AS r1, m1 * 1e-5 AS c1, CASE WHEN record % 7 <> 0 THEN m0 / 10 END AS r2, m1 * 1e-6 AS q2, 0.6 + m2 * CASE WHEN record % 3 = 0 THEN 10 ELSE 1 END AS al, power(s0 / 1000, 2) AS vr1, power(s1 * 1e-6, 2) AS vc1, c01 * 1e-10 AS crc, power(s0 / 100, 2) AS vr2, power(s1 * 1e-7, 2) AS vq2, 1e-4 AS va FROM g),
+ t AS (SELECT record, 'p1/R1/C1' AS timescale, 'R-C' AS kind, r1 * c1 AS value, c1 * c1 * vr1 + r1 * r1 * vc1 + 2 * r1 * c1 * crc AS var FROM v
+ UNION ALL SELECT record, 'p2/R2/Q2', 'R-CPE', power(r2 * q2, 1 / al), power(power(r2 * q2, 1 / al), 2) * (vr2 / power(al * r2, 2) + vq2 / power(al * q2, 2) + power(ln(r2 * q2) / (al * al), 2) * va) FROM v WHERE record % 2 = 0 AND r2 IS NOT NULL AND al <= 1
+ UNION ALL SELECT record, 'p1/R1/Q2', 'R-CPE', power(r1 * q2, 1 / al), power(power(r1 * q2, 1 / al), 2) * (vr1 / power(al * r1, 2) + vq2 / power(al * q2, 2) + power(ln(r1 * q2) / (al * al), 2) * va) FROM v WHERE record % 2 = 1 AND al <= 1
+ UNION ALL SELECT record, 'W1/direct', 'Wo', m2, NULL FROM v WHERE record % 2 = 0 AND m2 > 0),
+ u AS (SELECT record, timescale, kind, value, CASE WHEN record % 5 <> 0 THEN sqrt(var) END AS se, 1 / (2 * pi() * value) AS f FROM t),
+ w AS (SELECT *, concat_ws(',', CASE WHEN f < 0.5 OR f > 20 THEN 'outside_band' WHEN (f - 0.5) / 19.5 < 0.05 OR (20 - f) / 19.5 < 0.05 THEN 'band_edge' END, CASE WHEN record % 5 = 0 AND kind <> 'Wo' THEN 'missing_covariance' END) AS warnings FROM u)
+ SELECT record, timescale, kind, round(value, 6) AS value_s, round(se, 6) AS se_s, round(value - 1.96 * se, 6) AS ci_low_s, round(value + 1.96 * se, 6) AS ci_high_s, CASE warnings WHEN '' THEN 'valid' ELSE 'valid_with_warnings' END AS validity, warnings FROM w""",
+)
