@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe.functions import complexes as Z
 from sensorframe.operators import kramers_kronig as K
 from sensorframe.operators import spectra as P
+from sensorframe.operators import topologies as G
 from sensorframe.plans.common import Registry, rounded
 from sensorframe.sources.views import spectra
 
@@ -183,3 +184,26 @@ register(
  SELECT spectrum_id, 3::BIGINT AS m, n, round(CASE WHEN least(x2, x3, x4) < 0 THEN 1 - (greatest(x2, 0) + greatest(x3, 0) + greatest(x4, 0)) / -(least(x2, 0) + least(x3, 0) + least(x4, 0)) ELSE -1.0 END, 4) AS mu, round(x1, 4) AS r0, round(x2, 4) AS r1, round(x3, 4) AS r2, round(x4, 4) AS r3, round(sqrt(rss / n), 4) AS rms FROM x1 JOIN e USING (spectrum_id)""",
 )
 register("g08_kramers_kronig_residuals", lambda s, d: rounded(K.residuals(spectra(s, d), kk(s, d), [ID]).select(ID, "freq_hz", "res_re", "res_im")))
+
+COARSE = G.Grid(steps=6, rounds=0)
+
+
+def scored_topologies(s, d, names, grid):
+    f = G.score_topologies(spectra(s, d), [ID], topologies=names, grid=grid)
+    term = F.get("terms", F.lit(0))
+    return f.select(ID, "topology", "n", "k", "r0", term["scale"].alias("scale"), F.log10(term["tau"]).alias("log_tau"), term["alpha"].alias("alpha"), (F.col("rss") / 1e6).alias("rss_m"), "aic", "bic", "delta")
+
+
+register(
+    "g06_topologies",
+    lambda s, d: rounded(scored_topologies(s, d, ("randles", "gerischer"), COARSE), 4),
+    f"""WITH q AS (SELECT l_suppkey AS spectrum_id, power(10.0, (l_quantity - 1) / 10) AS f, avg(l_extendedprice) AS z_re, -1e3 * avg(l_discount) AS z_im FROM lineitem GROUP BY l_suppkey, l_quantity), e AS (SELECT spectrum_id, 1 / (2 * pi() * max(f)) AS lo, 1 / (2 * pi() * min(f)) AS hi FROM q GROUP BY spectrum_id HAVING max(f) > min(f)),
+ c AS (SELECT spectrum_id, topology, alpha, exp(ln(lo) + i / {COARSE.steps}.0 * ln(hi / lo)) AS tau FROM e, range({COARSE.steps + 1}) t(i), (VALUES ('randles', 0.6::DOUBLE), ('randles', 0.8), ('randles', 1.0), ('gerischer', 1.0)) u(topology, alpha)),
+ x AS (SELECT c.*, z_re, z_im, 2 * pi() * f * tau AS w FROM c JOIN q USING (spectrum_id)), y AS (SELECT *, 1 + power(w, alpha) * cos(pi() / 2 * alpha) AS u, power(w, alpha) * sin(pi() / 2 * alpha) AS v FROM x),
+ h AS (SELECT *, CASE topology WHEN 'randles' THEN u / (u * u + v * v) ELSE power(1 + w * w, -0.25) * cos(atan(w) / 2) END AS a, CASE topology WHEN 'randles' THEN -v / (u * u + v * v) ELSE -power(1 + w * w, -0.25) * sin(atan(w) / 2) END AS b FROM y),
+ g AS (SELECT spectrum_id, topology, alpha, tau, count(*) AS n, sum(a) AS a, sum(a * a + b * b) AS aa, sum(z_re) AS y, sum(a * z_re + b * z_im) AS ay, sum(z_re * z_re + z_im * z_im) AS yy FROM h GROUP BY ALL),
+ r AS (SELECT *, (y * aa - a * ay) / (n * aa - a * a) AS r0, (n * ay - a * y) / (n * aa - a * a) AS s FROM g), m AS (SELECT *, yy - r0 * y - s * ay AS rss FROM r WHERE s > 0 AND r0 >= 0),
+ k AS (SELECT *, CASE topology WHEN 'randles' THEN 4 ELSE 3 END AS k, row_number() OVER (PARTITION BY spectrum_id, topology ORDER BY rss) AS i FROM m), z AS (SELECT *, 2 * n * ln(rss / (2 * n)) AS fit FROM k WHERE i = 1)
+ SELECT spectrum_id, topology, n, CAST(k AS BIGINT) AS k, round(r0, 4) AS r0, round(s, 4) AS scale, round(log10(tau), 4) AS log_tau, round(alpha, 4) AS alpha, round(rss / 1e6, 4) AS rss_m, round(fit + 2 * k, 4) AS aic, round(fit + k * ln(2 * n), 4) AS bic, round(fit + k * ln(2 * n) - min(fit + k * ln(2 * n)) OVER (PARTITION BY spectrum_id), 4) AS delta FROM z""",
+)
+register("g06_topologies_refined", lambda s, d: rounded(scored_topologies(s, d, tuple(G.TOPOLOGIES), G.Grid(steps=6, rounds=1)), 4))
