@@ -152,6 +152,20 @@ def select_windows(readings: DataFrame, events: DataFrame, key: list[str], befor
     return r.join(e, on, "left_anti").drop("_b")
 
 
+def excluded_intervals(readings: DataFrame, events: DataFrame, key: list[str], before_s: float, after_s: float) -> tuple[DataFrame, DataFrame]:
+    """(intervals, report): each event's interval (key, lo, hi) with the readings in it, and per key the number of intervals, of readings in any of
+    them (inside) and in none (outside). Keys of readings without events are in the report with none. Intervals meet readings in time buckets."""
+    width = before_s + after_s
+    e = events.select(*key, (F.col("t_s") - before_s).alias("lo"), (F.col("t_s") + after_s).alias("hi"))
+    b = e.distinct().withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    r = readings.withColumn("_b", F.floor(F.col("t_s") / width))
+    met = r.join(b, [*key, "_b"]).where("t_s BETWEEN lo AND hi").groupBy(*key, "lo", "hi").agg(F.count("*").alias("readings"))
+    intervals = e.join(met, [*key, "lo", "hi"], "left").withColumn("readings", F.coalesce("readings", F.lit(0)))
+    kept = select_windows(readings, events, key, before_s, after_s).groupBy(key).agg(F.count("*").alias("outside"))
+    report = readings.groupBy(key).agg(F.count("*").alias("_n")).join(e.groupBy(key).agg(F.count("*").alias("intervals")), key, "left").join(kept, key, "left").fillna(0, ["intervals", "outside"])
+    return intervals, report.select(*key, "intervals", (F.col("_n") - F.col("outside")).alias("inside"), "outside")
+
+
 def ols(df: DataFrame, key: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Least-squares line per key, from sums centred on the means: slope, intercept, R2, rmse, mae, r, standard error."""
     m = df.where(finite(x).isNotNull() & finite(y).isNotNull())

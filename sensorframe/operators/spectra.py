@@ -86,3 +86,28 @@ def initial_features(points: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("rank") <= 5, F.col("z_re"))).alias("series_resistance"), F.max(-F.col("z_im")).alias("peak"), F.max_by("omega", F.struct(-F.col("z_im"), F.col("omega"))).alias("peak_omega"),
         F.avg(F.when(F.col("rank") > F.col("_n") - 3, -F.col("z_im") * F.sqrt("omega"))).alias("tail_sigma"), (F.max("z_re") - F.min("z_re")).alias("diameter"),
     )
+
+
+def select_positions(points: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(selected, refused): each spectrum's points at the requested positions (request, position from 1, in ``rank`` order), repeats allowed.
+
+    A spectrum that lacks any requested position is refused whole: refused has its number of points and the first position that is missing.
+    """
+    sizes = points.groupBy(ID).agg(F.count("*").alias("points"))
+    asked = sizes.join(requests.select("request", "position"))  # a request list is a configuration
+    bad = asked.where((F.col("position") < 1) | (F.col("position") > F.col("points")) | F.col("position").isNull())
+    refused = bad.groupBy(ID).agg(F.first("points").alias("points"), F.min_by(F.coalesce("position", F.lit(0)), "request").alias("position"))
+    selected = requests.select("request", "position").join(points.withColumnRenamed("rank", "position"), "position").join(refused.select(ID), ID, "left_anti")
+    return selected, refused
+
+
+def reassign(points: DataFrame, values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(points with ``column`` replaced by position, refused): ``values`` has the spectrum's id, rank and value. Spectra without values stay as they
+    are; one whose values are not exactly one for each of its points is refused with both counts and left out."""
+    n = points.groupBy(ID).agg(F.count("*").alias("points"), F.max("rank").alias("_last"))
+    v = values.groupBy(ID).agg(F.count("*").alias("values"), F.count_distinct("rank").alias("_ranks"), F.min("rank").alias("_low"), F.max("rank").alias("_high"))
+    both = n.join(v, ID)
+    whole = (F.col("points") == F.col("values")) & (F.col("_ranks") == F.col("values")) & (F.col("_low") == 1) & (F.col("_high") == F.col("_last"))
+    refused = both.where(~whole).select(ID, "points", "values")
+    out = points.join(refused.select(ID), ID, "left_anti").join(values.withColumnRenamed("value", "_new"), [ID, "rank"], "left")
+    return out.withColumn(column, F.coalesce("_new", column)).drop("_new"), refused

@@ -221,6 +221,24 @@ register(
 )
 
 
+def excluded(s, d):
+    r = readings(s, d)
+    return S.excluded_intervals(r.where("channel <> 'error'"), r.where("channel = 'error'").select("sensor_id", "t_s"), ["sensor_id"], 7200.0, 14400.0)
+
+
+register(
+    "b03_interval_list",
+    lambda s, d: rounded(excluded(s, d)[0], 4),
+    R + EV + " SELECT sensor_id, round(lo, 4) AS lo, round(hi, 4) AS hi, (SELECT count(*) FROM r WHERE r.sensor_id = e.sensor_id AND channel <> 'error' AND t_s BETWEEN lo AND hi) AS readings FROM e",
+)
+register(
+    "b03_interval_report",
+    lambda s, d: excluded(s, d)[1],
+    R + EV + """, x AS (SELECT sensor_id, EXISTS (SELECT 1 FROM e WHERE e.sensor_id = r.sensor_id AND r.t_s BETWEEN lo AND hi) AS hit FROM r WHERE channel <> 'error')
+ SELECT x.sensor_id, (SELECT count(*) FROM e WHERE e.sensor_id = x.sensor_id) AS intervals, count(*) FILTER (hit) AS inside, count(*) FILTER (NOT hit) AS outside FROM x GROUP BY x.sensor_id""",
+)
+
+
 def characterize(s, d):
     """One row per series: description, sampling and drift."""
     r = readings(s, d)

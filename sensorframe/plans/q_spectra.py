@@ -207,3 +207,37 @@ register(
  SELECT spectrum_id, topology, n, CAST(k AS BIGINT) AS k, round(r0, 4) AS r0, round(s, 4) AS scale, round(log10(tau), 4) AS log_tau, round(alpha, 4) AS alpha, round(rss / 1e6, 4) AS rss_m, round(fit + 2 * k, 4) AS aic, round(fit + k * ln(2 * n), 4) AS bic, round(fit + k * ln(2 * n) - min(fit + k * ln(2 * n)) OVER (PARTITION BY spectrum_id), 4) AS delta FROM z""",
 )
 register("g06_topologies_refined", lambda s, d: rounded(scored_topologies(s, d, tuple(G.TOPOLOGIES), G.Grid(steps=6, rounds=1)), 4))
+
+
+def strict(s, d):
+    """Spectra cut to as many points as their number allows, with requests that some of them cannot meet."""
+    p = prep(s, d).where((F.col("rank") <= 6) | (F.col(ID) % 3 != 0))
+    return P.select_positions(p, s.createDataFrame([(0, 5), (1, 1), (2, 5), (3, 12)], "request int, position int"))
+
+
+CUT = PREP + ", c AS (SELECT * FROM p WHERE rank <= 6 OR spectrum_id % 3 <> 0)"
+register(
+    "b07_strict_positions",
+    lambda s, d: rounded(strict(s, d)[0].select(ID, "request", "position", "z_re"), 4),
+    CUT + " SELECT spectrum_id, CAST(request AS BIGINT) AS request, CAST(position AS BIGINT) AS position, round(z_re, 4) AS z_re FROM c JOIN (VALUES (0, 5), (1, 1), (2, 5), (3, 12)) q(request, position) ON c.rank = q.position WHERE spectrum_id IN (SELECT spectrum_id FROM c GROUP BY 1 HAVING count(*) >= 12)",
+)
+register(
+    "b07_refused_positions",
+    lambda s, d: rounded(strict(s, d)[1]),
+    CUT + " SELECT spectrum_id, count(*) AS points, CASE WHEN count(*) < 5 THEN 5 ELSE 12 END::BIGINT AS position FROM c GROUP BY spectrum_id HAVING count(*) < 12",
+)
+
+
+def reassigned(s, d):
+    """New frequencies for two thirds of the spectra; every sixth has a value too few."""
+    p = prep(s, d)
+    v = p.where(f"{ID} % 3 <> 0 AND NOT ({ID} % 6 = 1 AND rank = 2)").select(ID, "rank", (F.col("freq_hz") * 2).alias("value"))
+    return P.reassign(p, v, "freq_hz")
+
+
+register(
+    "b09_strict_reassign",
+    lambda s, d: rounded(reassigned(s, d)[0].select(ID, "rank", "freq_hz", "z_re"), 4),
+    PREP + " SELECT spectrum_id, rank, round(CASE WHEN spectrum_id % 3 <> 0 THEN 2 * freq_hz ELSE freq_hz END, 4) AS freq_hz, round(z_re, 4) AS z_re FROM p WHERE spectrum_id % 6 <> 1",
+)
+register("b09_refused_reassign", lambda s, d: reassigned(s, d)[1], PREP + ' SELECT spectrum_id, count(*) AS points, count(*) - 1 AS "values" FROM p WHERE spectrum_id % 6 = 1 GROUP BY spectrum_id')
