@@ -55,12 +55,16 @@ def intervals(readings: DataFrame, key: list[str]) -> DataFrame:
 
 
 def sampling_summary(readings: DataFrame, key: list[str]) -> DataFrame:
-    """Interval statistics, duration, missing share and effective rate."""
+    """Interval statistics, duration, missing share and effective rate. Where all times are equal the rate is infinite, that of one row no
+    number, and so is the variation of intervals that are all zero."""
+    span = F.max("t_s") - F.min("t_s")
+    rate = F.when(span > 0, F.try_divide(F.count("*") - 1, span)).otherwise(F.when(F.count("*") > 1, float("inf")).otherwise(float("nan")))
+    cv = F.when(F.avg("dt") != 0, F.try_divide(F.stddev_samp("dt"), F.avg("dt"))).when(F.count("dt") > 1, float("nan"))
     return (
         intervals(readings, key).groupBy(key).agg(
             F.count("*").alias("n"), F.percentile("dt", F.lit(0.5)).alias("dt_median"), F.avg("dt").alias("dt_mean"), F.stddev_samp("dt").alias("dt_sd"),
-            (F.stddev_samp("dt") / F.avg("dt")).alias("dt_cv"), F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), (F.max("t_s") - F.min("t_s")).alias("duration"),
-            (F.count_if(finite("value").isNull()) / F.count("*")).alias("missing_share"), ((F.count("*") - 1) / (F.max("t_s") - F.min("t_s"))).alias("rate_hz"),
+            cv.alias("dt_cv"), F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), span.alias("duration"),
+            (F.count_if(finite("value").isNull()) / F.count("*")).alias("missing_share"), rate.alias("rate_hz"),
         )
     )
 

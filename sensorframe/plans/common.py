@@ -9,11 +9,12 @@ HALF = 0.5001
 
 
 def rounded(df, digits=6):
-    """Doubles rounded, counts as 64-bit: two engines' results compare equal."""
+    """Doubles rounded, counts as 64-bit: two engines' results compare equal. Infinite values and those that are no number stay as they are."""
     out = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            out.append((F.floor(F.col(name) * 10.0**digits + HALF) / 10.0**digits).alias(name))
+            down = F.floor(F.col(name) * 10.0**digits + HALF) / 10.0**digits
+            out.append(F.when(F.abs(name) < float("inf"), down).otherwise(F.col(name)).alias(name))
         elif kind in ("int", "smallint", "tinyint"):
             out.append(F.col(name).cast("bigint").alias(name))
         else:
