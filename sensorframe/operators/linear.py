@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +58,21 @@ def expand(obs: DataFrame, models: list[Model], y: str, w: str, keep: list[str])
     return out.where(reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(c) for c in ("w", "t", "z1", "z2", "z3"))) & (F.col("w") > 0))
 
 
-def cells(rows: DataFrame, by: list[str], centre: list[str]) -> DataFrame:
-    """Sums of the exploded rows per ``by``, weighted (w...) and plain (u...), around the plain means per ``centre``, which are returned as
-    m1 to m3 and mt. ``centre`` is part of ``by``; sums of cells with one centre add up."""
-    means = rows.groupBy(centre).agg(*(F.avg(f"z{j}").alias(f"m{j}") for j in range(1, P + 1)), F.avg("t").alias("mt"))
-    d = rows.join(means, centre)
+def cells(rows: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """Sums of the exploded rows per ``by``, weighted (w...) and plain (u...), around the plain means per ``key`` and model, which are returned as
+    m1 to m3 and mt. ``by`` holds ``key`` and model; sums of cells with one centre add up.
+
+    All steps need the rows by ``key`` alone: observations that were dealt by it before they were exploded are not dealt again."""
+    constant = ("place", "p", "precision", "prior")
+    means = rows.groupBy(*key, "model").agg(*(F.avg(f"z{j}").alias(f"m{j}") for j in range(1, P + 1)), F.avg("t").alias("mt"), *(F.first(c).alias(c) for c in constant))
+    centre = [*(f"m{j}" for j in range(1, P + 1)), "mt", *constant]
+    # as many entries as there are models
+    means = means.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(*centre)))).alias("_c"))
+    used = list(dict.fromkeys([*by, "w", "t", *(f"z{j}" for j in range(1, P + 1))]))
+    d = rows.select(used).join(means.hint("shuffle_hash"), key).withColumn("_c", F.element_at("_c", F.col("model"))).select(*used, "_c.*")
     v = {str(j): F.col(f"z{j}") - F.col(f"m{j}") for j in range(1, P + 1)} | {"t": F.col("t") - F.col("mt")}
     sums = [F.sum(reduce(Column.__mul__, (v[c] for c in name[1:]), F.col("w") if name[0] == "w" else F.lit(1.0))).alias(name) for name in SUMS]
-    carried = [F.first(c).alias(c) for c in ("place", "p", "precision", "prior", "m1", "m2", "m3", "mt")]
-    return d.groupBy(by).agg(*sums, *carried)
+    return d.groupBy(by).agg(*sums, *(F.first(c).alias(c) for c in (*constant, "m1", "m2", "m3", "mt")))
 
 
 SOLVED = ["a0", "b1", "b2", "b3", "intercept", "v11", "v12", "v13", "v22", "v23", "v33"]
@@ -128,7 +135,7 @@ def fit(rows: DataFrame, key: list[str]) -> DataFrame:
     """One row per key and model of :func:`expand`: n, parameters, intercept, b1 to b3 with their standard errors, rss, wrss, rmse, r2, adj_r2,
     aic, aicc, bic. Models that the rows do not determine have nulls."""
     by = [*key, "model"]
-    return described(solve(cells(rows, by, by)))
+    return described(solve(cells(rows, by, key)))
 
 
 def described(s: DataFrame) -> DataFrame:
@@ -157,20 +164,21 @@ def fit_and_validate(rows: DataFrame, key: list[str], fold: list[str]) -> DataFr
 
     Rows with null folds make a fold of their own. Fewer than three rows of a model validate nothing."""
     by = [*key, "model"]
-    c = cells(rows, [*by, *fold], by)
+    c = cells(rows, [*by, *fold], key)
     carried = ["place", "p", "precision", "prior", "m1", "m2", "m3", "mt"]
-    own = c.withColumnsRenamed({s: f"own_{s}" for s in SUMS})
-    total = own.groupBy(by).agg(*(F.sum(f"own_{s}").alias(s) for s in SUMS), *(F.first(x).alias(x) for x in carried))
-    train = own.drop(*carried).join(total, by).withColumns({s: F.col(s) - F.col(f"own_{s}") for s in SUMS})
-    train = solve(train.where("u + own_u >= 3"), squares=("own_u",))
-    fine, a, b = F.col("b1").isNotNull(), F.col("a0"), {j: F.col(f"b{j}") for j in range(1, P + 1)}
-    bias = a * F.col("own_u") + sum(b[j] * F.col(f"own_u{j}") for j in b) - F.col("own_ut")
-    cv = train.groupBy(by).agg(
-        F.sqrt(F.sum("ss_own_u") / F.sum(F.when(fine, F.col("own_u")))).alias("cv_rmse"),
-        (F.sum(F.when(fine, bias)) / F.sum(F.when(fine, F.col("own_u")))).alias("cv_bias"),
-        F.sum(F.when(fine, F.col("own_u")).otherwise(0)).cast("bigint").alias("cv_n"), F.sum(F.when(~fine, F.col("own_u")).otherwise(0)).cast("bigint").alias("cv_failed"),
+    whole = W.partitionBy(by)  # as many rows as there are folds
+    own = c.withColumnsRenamed({s: f"own_{s}" for s in SUMS}).withColumns({f"all_{s}": F.sum(f"own_{s}").over(whole) for s in SUMS})
+    train = solve(own.withColumns({s: F.col(f"all_{s}") - F.col(f"own_{s}") for s in SUMS}), squares=("own_u",))
+    u, least = F.col("own_u"), F.col("all_u") >= 3
+    fine, a, b = least & F.col("b1").isNotNull(), F.col("a0"), {j: F.col(f"b{j}") for j in range(1, P + 1)}
+    bias = a * u + sum(b[j] * F.col(f"own_u{j}") for j in b) - F.col("own_ut")
+    predicted = F.sum(F.when(fine, u))
+    total = train.groupBy(by).agg(
+        *(F.first(f"all_{s}").alias(s) for s in SUMS), *(F.first(x).alias(x) for x in carried),
+        F.sqrt(F.sum(F.when(fine, F.col("ss_own_u"))) / predicted).alias("cv_rmse"), (F.sum(F.when(fine, bias)) / predicted).alias("cv_bias"),
+        F.sum(F.when(fine, u).when(least, 0)).cast("bigint").alias("cv_n"), F.sum(F.when(least & ~fine, u).when(least, 0)).cast("bigint").alias("cv_failed"),
     )
-    return described(solve(total)).join(cv, by, "left")
+    return described(solve(total))
 
 
 def choose(fits: DataFrame, key: list[str], criterion: str = "aicc") -> DataFrame:
@@ -201,24 +209,87 @@ def drawn(seed: int, replicate: Column, number: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint") % n
 
 
-def bootstrap(rows: DataFrame, fits: DataFrame, key: list[str], block: Column, order: list[str], *, replicates: int = 200, level: float = 0.95, seed: int = 42, least_share: float = 0.5) -> DataFrame:
+def _joined_sums(d: DataFrame, key: list[str], block: Column, order: list[str], replicates: int, seed: int) -> DataFrame:
+    """The sums of :func:`_drawn_sums` for keys of any length, by a join of all draws with their residuals."""
+    d = numbered(d, key, block, order, "i")
+    each = d.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("i", drawn(seed, F.col("replicate"), F.col("i"), F.col("f_n")))
+    each = each.select(*key, "replicate", "i", "w", "d1", "d2", "d3", "f_w", "p", "precision", "prior").join(d.select(*key, "i", "e"), [*key, "i"])
+    return each.groupBy(*key, "replicate").agg(
+        (F.sum(F.col("w") * F.col("e")) / F.first("f_w")).alias("g0"), *(F.sum(F.col("w") * F.col(f"d{j}") * F.col("e")).alias(f"g{j}") for j in range(1, P + 1)),
+        *(F.first(x).alias(x) for x in ("p", "precision", "prior")),
+    )
+
+
+#: Rows of a key that :func:`bootstrap` draws from in the memory of a task; longer keys' draws are joined.
+TOGETHER = 1 << 16
+_AT_ONCE = 1 << 20
+
+
+def _drawn_sums(d: DataFrame, key: list[str], order: list[str], replicates: int, seed: int) -> DataFrame:
+    """Per key and replicate g0 to g3, the sums of weight (and weighted regressors) times the drawn residual, and p, precision, prior. Rows come to
+    a task in order, a key at a time. The digests depend on replicate and number alone, so a task makes each once for all its keys."""
+    kept = ["e", "w", "d1", "d2", "d3", "p", "precision", "prior"]
+    rows = d.select(*key, *(F.col(c).cast("double").alias(f"_{c}") for c in kept), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, *(f"_o{i}" for i in range(len(order)))).select(*key, *(f"_{c}" for c in kept))
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in key) + ", replicate int, g0 double, g1 double, g2 double, g3 double, p int, precision double, prior double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now, parts = np.empty((replicates, 0), np.int64), None, []
+
+        def one() -> pa.RecordBatch:
+            nonlocal table
+            x = np.concatenate(parts)
+            n, step = len(x), max(1, _AT_ONCE // replicates)
+            if n > table.shape[1]:
+                new = range(table.shape[1], max(n, 2 * table.shape[1]))
+                table = np.hstack([table, np.array([[int(md5(b"%d:%d:%d" % (seed, r, i)).hexdigest()[:12], 16) for i in new] for r in range(replicates)])])
+            g = np.zeros((replicates, 4))
+            for at in range(0, n, step):
+                g += x[table[:, at : min(at + step, n)] % n, 0] @ (x[at : at + step, 1:2] * np.column_stack([np.ones(min(step, n - at)), x[at : at + step, 2:5]]))
+            g[:, 0] /= x[:, 1].sum()
+            same = [pa.repeat(v, replicates) for v in (*now, *(pa.scalar(v, k) for v, k in zip((int(x[0, 5]), x[0, 6], x[0, 7]), (pa.int32(), pa.float64(), pa.float64()), strict=True)))]
+            k = len(key)
+            return pa.RecordBatch.from_arrays([*same[:k], pa.array(np.arange(replicates, dtype=np.int32)), *map(pa.array, g.T.copy()), *same[k:]], [*key, "replicate", "g0", "g1", "g2", "g3", "p", "precision", "prior"])
+
+        for batch in batches:
+            x = np.column_stack([batch.column(len(key) + i).to_numpy(zero_copy_only=False) for i in range(len(kept))])
+            new = np.zeros(batch.num_rows, bool)
+            for i in range(len(key)):
+                code = batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            starts = [0, *np.flatnonzero(new), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(starts, starts[1:], strict=False):
+                own = tuple(batch.column(i)[a] for i in range(len(key)))
+                if parts and own != now:
+                    yield one()
+                    parts = []
+                now = own
+                parts.append(x[a:b])
+        if parts:
+            yield one()
+
+    return rows.mapInArrow(run, kinds)
+
+
+def bootstrap(rows: DataFrame, fits: DataFrame, key: list[str], block: Column, order: list[str], *, replicates: int = 200, level: float = 0.95, seed: int = 42, least_share: float = 0.5, together: int = TOGETHER) -> DataFrame:
     """Residual bootstrap of one fitted model a key: percentile intervals of the intercept and coefficients.
 
-    ``rows`` are the exploded rows of the models in ``fits`` (:func:`fit`, one row a key) with ``order`` columns. In each replicate the
-    row numbered i gets the residual of the row numbered ``drawn(...)``; the system's inverse is known, so a refit needs three
-    sums. Returns key, replicates, succeeded and lower and upper ends, null where fewer than ``least_share`` succeeded."""
+    ``rows`` are the exploded rows of the models in ``fits`` (:func:`fit`, one row a key; give a written table, it is read again) with ``order``
+    columns. In each replicate the row numbered i gets the residual of the row numbered ``drawn(...)``; the system's inverse is known, so
+    a refit needs three sums. Keys of up to ``together`` rows draw inside a task, where only numbers of one key are held; longer ones'
+    draws are joined row by row. Returns key, replicates, succeeded and lower and upper ends, null where fewer than ``least_share`` succeeded."""
     keep = [*key, "model", "intercept", "b1", "b2", "b3", "v11", "v12", "v13", "v22", "v23", "v33", "w", "w1", "w2", "w3", "m1", "m2", "m3", "n"]
     f = fits.where("intercept IS NOT NULL").select([F.col(x).alias(f"f_{x}") if x not in (*key, "model") else F.col(x) for x in keep])
     b = {j: F.coalesce(F.col(f"f_b{j}"), F.lit(0.0)) for j in range(1, P + 1)}
     mid = {j: F.col(f"f_m{j}") + F.col(f"f_w{j}") / F.col("f_w") for j in range(1, P + 1)}
-    d = rows.join(f, [*key, "model"]).withColumn("e", F.col("t") - F.col("f_intercept") - sum(b[j] * F.col(f"z{j}") for j in b))
-    d = numbered(d, key, block, order, "i")
-    each = d.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("i", drawn(seed, F.col("replicate"), F.col("i"), F.col("f_n")))
-    each = each.drop("e").join(d.select(*key, "i", "e"), [*key, "i"])
-    g = each.groupBy(*key, "replicate").agg(
-        (F.sum(F.col("w") * F.col("e")) / F.first("f_w")).alias("g0"), *(F.sum(F.col("w") * (F.col(f"z{j}") - mid[j]) * F.col("e")).alias(f"g{j}") for j in b),
-        *(F.first(x).alias(x) for x in ("p", "precision", "prior")),
-    )
+
+    def left(f: DataFrame) -> DataFrame:
+        d = rows.join(f, [*key, "model"]).withColumn("e", F.col("t") - F.col("f_intercept") - sum(b[j] * F.col(f"z{j}") for j in b))
+        return d.withColumns({f"d{j}": F.col(f"z{j}") - mid[j] for j in b})
+
+    g, long = _drawn_sums(left(f.where(F.col("f_n") <= together)), key, order, replicates, seed), f.where(F.col("f_n") > together)
+    if not long.isEmpty():
+        g = g.unionByName(_joined_sums(left(long), key, block, order, replicates, seed))
     g = g.join(f, key)
     g = g.withColumn("g1", F.col("g1") + F.col("precision") * (F.col("prior") - b[1]))
     v = lambda j, k: F.when(F.col("p") >= max(j, k), F.col(f"f_v{min(j, k)}{max(j, k)}")).otherwise(0.0)

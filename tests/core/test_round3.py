@@ -2,11 +2,14 @@
 
 import math
 
-import pytest
+from pyspark.sql import functions as F
 
-from sensorframe.operators import series
+from sensorframe.operators import linear, series
+from sensorframe.plans import q_models
 from sensorframe.plans.common import rounded
 
+SF = "/root/testdata/sf0.001"
+
 READINGS = "k string, row_idx long, t_s double, value double"
 
 
@@ -16,3 +19,27 @@ def test_sampling_of_one_row_and_of_one_time(spark):
     assert math.isnan(got["one"].rate_hz) and got["one"].dt_cv is None and got["one"].duration == 0
     assert got["same"].rate_hz == math.inf and math.isnan(got["same"].dt_cv)
     assert got["two"].rate_hz == 0.5 and got["two"].dt_mean == 2
+
+
+def test_bootstrap_draws_alike_in_tasks_and_by_joins(spark):
+    """Keys drawn from inside a task, across batches of rows, and those whose draws are joined."""
+    rows = [(k, None if k == 2 else "a", i, float(i % 7) + 0.01 * i, float((i * 37 + k) % 11), 1.0 + i % 3) for k, n in ((0, 40), (1, 3), (2, 300), (3, 25)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, s string, i int, x double, y double, w double").withColumn("s", F.coalesce("s", F.lit("b")))
+    key = ["k", "s"]
+    r = linear.expand(df, [linear.Model("one", ("x",), prior=(0.5, 0.1))], "y", "w", [*key, "i"])
+    fits = linear.fit(r, key).localCheckpoint()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got, want, half = ([tuple(x) for x in linear.bootstrap(r, fits, key, F.floor(F.col("i") / 8), ["i"], replicates=30, together=t).orderBy("k").collect()] for t in (10**6, 0, 30))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) == len(half) == 4
+    for a, b, c in zip(got, want, half, strict=True):
+        assert a[:3] == b[:3] == c[:3] and all(y is None if x is None else math.isclose(x, y, rel_tol=1e-9) and math.isclose(x, z, rel_tol=1e-9) for x, y, z in zip(a[3:], b[3:], c[3:], strict=True))
+
+
+def test_observations_are_dealt_once(spark):
+    """Fits with validation shuffle observations by series, and exploded rows only as sums of folds."""
+    plan = linear.fit_and_validate(q_models.rows(spark, SF), q_models.KEY, ["level"])._jdf.queryExecution().executedPlan().toString()
+    dealt = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "hashpartitioning(series" in line and "place" not in line}
+    assert plan.count("Exchange hashpartitioning(") <= 3 and dealt <= {"series"}
