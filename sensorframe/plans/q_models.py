@@ -21,7 +21,8 @@ MODELS = [
 
 
 def obs(s, d):
-    return observations(s, d).withColumn("w", 1 + F.col("w0") * 10).withColumnRenamed("p", "part")
+    """Dealt by series once, before any model explodes them."""
+    return observations(s, d).select(*KEY, "x", "y", "level", "c0", "o", "l", F.col("p").alias("part"), (1 + F.col("w0") * 10).alias("w")).repartition(*KEY)
 
 
 def rows(s, d):
@@ -60,13 +61,22 @@ register(
 )
 
 REPLICATES = 40
+
+
+def selected(s, d):
+    """Intervals of the selected models; only their rows are exploded again."""
+    best = written(C.fit_calibrations(rows(s, d), KEY, ["level"]).where("selected"), "selected")
+    r = L.expand(obs(s, d).join(best.select(*KEY, F.col("model").alias("chosen")), KEY), MODELS, "y", "w", [*KEY, *ORDER, "chosen"]).where("model = chosen")
+    return C.selected_intervals(r.drop("chosen"), best, KEY, F.floor(F.col("o") / 1000), ORDER, replicates=REPLICATES)
+
+
 PICKED = FITS + f""", s AS (SELECT q.*, place = max(CASE WHEN delta < 1e-12 THEN place END) OVER (PARTITION BY series) AS chosen FROM q),
  y AS (SELECT e.*, s.b0 + s.b1 * z1 + s.b2 * z2 AS fit, t - (s.b0 + s.b1 * z1 + s.b2 * z2) AS res, s.n, row_number() OVER (PARTITION BY e.series ORDER BY o, l, part, level) - 1 AS i FROM e JOIN s ON s.series = e.series AND s.model = e.model AND chosen),
  k AS (SELECT y.*, rep, CAST('0x' || substr(md5('42:' || rep || ':' || i), 1, 12) AS BIGINT) % n AS pick FROM y, range({REPLICATES}) t(rep)),
  z AS (SELECT k.series, k.model, k.rep, k.w, k.p, k.place, k.prec, k.prior, k.z1, k.z2, k.fit + y.res AS t FROM k JOIN y ON y.series = k.series AND y.i = k.pick)""" + fit_sql("x", "z", "series, model, rep")
 register(
     "l06_selected_intervals",
-    lambda s, d: rounded(C.selected_intervals(rows(s, d), C.fit_calibrations(rows(s, d), KEY, ["level"]), KEY, F.floor(F.col("o") / 1000), ORDER, replicates=REPLICATES), 5),
+    lambda s, d: rounded(selected(s, d), 5),
     PICKED + """ SELECT series, model, CAST(count(*) AS BIGINT) AS succeeded, round(quantile_cont(b0, 0.025), 5) AS intercept_lower, round(quantile_cont(b0, 0.975), 5) AS intercept_upper, CASE WHEN any_value(p) > 0 THEN round(quantile_cont(b1, 0.025), 5) END AS b1_lower, CASE WHEN any_value(p) > 0 THEN round(quantile_cont(b1, 0.975), 5) END AS b1_upper,
  CASE WHEN any_value(p) > 1 THEN round(quantile_cont(b2, 0.025), 5) END AS b2_lower, CASE WHEN any_value(p) > 1 THEN round(quantile_cont(b2, 0.975), 5) END AS b2_upper FROM x GROUP BY series, model""",
 )
@@ -76,7 +86,7 @@ FREE = [L.Model("free", ("x",))]
 
 def slope_intervals(s, d, replicates=50):
     r = L.expand(obs(s, d).withColumn("one", F.lit(1.0)), FREE, "y", "one", [*KEY, *ORDER])
-    out = L.bootstrap(r, L.fit(r, KEY), KEY, F.floor(F.col("o") / 1000), ORDER, replicates=replicates)
+    out = L.bootstrap(r, written(L.fit(r, KEY), "fits"), KEY, F.floor(F.col("o") / 1000), ORDER, replicates=replicates)
     return out.select("series", F.col("succeeded").alias("replicates"), F.col("b1_lower").alias("low"), F.col("b1_upper").alias("high"))
 
 
