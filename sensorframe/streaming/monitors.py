@@ -5,12 +5,13 @@ Streams carry the columns of readings plus an event-time column ``ts``. State is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from sensorframe.operators.estimation import FILTERED, GATES, filter_step
@@ -24,95 +25,60 @@ def sampling_monitor(stream: DataFrame, key: list[str], window: str = "1 hour",
     return rows.select(*key, F.col("w.start").alias("start"), "n", ((F.col("t1") - F.col("t0")) / F.greatest(F.col("n") - 1, F.lit(1))).alias("dt_mean"), "v_min", "v_max", (F.col("missing") / F.col("n")).alias("missing_share"))
 
 
-class _PerSeries(StatefulProcessor):
-    """Runs a step over the rows of a series in order of row_idx, with a small state between batches."""
+def _median(ordered: list[float]) -> float:
+    n = len(ordered)
+    return float("nan") if not n else ordered[n // 2] if n % 2 else (ordered[n // 2 - 1] + ordered[n // 2]) / 2
 
-    state_schema = ""
 
-    def __init__(self, key: list[str], out: list[str]):
-        self.key, self.out = key, out
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", self.state_schema)
+def _stateful(stream: DataFrame, key: list[str], step: Callable, state_schema: str, columns: str) -> DataFrame:
+    """Runs ``step`` (state, t_s, value) -> (state, results) over the rows of a series in order of row_idx; states come and go with the rows."""
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in [*key, "row_idx", "t_s"])
+    schema = StructType.fromDDL(f"{kinds}, {columns}")
+    names = schema.names
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.kept.get()) if self.kept.exists() else None
-        made = []
-        for row in pd.concat(list(rows)).sort_values("row_idx", kind="stable").itertuples(index=False):
-            state, result = self.step(state, row)
-            made.append((*key, row.row_idx, row.t_s, *result))
-        self.kept.update(state)
-        yield pd.DataFrame(made, columns=self.out)
+    def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, made = tuple(state.get) if state.exists else None, []
+        rows = [r for part in parts for r in zip(part["row_idx"].tolist(), part["t_s"].tolist(), part["value"].tolist(), strict=True)]
+        for i, t, v in sorted(rows, key=lambda r: r[0]):
+            kept, result = step(kept, float(t), v)
+            made.append((*own, i, t, *result))
+        state.update(kept)
+        yield pd.DataFrame(made, columns=names)
 
-    def close(self) -> None:
-        pass
+    rows = stream.select(*key, "row_idx", "t_s", "value").groupBy(*key)
+    return rows.applyInPandasWithState(run, schema, StructType.fromDDL(state_schema), "append", GroupStateTimeout.NoTimeout)
 
 
-class ResetSegmenter(_PerSeries):
+def segment_resets(stream: DataFrame, key: list[str], reset_s: float, fraction: float) -> DataFrame:
     """Numbers segments: a new one where time falls by ``reset_s`` or to ``fraction`` of the time before."""
 
-    state_schema = "t double, segment bigint"
-
-    def __init__(self, key, out, reset_s: float, fraction: float):
-        super().__init__(key, out)
-        self.reset_s, self.fraction = reset_s, fraction
-
-    def step(self, state, row):
-        segment = 0
-        if state is not None:
-            before, segment = state
-            if before - row.t_s >= self.reset_s or (row.t_s < before and row.t_s <= before * self.fraction):
-                segment += 1
-        return (float(row.t_s), int(segment)), (int(segment),)
-
+    def step(state, t, v):
+        before, segment = state or (t, 0)
+        new = state is not None and (before - t >= reset_s or (t < before and t <= before * fraction))
+        return (t, int(segment + new)), (int(segment + new),)
 
-class CausalHampel(_PerSeries):
-    """Flags a value against the median and spread of the last ``width`` values, itself included."""
+    return _stateful(stream, key, step, "t double, segment bigint", "segment bigint")
 
-    state_schema = "v array<double>"
 
-    def __init__(self, key, out, width: int, threshold: float):
-        super().__init__(key, out)
-        self.width, self.threshold = width, threshold
-
-    def step(self, state, row):
-        values = [*(list(state[0]) if state else []), float(row.value)][-self.width :]
-        s = pd.Series(values)
-        gap, mad = abs(row.value - s.median()), (s - s.median()).abs().median()
+def hampel(stream: DataFrame, key: list[str], width: int, threshold: float) -> DataFrame:
+    """Flags a value against the median and spread of the last ``width`` values, itself included; missing ones take no part."""
+
+    def step(state, t, v):
+        v = float("nan") if v is None else float(v)
+        values = [*(state[0] if state else []), v][-width:]
+        known = sorted(x for x in values if x == x)
+        m = _median(known)
+        gap, mad = abs(v - m), _median(sorted(abs(x - m) for x in known))
         z = gap / (1.4826 * mad) if mad > 0 else 1e12 if gap > 0 else 0.0
-        return (values,), (float(z), bool(z > self.threshold))
-
-
-class ScalarFilter(_PerSeries):
-    """The recursive filter of the batch operator."""
-
-    state_schema = "t double, x double, p double"
+        return (values,), (float(z), bool(z > threshold))
 
-    def __init__(self, key, out, q: float, r: float, gate: float):
-        super().__init__(key, out)
-        self.q, self.r, self.gate = q, r, gate
-
-    def step(self, state, row):
-        return filter_step(state, float(row.t_s), None if pd.isna(row.value) else float(row.value), self.q, self.r, self.gate)
-
-
-def _stateful(stream: DataFrame, key: list[str], processor, columns: str) -> DataFrame:
-    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in [*key, "row_idx", "t_s"])
-    schema = StructType.fromDDL(f"{kinds}, {columns}")
-    rows = stream.select(*key, "row_idx", "t_s", "value").groupBy(*key)
-    return rows.transformWithStateInPandas(statefulProcessor=processor(schema.names), outputStructType=schema, outputMode="Append", timeMode="None")
-
-
-def segment_resets(stream: DataFrame, key: list[str], reset_s: float, fraction: float) -> DataFrame:
-    return _stateful(stream, key, lambda out: ResetSegmenter(key, out, reset_s, fraction), "segment bigint")
-
-
-def hampel(stream: DataFrame, key: list[str], width: int, threshold: float) -> DataFrame:
-    return _stateful(stream, key, lambda out: CausalHampel(key, out, width, threshold), "z double, spike boolean")
+    return _stateful(stream, key, step, "v array<double>", "z double, spike boolean")
 
 
 def scalar_filter(stream: DataFrame, key: list[str], q: float, r: float, confidence: float = 0.99) -> DataFrame:
-    return _stateful(stream, key, lambda out: ScalarFilter(key, out, q, r, GATES[confidence]), FILTERED)
+    """The recursive filter of the batch operator."""
+    gate = GATES[confidence]
+    return _stateful(stream, key, lambda state, t, v: filter_step(state, t, None if pd.isna(v) else float(v), q, r, gate), "t double, x double, p double", FILTERED)
 
 
 def drop_late_duplicates(stream: DataFrame, key: list[str], delay: str = "10 minutes") -> DataFrame:
@@ -121,41 +87,16 @@ def drop_late_duplicates(stream: DataFrame, key: list[str], delay: str = "10 min
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*key, "t_s", "value"])
 
 
-class ConflictHolder(StatefulProcessor):
-    """Holds the rows of one time of a series until the watermark passes it, then lets the first of equal rows go, or all that conflict."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "row_idx bigint, value double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            self.rows.appendList([(int(r.row_idx), None if pd.isna(r.value) else float(r.value)) for r in part.itertuples(index=False)])
-            self.handle.registerTimer(int(part["ts"].iloc[0].timestamp() * 1000))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.rows.exists():
-            rows = sorted(self.rows.get(), key=lambda r: r[0])
-            conflict = len({r[1] for r in rows}) > 1
-            yield pd.DataFrame([(*key, r[0], r[1], "quarantined" if conflict else "kept") for r in (rows if conflict else rows[:1])], columns=self.out)
-            self.rows.clear()
-
-    def __init__(self, out: list[str]):
-        self.out = out
-
-    def close(self) -> None:
-        pass
-
-
 def part_conflicts(stream: DataFrame, key: list[str], delay: str = "10 minutes") -> DataFrame:
     """Rows with a fate, the twin of ``operators.assess.part_conflicts``: of rows with one key, time and value the first by row_idx is kept,
-    all rows of a time with different values are quarantined. A time's rows come out once the watermark has passed it; state is kept per
-    key and time, so a busy key is spread. Rows later than ``delay``, and times up to 1970, are dropped by the watermark."""
-    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in [*key, "t_s"])
-    schema = StructType.fromDDL(f"{kinds}, row_idx bigint, value double, fate string")
-    rows = stream.withWatermark("ts", delay).select(*key, "t_s", "ts", F.col("row_idx").cast("bigint").alias("row_idx"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy(*key, "t_s").transformWithStateInPandas(statefulProcessor=ConflictHolder(schema.names), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    all rows of a time with different values are quarantined. ``ts`` is ``t_s`` as a timestamp. A time's rows come out once the watermark has
+    passed it; state is kept per key and time, so a busy key is spread. Rows later than ``delay``, and times up to 1970, are dropped by the watermark."""
+    value = F.col("value").cast("double")
+    one = F.struct(F.col("row_idx").cast("bigint").alias("row_idx"), F.when(~F.isnan(value), value).alias("value"))
+    held = stream.withWatermark("ts", delay).groupBy(*key, "t_s", "ts").agg(F.sort_array(F.collect_list(one)).alias("_rows"))
+    conflict = F.size(F.array_distinct(F.col("_rows.value"))) > 1
+    out = held.select(*key, "t_s", F.when(conflict, "quarantined").otherwise("kept").alias("fate"), F.explode(F.when(conflict, F.col("_rows")).otherwise(F.slice("_rows", 1, 1))).alias("_r"))
+    return out.select(*key, "t_s", "_r.row_idx", "_r.value", "fate")
 
 
 class OrderedMatcher(StatefulProcessor):
@@ -174,14 +115,20 @@ class OrderedMatcher(StatefulProcessor):
                 own = part[part["side"] == side]
                 if len(own):
                     kept.appendList([(float(r.x), int(r.id)) for r in own.itertuples(index=False)])
-            for x in part.loc[part["side"] == "l", "x"]:
-                self.handle.registerTimer(int((x + self.tolerance) * 1000) + 1)
+            if (part["side"] == "l").any():
+                self._wake(part.loc[part["side"] == "l", "x"].min())
         yield pd.DataFrame()
 
+    def _wake(self, x: float) -> None:
+        """When the earliest waiting left row is due; then the next one's time is set."""
+        self.handle.registerTimer(int((x + self.tolerance) * 1000) + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
         left = sorted(tuple(r) for r in self.left.get()) if self.left.exists() else []
         due = [r for r in left if r[0] + self.tolerance <= now]
+        if left[len(due) :]:
+            self._wake(left[len(due)][0])
         if due:
             right = sorted(tuple(r) for r in self.right.get()) if self.right.exists() else []
             made = []

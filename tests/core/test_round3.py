@@ -2,11 +2,13 @@
 
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sensorframe.operators import linear, series
 from sensorframe.plans import q_models
 from sensorframe.plans.common import rounded
+from sensorframe.streaming import monitors
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +45,29 @@ def test_observations_are_dealt_once(spark):
     plan = linear.fit_and_validate(q_models.rows(spark, SF), q_models.KEY, ["level"])._jdf.queryExecution().executedPlan().toString()
     dealt = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "hashpartitioning(series" in line and "place" not in line}
     assert plan.count("Exchange hashpartitioning(") <= 3 and dealt <= {"series"}
+
+
+def test_matcher_waits_with_one_timer_a_key():
+    class Kept:
+        def __init__(self):
+            self.rows = []
+
+        def getListState(self, name, schema):
+            return self
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def registerTimer(self, at):
+            self.at = [*getattr(self, "at", []), at]
+
+    m, handle = monitors.OrderedMatcher(["k", "li", "ri", "d"], 5.0), Kept()
+    m.init(handle)
+    list(m.handleInputRows((1,), iter([pd.DataFrame({"side": ["l", "l", "r", "l"], "id": [1, 2, 3, 4], "x": [9.0, 7.0, 1.0, 8.0]})]), None))
+    assert handle.at == [12001] and len(handle.rows) == 4
+
+
+def test_conflicts_are_held_without_python(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 5.0, 1.0)], READINGS.replace("k string", "k long")).withColumn("ts", F.timestamp_seconds("t_s")).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    assert "Pandas" not in monitors.part_conflicts(live, ["k"], "1 hour")._jdf.queryExecution().analyzed().toString()
