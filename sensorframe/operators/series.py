@@ -232,14 +232,13 @@ def allan(readings: DataFrame, key: list[str], clusters: list[int]) -> DataFrame
 
 
 def lag_pairs(readings: DataFrame, key: list[str], max_lag: int) -> DataFrame:
-    """Autocorrelation of the rows in time order at lags 0..max_lag, about the mean."""
-    r = readings.withColumn("_i", F.row_number().over(ordered(key))).join(readings.groupBy(key).agg(F.avg("value").alias("_mean")), key)
-    r = r.select(*key, "_i", (F.col("value") - F.col("_mean")).alias("v"))
-    a = r.select(*key, "_i", F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("j", F.col("_i") + F.col("lag"))
-    b = r.select(*key, F.col("_i").alias("j"), F.col("v").alias("vb"))
-    c = a.join(b, [*key, "j"]).groupBy(*key, "lag").agg(F.sum(F.col("va") * F.col("vb")).alias("c"))
-    zero = c.where("lag = 0").select(*key, F.col("c").alias("c0")).where("c0 > 0")
-    return c.join(zero, key).select(*key, "lag", (F.col("c") / F.col("c0")).alias("acf"))
+    """Autocorrelation of the rows in time order at lags 0..max_lag, about the mean. Each row meets its earlier ones in one sorted pass."""
+    r = readings.join(readings.groupBy(key).agg(F.avg("value").alias("_mean")), key).select(*key, "t_s", "row_idx", (F.col("value") - F.col("_mean")).alias("_v"))
+    w, lags = ordered(key), range(max_lag + 1)
+    r = r.select(*key, F.row_number().over(w).alias("_i"), "_v", *(F.lag("_v", k).over(w).alias(f"_v{k}") for k in lags if k))
+    sums = r.groupBy(key).agg(F.max("_i").alias("_n"), F.array(*(F.sum(F.col("_v") * F.col(f"_v{k}" if k else "_v")) for k in lags)).alias("_c")).where(F.get("_c", F.lit(0)) > 0)
+    c = sums.select(*key, "_n", F.get("_c", F.lit(0)).alias("_c0"), F.posexplode("_c").alias("lag", "c")).where("lag < _n")
+    return c.select(*key, "lag", (F.col("c") / F.col("_c0")).alias("acf"))
 
 
 def residual_summary(residuals: DataFrame, key: list[str], order: list[str], value: str = "r") -> DataFrame:

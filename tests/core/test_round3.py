@@ -5,7 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sensorframe.operators import linear, series
+from sensorframe.operators import linear, series, transient
 from sensorframe.plans import q_models
 from sensorframe.plans.common import rounded
 from sensorframe.streaming import monitors
@@ -71,3 +71,21 @@ def test_conflicts_are_held_without_python(spark, tmp_path):
     spark.createDataFrame([(1, 1, 5.0, 1.0)], READINGS.replace("k string", "k long")).withColumn("ts", F.timestamp_seconds("t_s")).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
     assert "Pandas" not in monitors.part_conflicts(live, ["k"], "1 hour")._jdf.queryExecution().analyzed().toString()
+
+
+def test_lags_meet_in_one_pass(spark):
+    rows = [(k, i, float(i), float((i * 7 + len(k)) % 5)) for k, n in (("one", 1), ("four", 4), ("thirty", 30)) for i in range(n)]
+    df = spark.createDataFrame(rows + [("flat", i, float(i), 2.0) for i in range(3)], READINGS)
+    out = series.lag_pairs(df, ["k"], 6)
+    want = {}
+    for k in ("four", "thirty"):
+        v = [r[3] for r in rows if r[0] == k]
+        c = [x - sum(v) / len(v) for x in v]
+        want |= {(k, j): sum(a * b for a, b in zip(c, c[j:], strict=False)) / sum(x * x for x in c) for j in range(min(7, len(v)))}
+    got = {(r.k, r.lag): r.acf for r in out.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    assert "sequence(" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_crossings_of_slow_curves_are_made_in_batches(spark):
+    assert "sequence(" not in spark.range(1).select(F.lit(1.0).alias("tau_slow"), *(F.lit(1.0).alias(c) for c in ("tau_fast", "duration", "beta", "a_fast", "a_slow", "drift", "e_infinity"))).select(transient.time_to_fraction(0.9))._jdf.queryExecution().analyzed().toString()
