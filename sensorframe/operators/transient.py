@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorframe.operators import linear
+from sensorframe.sources.storage import written
 
 #: Models in the order that decides between equal scores, with their number of parameters.
 MODELS = {"single": 3, "double": 5, "double_drift": 6, "stretched": 4}
@@ -175,17 +178,36 @@ def residual_statistics(points: DataFrame, fits: DataFrame, key: list[str], *, t
 def time_to_fraction(fraction: float, steps: int = 2000) -> Column:
     """When the fitted response has come a fraction of its way to e_infinity: the first crossing on a curve of ``steps`` points up to 20
     times the largest of time constant, window and one second, linear between points; 0 for a response that starts there, null without
-    a crossing. The curve is an array of fixed size in a row's expression."""
-    c = F.col
-    upper = 20.0 * F.greatest(F.coalesce("tau_slow", "tau_fast"), "duration", F.lit(1.0))
-    away = lambda time: F.abs(response(time) - c("e_infinity"))
-    start = away(F.lit(0.0))
-    target = start * (1 - fraction)
-    # a fitted e_infinity makes the distance fall with time but for drift, so the first point at or under the target follows one above it
-    at = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(steps)), lambda i: away(upper * i / steps) <= target))
-    time, earlier = upper * at / steps, upper * (at - 1) / steps
-    share = (away(earlier) - target) / F.greatest(away(earlier) - away(time), F.lit(2.2250738585072014e-308))
-    return F.when(start <= linear.EPSILON, 0.0).otherwise(earlier + (time - earlier) * share)
+    a crossing. The curves of a few hundred rows at a time are made in numpy."""
+
+    @F.pandas_udf("double")
+    def crossing(fast: pd.Series, slow: pd.Series, beta: pd.Series, a: pd.Series, b: pd.Series, drift: pd.Series, upper: pd.Series) -> pd.Series:
+        out = np.full(len(fast), np.nan)
+        share = np.arange(steps + 1) / steps
+        for at in range(0, len(fast), 256):
+            f, s, e, x, y, d, u = (c.to_numpy(float)[at : at + 256, None] for c in (fast, slow, beta, a, b, drift, upper))
+            with np.errstate(all="ignore"):
+                t = u * share
+                r = t / f
+                bent = (e != 1).ravel()
+                r[bent] = r[bent] ** e[bent]
+                away = np.abs(x * np.exp(-r) + y * np.exp(-t / s) + d * t)
+                target = away[:, :1] * (1 - fraction)
+                hit = away[:, 1:] <= target
+                i = hit.argmax(1) + 1
+                row = np.arange(len(i))
+                before, after = away[row, i - 1], away[row, i]
+                part = (before - target[:, 0]) / np.maximum(before - after, 2.2250738585072014e-308)
+                found = t[row, i - 1] + (t[row, i] - t[row, i - 1]) * part
+            found[~hit.any(1)] = np.nan
+            found[away[:, 0] <= linear.EPSILON] = 0.0
+            out[at : at + 256] = found
+        return pd.Series(out)
+
+    one, none = F.lit(1.0), F.lit(0.0)
+    upper = 20.0 * F.greatest(F.coalesce("tau_slow", "tau_fast"), "duration", one)
+    at = crossing("tau_fast", F.coalesce("tau_slow", one), F.coalesce("beta", one), "a_fast", F.coalesce("a_slow", none), F.coalesce("drift", none), upper)
+    return F.nanvl(at, F.lit(None).cast("double"))
 
 
 def features(fits: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -208,6 +230,6 @@ def features(fits: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def analyze_transients(points: DataFrame, key: list[str], *, t: str = "local", y: str = "v", order: tuple[str, ...] = (), models: tuple[str, ...] = tuple(MODELS), grid: Grid = Grid(), criterion: str = "aic", limits: Limits = Limits()) -> DataFrame:
     """Fits, residual statistics, choice, features and flags of every segment and model. Give a written table of points: it is read by
     each round of the grid."""
-    fits = fit_responses(points, key, t=t, y=y, models=models, grid=grid)
+    fits = written(fit_responses(points, key, t=t, y=y, models=models, grid=grid), "responses")
     fits = fits.join(residual_statistics(points, fits, key, t=t, y=y, order=order), [*key, "model"])
     return features(select_model(fits, key, criterion), limits)
