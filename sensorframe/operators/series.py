@@ -114,7 +114,7 @@ def regularity(readings: DataFrame, key: list[str], tolerance: float) -> DataFra
     """Whether every interval is within a relative tolerance of the median one."""
     d = intervals(readings, key).where("dt IS NOT NULL")
     m = d.groupBy(key).agg(F.percentile("dt", F.lit(0.5)).alias("m"))
-    return d.join(m, key).groupBy(key).agg(F.first("m").alias("dt_median"), F.bool_and(F.abs(F.col("dt") - F.col("m")) / F.col("m") <= tolerance).alias("regular"))
+    return d.join(m, key).groupBy(key).agg(F.first("m").alias("dt_median"), F.bool_and(F.coalesce(F.try_divide(F.abs(F.col("dt") - F.col("m")), F.col("m")) <= tolerance, F.lit(False))).alias("regular"))
 
 
 def resample_linear(readings: DataFrame, key: list[str], step_s: float, max_gap_s: float) -> DataFrame:
@@ -248,8 +248,8 @@ def residual_summary(residuals: DataFrame, key: list[str], order: list[str], val
     m = m.withColumns({"_p": F.lag(value).over(w), "_c": F.col(value) - F.col("_mean")})
     m = m.withColumns({"_pc": F.lag("_c").over(w), "_up": F.col("_c") >= 0}).withColumn("_pu", F.lag("_up").over(w))
     return m.groupBy(key).agg(
-        F.count("*").alias("n"), (F.sum(F.pow(F.col(value) - F.col("_p"), 2)) / F.sum(F.pow(value, 2))).alias("durbin_watson"),
-        (F.sum(F.col("_c") * F.col("_pc")) / F.sum(F.col("_c") ** 2)).alias("lag1"), (F.count_if(F.col("_up") != F.col("_pu")) + 1).alias("runs"),
+        F.count("*").alias("n"), F.try_divide(F.sum(F.pow(F.col(value) - F.col("_p"), 2)), F.sum(F.pow(value, 2))).alias("durbin_watson"),
+        F.try_divide(F.sum(F.col("_c") * F.col("_pc")), F.sum(F.col("_c") ** 2)).alias("lag1"), (F.count_if(F.col("_up") != F.col("_pu")) + 1).alias("runs"),
     )
 
 

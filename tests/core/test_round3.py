@@ -89,3 +89,9 @@ def test_lags_meet_in_one_pass(spark):
 
 def test_crossings_of_slow_curves_are_made_in_batches(spark):
     assert "sequence(" not in spark.range(1).select(F.lit(1.0).alias("tau_slow"), *(F.lit(1.0).alias(c) for c in ("tau_fast", "duration", "beta", "a_fast", "a_slow", "drift", "e_infinity"))).select(transient.time_to_fraction(0.9))._jdf.queryExecution().analyzed().toString()
+
+
+def test_still_series_have_no_ratios(spark):
+    df = spark.createDataFrame([("still", i, 5.0, 0.0) for i in range(3)], READINGS)
+    r = series.residual_summary(df, ["k"], ["t_s", "row_idx"], "value").first()
+    assert r.durbin_watson is None and r.lag1 is None and r.runs == 1 and series.regularity(df, ["k"], 0.9).first().regular is False
