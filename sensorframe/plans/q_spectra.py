@@ -38,7 +38,7 @@ register(
 )
 register(
     "b05_drop_inductive",
-    lambda s, d: rounded(spectra(s, d).withColumn("z_im", F.col("z_im") + 50).where("z_im < 0"), 4),
+    lambda s, d: rounded(spectra(s, d, ordered=True).withColumn("z_im", F.col("z_im") + 50).where("z_im < 0"), 4),
     S + " SELECT spectrum_id, level, round(freq_hz, 4) AS freq_hz, round(z_re, 4) AS z_re, round(z_im + 50, 4) AS z_im FROM s WHERE z_im + 50 < 0",
 )
 register(

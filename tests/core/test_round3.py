@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sensorframe.operators import linear, series, transient
 from sensorframe.plans import q_models
 from sensorframe.plans.common import rounded
+from sensorframe.sources import views
 from sensorframe.streaming import monitors
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,21 @@ def test_still_series_have_no_ratios(spark):
     df = spark.createDataFrame([("still", i, 5.0, 0.0) for i in range(3)], READINGS)
     r = series.residual_summary(df, ["k"], ["t_s", "row_idx"], "value").first()
     assert r.durbin_watson is None and r.lag1 is None and r.runs == 1 and series.regularity(df, ["k"], 0.9).first().regular is False
+
+
+def test_sums_in_the_order_of_the_file(spark, tmp_path):
+    """Means that lie on a limit are told by the order of addition: that of the file, whatever its splits."""
+    v = [(float(i % 4), 0.01 * ((i * 7919) % 11)) for i in range(20_000)]
+    spark.createDataFrame(v, "k double, v double").coalesce(1).write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        t = spark.read.parquet(str(tmp_path / "t"))
+        assert t.rdd.getNumPartitions() > 3
+        got = dict(views.in_order(t.select("k", "v"), ["k"]).groupBy("k").agg(F.sum("v")).collect())
+        plain = dict(t.groupBy("k").agg(F.sum("v")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {}
+    for k, x in v:
+        want[k] = want.get(k, 0.0) + x
+    assert got == want != plain
