@@ -115,7 +115,7 @@ register(
 )
 register(
     "g07_initial_features",
-    lambda s, d: rounded(P.initial_features(prep(s, d)), 3),
+    lambda s, d: rounded(P.initial_features(P.prepare(spectra(s, d, ordered=True))), 3),
     PREP + """, q AS (SELECT *, count(*) OVER (PARTITION BY spectrum_id) AS n FROM p) SELECT spectrum_id, round(avg(z_re) FILTER (rank <= 5), 3) AS series_resistance, round(max(-z_im), 3) AS peak, round(arg_max(omega, (-z_im, omega)), 3) AS peak_omega,
  round(avg(-z_im * sqrt(omega)) FILTER (rank > n - 3), 3) AS tail_sigma, round(max(z_re) - min(z_re), 3) AS diameter FROM q GROUP BY spectrum_id""",
 )
