@@ -10,7 +10,7 @@ from sensorframe.operators import evidence as V
 from sensorframe.operators import lineage as G
 from sensorframe.operators import series as S
 from sensorframe.plans.common import Registry, rounded
-from sensorframe.sources.views import SERIES, readings, table
+from sensorframe.sources.views import SERIES, in_order, readings, table
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -132,7 +132,8 @@ def promoted(s, d):
     ask = sup.select(F.col("s_suppkey").alias("hypothesis"), F.explode(F.sequence(F.lit(0), F.col("s_suppkey") % 4)).alias("requirement"))
     ask = ask.select("hypothesis", "requirement", F.when(F.col("requirement") == 3, "validation").when(F.col("requirement") == 1, "support_and_validation").otherwise("support").alias("stage"), F.when((F.col("requirement") == 2) & (F.col("hypothesis") % 2 == 0), "optional").otherwise("required").alias("gate"))
     ev = li.where("l_quantity >= 48 AND l_linenumber = 1").select(F.col("l_suppkey").alias("hypothesis"), (F.col("l_partkey") % 4).cast("int").alias("requirement"), F.col("l_orderkey").alias("id"))
-    g = li.where("l_quantity >= 46 AND l_linenumber <= 4").groupBy(F.col("l_suppkey").alias("hypothesis"), F.col("l_linenumber").alias("n")).agg((F.avg("l_discount") > 0.04).alias("satisfied"))
+    first = in_order(li.where("l_quantity >= 46 AND l_linenumber <= 4").select("l_suppkey", "l_linenumber", "l_discount"), ["l_suppkey", "l_linenumber"])
+    g = first.groupBy(F.col("l_suppkey").alias("hypothesis"), F.col("l_linenumber").alias("n")).agg((F.avg("l_discount") > 0.04).alias("satisfied"))
     g = g.select("hypothesis", F.element_at(F.array(*map(F.lit, ("timescale", "amplitude", "repeatability", "identifiability"))), F.col("n").cast("int")).alias("kind"), F.col("n").alias("gate"), F.when(F.col("hypothesis") % 17 != 0, F.col("satisfied")).alias("satisfied"))
     g = g.where("hypothesis % 5 <> 0")
     no = li.where("l_returnflag = 'R' AND l_quantity = 50 AND l_discount >= 0.1").groupBy(F.col("l_suppkey").alias("hypothesis")).agg(F.count("*").alias("strong_critical")).where("hypothesis % 6 = 0")
