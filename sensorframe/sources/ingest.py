@@ -30,15 +30,28 @@ def number(token: Column) -> Column:
     return F.when(~F.lower(F.trim(token)).isin(MISSING) & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
-def read_logs(spark: SparkSession, path: str, name: str = "file_name") -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Ends a log in a bundle: ASCII's record separator.
+END = "\x1e"
+
+
+def bundle_logs(logs: DataFrame, path: str) -> None:
+    """Writes logs (file, value) one after another into large files, as many as ``logs`` has partitions: each a line with its name, its text
+    and ``END`` (which is dropped from texts, where it has no meaning). A folder of hundreds of thousands of small files costs a directory entry, a rename and an open each; a bundle costs none."""
+    logs.select(F.concat_ws("\n", "file", F.translate("value", END, ""))).write.option("lineSep", END).text(path)
+
+
+def read_logs(spark: SparkSession, path: str, name: str = "file_name", bundled: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Delimited logs of a folder as (readings, issues, failed). ``name`` says what tells files apart: file_name, or file_path where
-    folders hold files of one name.
+    folders hold files of one name. ``bundled`` reads what :func:`bundle_logs` wrote, whose logs carry their names; Spark splits bundles.
 
     The preamble ends at the first line of two or more fields one of which is a time header; other columns are channels. Lines
     keep their numbers in the file. A bad time skips the row, a bad value is null; both, and rows of another width, are issues.
-    Files without a time header are in ``failed``. Files are read in parallel, a file in one row.
+    Files without a time header are in ``failed``. Files are read in parallel, a log in one row.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col(f"_metadata.{name}").alias("file"), F.col("value"))
+    if bundled:
+        text = spark.read.option("lineSep", END).text(path).select(F.substring_index("value", "\n", 1).alias("file"), F.regexp_replace("value", r"^[^\n]*\n?", "").alias("value"))
+    else:
+        text = spark.read.text(path, wholetext=True).select(F.col(f"_metadata.{name}").alias("file"), F.col("value"))
     lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).where(F.trim("line") != "")
     lines = lines.withColumn("cells", F.transform(F.split("line", r"\s*[,;\t]\s*"), lambda c: F.trim(c)))
     name = F.transform("cells", lambda c: F.lower(header_parts(c)["name"]))

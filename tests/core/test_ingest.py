@@ -58,3 +58,28 @@ def test_history(spark):
     entries = spark.createDataFrame([("h2", "a", 2, "mid"), ("h3", "a", 3, "high"), ("h4", "a", 4, "low"), ("h9", "b", 1, "low")], prior.schema)
     got = {r.history_id: (r["index"], r.prior_level) for r in ingest.history(entries, prior, ["k"]).collect()}
     assert got == {"h3": (3, "mid"), "h4": (4, "high"), "h9": (1, None)}
+
+
+def test_bundled_logs_are_read_like_files(spark, folder):
+    """Bundles hold a log each in few files; what is read equals what files of their own give."""
+    alone = ingest.read_logs(spark, str(folder / "logs"))
+    logs = spark.createDataFrame([(p.name, p.read_text()) for p in (folder / "logs").iterdir()] + [("empty.txt", ""), ("gone\x1e.csv".replace("\x1e", ""), "time,a\n1,2\x1e")], "file string, value string")
+    ingest.bundle_logs(logs.coalesce(1), str(folder / "bundle"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        got = [[tuple(r) for r in df.collect()] for df in ingest.read_logs(spark, str(folder / "bundle"), bundled=True)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list((folder / "bundle").glob("part-*"))) == 1
+    extra = ([("gone.csv", "a", 1, 1.0, 2.0, None)], [], [("empty.txt",)])
+    for g, a, x in zip(got, alone, extra, strict=True):
+        assert sorted(map(str, g)) == sorted(map(str, [*map(tuple, a.collect()), *x]))
+
+
+def test_the_log_queries_write_no_file_per_sensor(spark, tmp_path, monkeypatch):
+    from sensorframe.plans import q_ingest
+
+    monkeypatch.setattr(q_ingest, "fresh_path", lambda s, name: str(tmp_path / name))
+    q_ingest.logs(spark, "/root/testdata/sf0.001")
+    files = list((tmp_path / "logs").rglob("part-*"))
+    assert 0 < len(files) <= 8
