@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.sources.storage import PLAIN_READS, fresh_path, shared_dir, written  # noqa: F401
+from sensorframe.sources.storage import PLAIN_READS, fresh_path, shared_dir, told, written  # noqa: F401
 
 #: The six white-space characters that end words and surround lines.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,15 +41,15 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFram
     return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({m: c for c, m in moved.items()})
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: Column, total: int | None = None) -> DataFrame:
     """Inner join of ``left`` with the table ``right`` whose hot keys are salted.
 
     ``right`` (a written table) tells in ``count`` how many rows of ``left`` have the key; it is small beside them. A hot key gets a
     salt for each share of rows that makes a key hot, so it is dealt over about as many tasks as other keys with as many rows;
-    ``spread`` deals its rows.
+    ``spread`` deals its rows. ``total`` is the sum of ``count`` where it is known.
     """
     left, back = set_aside(left, "_salt", "_salts")
-    total = right.agg(F.sum(count)).first()[0] or 0
+    total = right.agg(F.sum(count)).first()[0] or 0 if total is None else total
     share = max(1, total // min(MOST_HOT, max(HOT, total // HOT_ROWS)))
     salts = F.ceil(F.col(count) / share).cast("int")
     hot = right.where(F.col(count) > share).select(*keys, salts.alias("_salts")).distinct()

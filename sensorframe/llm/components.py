@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import written
+from sensorframe.llm._common import told
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _links(edges: DataFrame) -> tuple:
+    """The written links with their state, a count and a checksum."""
+    return told(edges, "links", F.count(F.lit(1)).alias("links"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("checksum"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,17 +21,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     checksum come to the driver. Minima are taken with partial aggregation, so hubs cost no large group.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "links")
-    state = _state(edges)
-    while state[0]:
+    edges, state = _links(edges)
+    while state.links:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
-        state, before = _state(edges), state
+        before = state
+        edges, state = _links(small)
         if state == before:
             break
     # a fixed point is a set of stars whose centres are the smallest nodes

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm._common import bitmap, in_bitmap, join_counted, pieces, small_batches, table, written
+from sensorframe.llm._common import bitmap, in_bitmap, join_counted, pieces, small_batches, table, told, written
 from sensorframe.llm._grams import ngrams, word_hashes
 from sensorframe.llm.components import connected_components
 
@@ -138,7 +138,7 @@ def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the written pairs (a, b) of ids those that are alike on whole sets. Only the texts of compared documents move: the
     others are dropped in their tasks, by a bitmap of fixed size, before the joins."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     wanted = bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +186,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         nonlocal compared, links
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(_promising(pairs, sets, percent), f"{step}-pairs")
+        pairs, found = told(_promising(pairs, sets, percent), f"{step}-pairs", F.count(F.lit(1)).alias("rows"))
         compared = pairs if compared is None else compared.union(pairs)
-        if links is not None and pairs.isEmpty():
+        if links is not None and not found.rows:
             return False
-        new = written(_verified(pairs, texts, words, percent), f"{step}-links")
+        new, found = told(_verified(pairs, texts, words, percent), f"{step}-links", F.count(F.lit(1)).alias("rows"))
         links = new if links is None else links.union(new)
-        return not new.isEmpty()
+        return found.rows > 0
 
     def of_heads(pairs: DataFrame) -> DataFrame:
         a, b = (heads.select(F.col("g").alias(x), F.col("head").alias(y)) for x, y in (("g", "a"), ("g2", "b")))
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     # shingles in the prefixes of two groups or more; a group is all rows of one size and prefix
     shared = prefixes.select("g", F.explode("prefix").alias("t")).groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("rows"))
-    shared = written(shared.where("g0 <> g1").select("t", "rows"), "shared-shingles")
+    shared, crowds = told(shared.where("g0 <> g1").select("t", "rows"), "shared-shingles", F.sum(F.when(F.col("rows") > crowd, F.col("rows"))).alias("rows"))
     few, many = shared.where(F.col("rows") <= crowd), shared.where(F.col("rows") > crowd)
 
     # few groups meet: all their pairs
@@ -211,9 +211,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     inside = sets.join(heads.where("members > 1"), "g").where(f"low <> head AND 100 * (n - 1) >= {percent} * (n + 1)").select(F.col("head").alias("a"), F.col("low").alias("b"))
     first = of_heads(meet).union(inside)
 
-    crowded = not many.isEmpty()
+    crowded = bool(crowds.rows)
     if crowded:  # each group with two leaders
-        placed = written(join_counted(_placed(prefixes, many).distinct(), many, ["t"], "rows", F.col("g")), "crowded-prefixes")
+        placed = written(join_counted(_placed(prefixes, many).distinct(), many, ["t"], "rows", F.col("g"), crowds.rows), "crowded-prefixes")
         # the group in which a shingle comes earliest has the fewest rarer ones, so it is the likest to all the others
         first = first.union(of_heads(_led(placed, 0).where(fits).select("g", "g2").distinct()))
     link(first, "first")
@@ -265,7 +265,8 @@ def _led(placed: DataFrame, turn: int) -> DataFrame:
     carried = ["g", "n", "pos", *(["c"] if turn else [])]
     lead = F.struct((F.lit(0) if turn else F.col("pos")).alias("early"), F.xxhash64("g", F.lit(turn)).alias("h"), *carried)
     leaders = placed.withColumn("h", F.xxhash64("g", F.lit(turn))).groupBy("t").agg(F.min(lead).alias("lo"), F.max_by(lead, "h").alias("hi"), F.count("*").alias("count"))
-    led = join_counted(placed.select("t", *carried), written(leaders, "leaders"), ["t"], "count", F.col("g"))
+    leaders, all_of = told(leaders, "leaders", F.sum("count").alias("rows"))
+    led = join_counted(placed.select("t", *carried), leaders, ["t"], "count", F.col("g"), all_of.rows or 0)
     led = led.select(*carried, F.explode(F.array("lo", "hi")).alias("lead")).select(*carried, *(F.col(f"lead.{x}").alias(f"{x}2") for x in carried))
     return led.where("g <> g2")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 
 #: Vectored reads keep, outside the heap, a buffer as large as a whole column chunk for every thread that ever read one from a local or
@@ -33,3 +33,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
+
+
+def told(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, Row]:
+    """The rows as :func:`written`, and aggregates of them that come with the write: no job of their own."""
+    seen = Observation()
+    out = written(df.observe(seen, *metrics), name)
+    return out, Row(**seen.get)

@@ -18,3 +18,16 @@ def test_written_empty_table_keeps_its_columns(spark):
     df = spark.createDataFrame([], "id bigint, value double")
     back = written(df, "storage-test")
     assert back.dtypes == df.dtypes and back.count() == 0
+
+
+def test_aggregates_come_with_the_write(spark, tmp_path):
+    """Counts and sums of a written table need no job of their own, also of an empty one."""
+    from pyspark.sql import functions as F
+
+    from sensorframe.sources.storage import told
+
+    metrics = (F.count(F.lit(1)).alias("rows"), F.sum("id").alias("total"))
+    out, seen = told(spark.range(10).repartition(3, "id").distinct(), "told", *metrics)
+    assert (seen.rows, seen.total, out.count()) == (10, 45, 10)
+    out, seen = told(spark.range(10).where("id > 99").distinct(), "told", *metrics)
+    assert (seen.rows, seen.total, out.count()) == (0, None, 0)
