@@ -36,10 +36,10 @@ def compare_series(readings: DataFrame, manifest: DataFrame, key: list[str], *,
 
 def residual_report(residuals: DataFrame, *, window: int = 7, threshold: float = 3.0) -> DataFrame:
     """Per (source, record): n, durbin_watson, lag1, runs, rms, largest, drift (slope over t_s), spike_share. ``residuals`` is long, from any
-    fits: source, record, row_idx, t_s and r; null residuals are left out. Rows are ordered by t_s and row_idx."""
+    fits: source, record, row_idx, t_s and r; null residuals are left out. Rows are ordered by t_s and row_idx. Ratios of residuals that are all zero, or all equal, are no numbers."""
     key = ["source", "record"]
     d = residuals.where(F.col("r").isNotNull() & ~F.isnan("r"))
-    s = S.residual_summary(d, key, ["t_s", "row_idx"])
+    s = S.residual_summary(d, key, ["t_s", "row_idx"], still=float("nan"))
     size = d.groupBy(key).agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"), F.max(F.abs("r")).alias("largest"))
     drift = S.ols(d.select(*key, F.col("t_s").alias("x"), F.col("r").alias("y")), key).select(*key, F.col("slope").alias("drift"))
     spikes = S.hampel(d.withColumnRenamed("r", "value"), key, window, threshold).groupBy(key).agg(F.avg(F.col("spike").cast("double")).alias("spike_share"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import series as S
 from sensorframe.plans.common import Registry, rounded
-from sensorframe.sources.views import SERIES, readings
+from sensorframe.sources.views import SERIES, in_order, readings
 
 DAY = 86400.0
 R = "WITH r AS (SELECT user_id AS sensor_id, event_type AS channel, event_id AS row_idx, epoch_us(ts) / 1e6 AS t_s, value FROM events)"
@@ -150,7 +150,7 @@ register(
 )
 register(
     "d21_residual_summary",
-    lambda s, d: rounded(S.residual_summary(readings(s, d).withColumnRenamed("value", "r"), SERIES, ["t_s", "row_idx"])),
+    lambda s, d: rounded(S.residual_summary(in_order(readings(s, d), SERIES).withColumnRenamed("value", "r"), SERIES, ["t_s", "row_idx"], still=float("nan"))),
     R + """, m AS (SELECT *, avg(value) OVER (PARTITION BY sensor_id, channel) AS mean FROM r), c AS (SELECT *, value - mean AS c, lag(value) OVER w AS p, lag(value - mean) OVER w AS pc FROM m WINDOW w AS (PARTITION BY sensor_id, channel ORDER BY t_s, row_idx))
  SELECT sensor_id, channel, count(*) AS n, round(sum(power(value - p, 2)) / sum(value * value), 6) AS durbin_watson, round(sum(c * pc) / sum(c * c), 6) AS lag1, count(*) FILTER ((c >= 0) <> (pc >= 0)) + 1 AS runs FROM c GROUP BY sensor_id, channel""",
 )
