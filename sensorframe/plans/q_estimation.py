@@ -13,7 +13,7 @@ from sensorframe.operators import spectral as P
 
 from sensorframe.plans.common import Registry, rounded
 from sensorframe.plans.q_series import R
-from sensorframe.sources.views import SERIES, observations, readings
+from sensorframe.sources.views import SERIES, in_order, observations, readings
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -44,9 +44,9 @@ register(
 
 
 def with_truth(s, d):
-    """Filter rows beside a truth: the series' mean."""
+    """Filter rows beside a truth: the series' mean, in the order of the file, as first estimates can lie exactly on a limit."""
     f = filtered(s, d)
-    m = readings(s, d).groupBy(SERIES).agg(F.avg("value").alias("truth"))
+    m = in_order(readings(s, d), SERIES).groupBy(SERIES).agg(F.avg("value").alias("truth"))
     return f.join(m, SERIES)
 
 
