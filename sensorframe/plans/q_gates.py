@@ -10,6 +10,7 @@ from sensorframe.operators import evidence as V
 from sensorframe.operators import lineage as G
 from sensorframe.operators import series as S
 from sensorframe.plans.common import Registry, rounded
+from sensorframe.sources.storage import written
 from sensorframe.sources.views import SERIES, in_order, readings, table
 
 register = Registry()
@@ -177,14 +178,15 @@ AREAS = {"click": "signal", "view": "dynamic", "error": "reference", "purchase":
 
 
 def rule_inputs(s, d):
-    """Means of each sensor's channels as features, in comparison with the channel over all sensors, and their weekly slopes."""
-    r = readings(s, d)
-    f = r.groupBy(*SERIES).agg(F.avg("value").alias("m"), F.count("*").alias("n"))
+    """Means of each sensor's channels as features, in comparison with the channel over all sensors, and their weekly slopes. Means are taken in
+    the order of the file, as they can lie exactly on a threshold."""
+    r = in_order(readings(s, d), SERIES)
+    f = written(r.groupBy(*SERIES).agg(F.avg("value").alias("m"), F.count("*").alias("n")), "means")
     area = F.create_map(*(F.lit(x) for kv in AREAS.items() for x in kv))
     features = f.where("n >= 3").select("sensor_id", F.col("channel").alias("feature"), F.when(F.col("n") >= 8, F.col("m")).alias("value"), F.when(F.col("n") < 12, "few").alias("warning"), F.element_at(area, F.col("channel")).alias("domain"))
     b = f.groupBy("channel").agg(F.avg("m").alias("bm"), F.stddev_samp("m").alias("bs"), F.count("*").alias("records"))
     c = f.join(b, "channel").select("sensor_id", F.col("channel").alias("feature"), ((F.col("m") - F.col("bm")) / F.col("bm")).alias("relative"), F.log(F.col("m") / F.col("bm")).alias("log_ratio"), F.when(F.col("bs") > 0, (F.col("m") - F.col("bm")) / F.col("bs")).alias("robust_z"), "records")
-    weeks = r.groupBy(*SERIES, F.floor(F.col("t_s") / 604800).alias("x")).agg(F.avg("value").alias("y"))
+    weeks = written(r.groupBy(*SERIES, F.floor(F.col("t_s") / 604800).alias("x")).agg(F.avg("value").alias("y")), "weeks")
     slopes = S.ols(weeks, SERIES).select("sensor_id", F.col("channel").alias("feature"), "slope")
     rules = s.createDataFrame(RULES, "rule string, severity string, mechanistic boolean, minimum_domains int, minimum_records int")
     conditions = s.createDataFrame(CONDITIONS, "rule string, part string, feature string, operator string, threshold double")
