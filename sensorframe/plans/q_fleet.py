@@ -10,7 +10,7 @@ from sensorframe.operators import lineage as G
 from sensorframe.operators import series as S
 from sensorframe.plans.common import Registry, rounded
 from sensorframe.plans.q_series import R
-from sensorframe.sources.storage import written
+from sensorframe.sources.storage import dealt, written
 from sensorframe.sources.views import readings, table
 
 register = Registry()
@@ -237,9 +237,16 @@ register(
     lambda s, d: table(s, d, "lineitem").select(F.col("l_partkey").alias("id")).union(table(s, d, "part").select("p_partkey")).distinct(),
     "SELECT l_partkey AS id FROM lineitem UNION SELECT p_partkey FROM part",
 )
+def _unmatched(s, d):
+    """Ids that stand on one side only: orders keep their rows, lines count once."""
+    o, li = dealt(table(s, d, "orders").select(F.col("o_orderkey").alias("id")), ["id"]), dealt(table(s, d, "lineitem").select(F.col("l_orderkey").alias("id")), ["id"])
+    alone = lambda side, a, b: a.join(b, "id", "left_anti").select(F.lit(side).alias("side"), "id")
+    return alone("orders", o, li).union(alone("lineitem", li, o).distinct())
+
+
 register(
     "f10_unmatched",
-    lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.lit("orders").alias("side"), F.col("o_orderkey").alias("id")).union(table(s, d, "lineitem").join(table(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.lit("lineitem"), "l_orderkey").distinct()),
+    lambda s, d: _unmatched(s, d),
     "SELECT 'orders' AS side, o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT 'lineitem', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
 )
 register(

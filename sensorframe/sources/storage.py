@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def dealt(df: DataFrame, key: list[str]) -> DataFrame:
+    """The rows dealt by ``key`` into as many parts as the session's shuffles have. Adaptive execution would join parts that look small when
+    compressed until there are hardly more than cores, and a task's sorts and joins would hold that share of the input."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
