@@ -2,13 +2,17 @@
 
 A text's bytes are cut into windows of ``WINDOW``; every byte of every window gets a language distribution from a network that
 has read the window from both ends, and a document's score is the mean over all its bytes.
+
+Training starts from a network fitted to a bounded number of windows. From there it reads every window of every labelled row once: rows are
+dealt to lanes by hash, each lane trains a copy of the network on its own, and the copies' mean is the model.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +23,14 @@ from sensorframe.llm._common import pieces, small_batches, table
 
 WINDOW = 64
 HIDDEN = 8
-PER_LANGUAGE = 800  # labelled rows that training reads of each language, expected number
+PER_LANGUAGE = 800  # labelled rows that the first network is fitted to of each language, expected number
 WINDOWS_PER_TEXT = 16
 STEPS, LANES, RATE = 220, 512, 0.03
+DEALT, POOL, SIDE, LATER_RATE = 4 << 20, 1 << 16, 1024, 0.003  # bytes of a lane's rows, windows that it mixes at a time and reads at once, its first rate
+FIXED = 1 << 24  # weights are added up as whole multiples of 1 / FIXED, in any order alike
 RUN = 2048  # windows that are read side by side
 LEAST = 0.3  # a document whose best language has less is rejected by a filter, where too few rows tell a better limit
+BINS = 10_000  # a score is told by which of so many equal parts it lies in
 LOWEST, TELLING = 0.005, 100  # the limit is what this share of labelled rows that training never read stay under, of so many at least
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -43,6 +50,12 @@ def _soft(u: np.ndarray) -> np.ndarray:
     return u / (1 + np.abs(u))
 
 
+@lru_cache(maxsize=2)
+def _room(steps: int, size: int, lanes: int, kind: np.dtype) -> np.ndarray:
+    """Memory for one reading at a time: fresh memory for each would cost more than the arithmetic."""
+    return np.empty((steps, 2, 6 * size, lanes), kind)
+
+
 def read_windows(model: Model, x: np.ndarray, valid: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
     """States (2 H, steps, lanes) of both directions for bytes ``x`` (steps, lanes). ``valid`` holds the state at zero on padding
     and ``keep`` gathers what backpropagation needs."""
@@ -52,19 +65,22 @@ def read_windows(model: Model, x: np.ndarray, valid: np.ndarray | None = None, k
     states = np.empty((2, size, steps, lanes), kind)
     h = np.zeros((2, size, lanes), kind)
     gates = np.empty((2, 3 * size, lanes), kind)
+    room = _room(1 if keep is None else steps, size, lanes, kind)
     for t in range(steps):
         at = (t, steps - 1 - t)
         for d in (0, 1):
             np.take(model.inputs[d], x[at[d]], axis=1, out=gates[d], mode="clip")
-        a = np.matmul(model.state, h)
-        zr = gates[:, : 2 * size] + a[:, : 2 * size]
+        own = room[0 if keep is None else t]
+        a, zr, n = own[:, : 3 * size], own[:, 3 * size : 5 * size], own[:, 5 * size :]
+        np.matmul(model.state, h, out=a)
+        np.add(gates[:, : 2 * size], a[:, : 2 * size], out=zr)
         den = np.abs(zr)
         den += 1
         zr /= den
         zr *= 0.5
         zr += 0.5
         z, r = zr[:, :size], zr[:, size:]
-        n = r * a[:, 2 * size :]
+        np.multiply(r, a[:, 2 * size :], out=n)
         n += gates[:, 2 * size :]
         den = np.abs(n)
         den += 1
@@ -100,38 +116,55 @@ def loss(model: Model, x: np.ndarray, valid: np.ndarray, y: np.ndarray) -> float
     return float(-(np.log(p[y, :, np.arange(len(y))].T) * valid).sum() / valid.sum())
 
 
-def gradients(model: Model, x: np.ndarray, valid: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Derivatives of ``loss`` for inputs, state, out and bias, by backpropagation through time."""
-    h, k, steps = model.state.shape[2], len(model.languages), len(x)
+def gradients(model: Model, x: np.ndarray, valid: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
+    """Derivatives of ``loss`` for inputs, state, out and bias, by backpropagation through time; ``weight`` weighs the lanes' positions in the mean."""
+    h, k, steps, kind = model.state.shape[2], len(model.languages), len(x), model.state.dtype
     kept: list = []
     states = read_windows(model, x, valid, kept)
     wrong, _ = _distribution(model, states)
     wrong[y, :, np.arange(len(y))] -= 1
-    wrong *= valid / valid.sum()
+    share = valid if weight is None else valid * weight
+    wrong *= share / share.sum()
     flat = wrong.reshape(k, -1)
     grads = [np.zeros_like(w) for w in (model.inputs, model.state, model.out, model.bias)]
     grads[2] = flat @ states.reshape(2 * h, -1).T
     grads[3] = flat.sum(1, keepdims=True)
     from_out = (model.out.T @ flat).reshape(2, h, *x.shape)
-    into = np.empty((2, 3 * h, *x.shape), model.state.dtype)
-    later = np.zeros((2, h, x.shape[1]), model.state.dtype)
+    held, place = np.unique(x, return_inverse=True)  # few bytes are in use: sums by byte are products with a mark of each
+    marks = np.eye(len(held), dtype=kind)[place.reshape(x.shape)]
+    by_byte, later, back = np.zeros((2, 3 * h, len(held)), kind), np.zeros((2, h, x.shape[1]), model.state.dtype), model.state.transpose(0, 2, 1).copy()
+    da, into = np.empty((2, 3 * h, x.shape[1]), kind), np.empty((2, 3 * h, x.shape[1]), kind)
     for t in reversed(range(steps)):
-        before, z, r, n, an = kept[t]
+        before, z, r, n, an = kept.pop()
         at = (t, steps - 1 - t)
-        dh = later + np.stack([from_out[d, :, at[d]] for d in (0, 1)])
-        alive = np.stack([valid[at[d]] for d in (0, 1)])[:, None]
-        dh *= alive
-        dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
-        dz = dh * (before - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-        dr = dn * an * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
-        da = np.concatenate((dz, dr, dn * r), 1)
+        dh = later
+        for d in (0, 1):
+            dh[d] += from_out[d, :, at[d]]
+            dh[d] *= valid[at[d]]
+        u = np.abs(n)
+        u -= 1
+        u *= u
+        u *= 1 - z
+        dn = np.multiply(dh, u, out=into[:, 2 * h :])
+        for gate, inner, slope in ((z, before - n, dh), (r, an, dn)):
+            u = gate * 2
+            u -= 1
+            np.abs(u, out=u)
+            u -= 1
+            u *= u
+            u *= inner
+            u *= slope
+            u *= 0.5
+            part = slice(0, h) if gate is z else slice(h, 2 * h)
+            into[:, part] = da[:, part] = u
+        np.multiply(dn, r, out=da[:, 2 * h :])
         grads[1] += np.matmul(da, before.transpose(0, 2, 1))
-        later = np.matmul(model.state.transpose(0, 2, 1), da) + dh * z
+        dh *= z
+        later = np.matmul(back, da)
+        later += dh
         for d in (0, 1):
-            into[d, :, at[d]] = np.concatenate((dz[d], dr[d], dn[d]))
-    for d in (0, 1):
-        for j in range(3 * h):
-            grads[0][d, j] = np.bincount(x.ravel(), into[d, j].ravel(), 256)
+            by_byte[d] += into[d] @ marks[at[d]]
+    grads[0][:, :, held] = by_byte
     return grads
 
 
@@ -151,18 +184,44 @@ def train(windows: list[bytes], languages: list[str], seed: int = 7) -> Model:
         v_all[i, : len(w)] = 1
     y_all = np.array([names.index(x) for x in languages])
     of = [np.flatnonzero(y_all == i) for i in range(k)]
-    weights = [model.inputs, model.state, model.out, model.bias]
-    first, second = ([np.zeros_like(w) for w in weights] for _ in (0, 1))
+    adam = _adam(model)
     for step in range(1, STEPS + 1):
         pick = np.concatenate([rng.choice(of[i], LANES // k) for i in range(k)])
         x, valid, y = x_all[pick].T.copy(), v_all[pick].T.copy(), y_all[pick]
-        grads = gradients(model, x, valid, y)
-        rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
+        adam(gradients(model, x, valid, y), RATE * min(1, 2 * (1 - step / (STEPS + 1))))
+    return model
+
+
+def _weights(model: Model) -> list[np.ndarray]:
+    return [model.inputs, model.state, model.out, model.bias]
+
+
+def _adam(model: Model) -> Callable[[list[np.ndarray], float], None]:
+    """A function of gradients and rate that moves the model's weights."""
+    weights, step = _weights(model), 0
+    first, second = ([np.zeros_like(w) for w in weights] for _ in (0, 1))
+
+    def move(grads: list[np.ndarray], rate: float) -> None:
+        nonlocal step
+        step += 1
         for w, g, m, v in zip(weights, grads, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return model
+
+    return move
+
+
+def _flat(model: Model) -> np.ndarray:
+    return np.concatenate([w.ravel() for w in _weights(model)])
+
+
+def _shaped(names: list[str], flat: np.ndarray) -> Model:
+    h, k, out, at = HIDDEN, len(names), [], 0
+    for shape in ((2, 3 * h, 256), (2, 3 * h, h), (k, 2 * h), (k, 1)):
+        out.append(flat[at : at + int(np.prod(shape))].reshape(shape).astype(np.float32))
+        at += int(np.prod(shape))
+    return Model(names, *out)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -170,23 +229,96 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train_on(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Trains on a sample of labelled rows that are not held out: ``per_language`` rows of each language in expectation, taken by
-    hash, and of each up to ``WINDOWS_PER_TEXT`` windows from anywhere in the text. The sample's size does not grow with the
-    table. Null texts, languages and ids are no labelled rows; without any the model knows no language."""
+def train_on(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, dealt: int = DEALT) -> Model:
+    """Trains on all labelled rows that are not held out. A first network is fitted, in one task, to ``per_language`` rows of each language
+    in expectation, taken by hash, of each up to ``WINDOWS_PER_TEXT`` windows. From it :func:`_all_read` reads every window of every
+    row. Null texts, languages and ids are no labelled rows; without any the model knows no language."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~is_held_out(F.col("id")))
-    rates = [(r[0], min(1.0, per_language / r[1])) for r in own.groupBy("lang").count().collect()]  # a row per language
-    if not rates:
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()  # a row per language
+    if not sizes:
         return Model([], *(np.zeros((0,), np.float32) for _ in range(4)))
-    share = F.element_at(F.create_map(*(F.lit(v) for pair in rates for v in pair)), F.col("lang"))
-    own = own.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / (1 << 30) < share))
+    own = own.where(F.col("text").isNotNull())
+    first = _first(own, {r.lang: min(1.0, per_language / r.n) for r in sizes})
+    if len(first.languages) < 2:
+        return first
+    return _all_read(own.where(F.col("lang").isin(first.languages)), first, {r.lang: r.bytes for r in sizes}, dealt)
+
+
+def _first(own: DataFrame, rates: dict[str, float]) -> Model:
+    share = F.element_at(F.create_map(*(F.lit(v) for pair in rates.items() for v in pair)), F.col("lang"))
+    some = own.where(F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / (1 << 30) < share)
     room = F.greatest(F.char_length("text") - WINDOW, F.lit(1))
     spans = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS_PER_TEXT)), lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64("text", k), room) + 1).cast("int"), F.lit(WINDOW)))
-    got = own.select("lang", F.array_distinct(spans).alias("w")).collect()
-    got.sort(key=lambda r: (r.lang, r.w))
-    windows = [(w.encode().lower()[:WINDOW], r.lang) for r in got for w in r.w if w]
-    return train([w for w, _ in windows], [x for _, x in windows])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((lang, w) for batch in batches for lang, w in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        windows = [(w.encode().lower()[:WINDOW], lang) for lang, all_of in got for w in all_of if w]
+        model = train([w for w, _ in windows], [x for _, x in windows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.languages], pa.list_(pa.string())), pa.array([_flat(model).tobytes()], pa.binary())], ["names", "weights"])
+
+    # a bounded number of rows, whatever the table
+    row = some.select("lang", F.array_distinct(spans).alias("w")).repartition(1).mapInArrow(fit, "names array<string>, weights binary").first()
+    return _shaped(list(row.names), np.frombuffer(row.weights, np.float32)) if row else Model([], *(np.zeros((0,), np.float32) for _ in range(4)))
+
+
+def _all_read(own: DataFrame, model: Model, sizes: dict[str, int], dealt: int) -> Model:
+    """The mean of copies of ``model`` that each trained on the rows of one lane, all windows once, weighted by their steps.
+
+    A lane has about ``dealt`` bytes of text, so there are as many as the rows need; which rows it gets and in which order depends on
+    hashes of the rows alone, not on splits. Languages weigh the same whatever their share of the bytes. A task holds ``POOL``
+    windows and the weights; a number per weight comes to the driver."""
+    lanes, names = -(-sum(sizes.values()) // dealt) or 1, model.languages
+    even = np.array([sum(sizes.values()) / max(1, sizes[x]) for x in names], np.float32)
+    rows = own.select(F.pmod(F.xxhash64("id", "lang", "text"), F.lit(lanes)).alias("lane"), "lang", "text", F.xxhash64(F.lit("order"), "id", "lang", "text").alias("h"))
+    parts = min(lanes, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "lane").sortWithinPartitions("lane", "h", "text", "lang").select("lane", "lang", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now, pool = np.zeros(len(_flat(model)) + 1, np.int64), None, []
+        copy = rng = None
+
+        def read() -> int:
+            """Trains the lane's copy on the pool in a random order."""
+            x, size, y = (np.concatenate(c) for c in zip(*pool, strict=True))
+            order = rng.permutation(len(x))
+            steps = -(-len(x) // SIDE)
+            adam = _adam(copy)
+            for i in range(steps):
+                pick = order[i * SIDE : (i + 1) * SIDE]
+                valid = (np.arange(WINDOW)[:, None] < size[pick]).astype(np.float32)
+                adam(gradients(copy, x[pick].T.copy(), valid, y[pick], even[y[pick]]), LATER_RATE * (1 - i / steps))
+            pool.clear()
+            return steps
+
+        def end(steps: int) -> None:
+            if pool:
+                steps += read()
+            total[:-1] += np.round(_flat(copy).astype(np.float64) * FIXED).astype(np.int64) * steps
+            total[-1] += steps
+
+        held = steps = 0
+        for batch in pieces(batches, 2):
+            for lane, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lane != now:
+                    if now is not None:
+                        end(steps)
+                    now, held, steps, copy, rng = lane, 0, 0, _shaped(names, _flat(model)), np.random.default_rng(lane)
+                raw = text.encode().lower()
+                n = -(-len(raw) // WINDOW)
+                if n:
+                    pool.append((np.frombuffer(raw.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW), np.minimum(WINDOW, len(raw) - WINDOW * np.arange(n)), np.full(n, names.index(lang))))
+                    held += n
+                if held >= POOL:
+                    held, steps = 0, steps + read()
+        if now is not None:
+            end(steps)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["slot", "total"])
+
+    sums = rows.mapInArrow(learn, "slot int, total bigint").groupBy("slot").agg(F.sum("total").alias("total")).toArrow().sort_by("slot")
+    sums = sums.column("total").to_numpy()
+    return _shaped(names, sums[:-1] / (sums[-1] * FIXED)) if len(sums) and sums[-1] else model
 
 
 def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,23 +394,23 @@ def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: floa
     return docs.mapInArrow(keep, docs.schema)
 
 
-def least_score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> float:
-    """The score that all but a share ``LOWEST`` of the held-out labelled rows reach: those of the model's languages that have a
-    letter, ``per_language`` of each in expectation, taken by hash. It follows the number of languages and how well they part. A
+def least_score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
+    """The score that all but a share ``LOWEST`` of the held-out labelled rows reach: all those of the model's languages that have a
+    letter. It is told to 1 / ``BINS`` from how many rows lie in each part. It follows the number of languages and how well they part. A
     model of fewer than two languages gives every text the same score, so its limit is 0; with fewer than ``TELLING`` rows it is
     ``LEAST``."""
     if len(model.languages) < 2:
         return 0.0
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     own = own.where(F.col("lang").isin(model.languages) & is_held_out(F.col("id")))
-    rates = [(r[0], min(1.0, per_language / r[1])) for r in own.groupBy("lang").count().collect()]  # a row per language
-    if not rates:
-        return LEAST
-    share = F.element_at(F.create_map(*(F.lit(v) for pair in rates for v in pair)), F.col("lang"))
-    own = own.where(F.pmod(F.xxhash64(F.lit("least"), "id"), F.lit(1 << 30)) / (1 << 30) < share)
     known = predict_languages(own, model, doc_id="id").where(F.col("lang_pred") != UNKNOWN)
-    n, least = known.agg(F.count("*"), F.percentile("score", F.lit(LOWEST))).first()
-    return LEAST if n < TELLING else least - 1e-6  # sums differ in the last digits with the texts read side by side
+    parts = sorted(known.groupBy(F.floor(F.col("score") * BINS)).count().collect())  # at most BINS + 1 rows
+    n = sum(c for _, c in parts)
+    if n < TELLING:
+        return LEAST
+    before = np.cumsum([c for _, c in parts])
+    at = parts[int(np.searchsorted(before, int(LOWEST * (n - 1)), "right"))][0]
+    return at / BINS - 1e-6  # sums differ in the last digits with the texts read side by side
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
