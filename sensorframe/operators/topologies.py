@@ -13,10 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sensorframe.sources.storage import dealt
+
 #: Shapes of (angular frequency times i, time constant, exponent), with the number of constants that are fitted beside the scale.
 SHAPES = {
     "arc": (2, lambda s, tau, alpha: 1 / (1 + (s * tau) ** alpha)), "gerischer": (1, lambda s, tau, alpha: 1 / np.sqrt(1 + s * tau)), "warburg": (0, lambda s, tau, alpha: 1 / np.sqrt(s)),
@@ -62,38 +65,74 @@ def _finer(terms: list[tuple[str, float, float]], tau_min: float, tau_max: float
 
 def _columns(omega: np.ndarray, shapes: list[tuple[str, float, float]]) -> np.ndarray:
     """Real over imaginary rows of the resistance and all shapes."""
-    s = 1j * omega
-    z = np.stack([np.ones(len(omega), complex), *(SHAPES[k][1](s, t, a) for k, t, a in shapes)], 1)
+    s, z = 1j * omega[:, None], np.ones((len(omega), len(shapes) + 1), complex)
+    for kind in {k for k, _, _ in shapes}:
+        of = [i for i, x in enumerate(shapes, 1) if x[0] == kind]
+        z[:, of] = SHAPES[kind][1](s, *(np.array([shapes[i - 1][j] for i in of]) for j in (1, 2)))
     return np.vstack([z.real, z.imag])
 
 
 def _candidates(terms: tuple[str, ...], shapes: list[tuple[str, float, float]]) -> np.ndarray:
     """Places of the columns of each candidate, the resistance first; terms of one kind are in the order of their time constants."""
     of = [[i + 1 for i, s in enumerate(shapes) if s[0] == kind] for kind in terms]
-    rows = [c for c in itertools.product(*of) if all(terms[i] != terms[i + 1] or shapes[c[i] - 1][1] < shapes[c[i + 1] - 1][1] for i in range(len(c) - 1))]
-    return np.array([(0, *c) for c in rows], np.int64).reshape(-1, len(terms) + 1)
+    rows = np.stack(np.meshgrid(*of, indexing="ij"), -1).reshape(-1, len(terms)).astype(np.int64)
+    tau = np.array([0.0, *(s[1] for s in shapes)])
+    for i in range(len(terms) - 1):
+        if terms[i] == terms[i + 1]:
+            rows = rows[tau[rows[:, i]] < tau[rows[:, i + 1]]]
+    return np.hstack([np.zeros((len(rows), 1), np.int64), rows])
+
+
+def _solved(g: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Scales of all candidates together, by factoring their blocks of the Gram as L D L' without pivots."""
+    p, c = at.shape[1], at.T
+    w, low, d, y = {}, {}, [], []
+    for i in range(p):
+        for j in range(i):
+            w[i, j] = g[c[i], c[j]] - sum(low[j, k] * w[i, k] for k in range(j))
+            low[i, j] = w[i, j] / d[j]
+        d.append(g[c[i], c[i]] - sum(low[i, k] * w[i, k] for k in range(i)))
+        y.append(g[c[i], -1] - sum(low[i, k] * y[k] for k in range(i)))
+    x: list = [None] * p
+    for i in reversed(range(p)):
+        x[i] = y[i] / d[i] - sum(low[k, i] * x[k] for k in range(i + 1, p))
+    return x
 
 
 def _best(gram: np.ndarray, shapes: list[tuple[str, float, float]], terms: tuple[str, ...]) -> tuple[float, np.ndarray, np.ndarray] | None:
-    """(rss, columns, scales) of the best candidate whose scales are all positive. The measured spectrum is the Gram's last column."""
+    """(rss, columns, scales) of the best candidate whose scales are all positive and whose columns are told apart (condition under 1e9). The
+    measured spectrum is the Gram's last column."""
     at = _candidates(terms, shapes)
     if not len(at):
         return None
-    g, b = gram[at[:, :, None], at[:, None, :]], gram[at, -1]
-    size = np.sqrt(np.einsum("nii->ni", g))
-    g, b = g / (size[:, :, None] * size[:, None, :]), b / size
-    fine = np.linalg.cond(g) < 1e9
-    x = np.linalg.solve(np.where(fine[:, None, None], g, np.eye(g.shape[1])), b[:, :, None])[:, :, 0]
-    rss = np.maximum(gram[-1, -1] - np.einsum("ni,ni->n", x, b), 0)
-    rss = np.where(fine & (x[:, 1:] > 0).all(1) & (x[:, 0] >= 0), rss, np.inf)
+    size = np.append(np.sqrt(np.diagonal(gram)[:-1]), 1.0)
+    with np.errstate(all="ignore"):
+        g = gram / np.outer(size, size)
+        x = _solved(g, at)
+        rss = np.maximum(gram[-1, -1] - sum(v * g[at[:, i], -1] for i, v in enumerate(x)), 0)
+        fits = x[0] >= 0
+        for v in x[1:]:
+            fits &= v > 0
+    rss = np.where(fits & ~np.isnan(rss), rss, np.inf)
+    apart = lambda rows: np.linalg.cond(g[rows[:, :, None], rows[:, None, :]]) < 1e9
     i = int(rss.argmin())
-    return (float(rss[i]), at[i], x[i] / size[i]) if np.isfinite(rss[i]) else None
+    if np.isfinite(rss[i]) and not apart(at[i : i + 1])[0]:
+        # the condition of all is only looked at where the best one's fails
+        left = np.flatnonzero(np.isfinite(rss))
+        rss[left[~apart(at[left])]] = np.inf
+        i = int(rss.argmin())
+    return (float(rss[i]), at[i], np.array([v[i] for v in x]) / size[at[i]]) if np.isfinite(rss[i]) else None
+
+
+#: Points of a spectrum that are fitted in the memory of a task; longer spectra are reduced batch by batch and round by round.
+TOGETHER = 1 << 16
 
 
-def score_topologies(points: DataFrame, key: list[str], *, topologies: tuple[str, ...] = tuple(TOPOLOGIES), grid: Grid = Grid()) -> DataFrame:
+def score_topologies(points: DataFrame, key: list[str], *, topologies: tuple[str, ...] = tuple(TOPOLOGIES), grid: Grid = Grid(), together: int = TOGETHER) -> DataFrame:
     """Per spectrum and topology the best candidate: key, topology, n, k, r0, terms (kind, tau, alpha, scale), rss, aic, bic, and delta to the
     spectrum's lowest bic. ``points`` has freq_hz, z_re and z_im; points without a positive frequency or a value are left out.
 
+    Spectra of up to ``together`` points go through all rounds in one visit of a task; longer ones' points are summed by batches in each round.
     A spectrum needs points at two frequencies. Topologies that no candidate with positive scales fits have no row. Time constants are as exact as
     the last round's step."""
     ok = (F.col("freq_hz") > 0) & (F.col("freq_hz") < float("inf")) & F.col("z_re").isNotNull() & F.col("z_im").isNotNull() & ~F.isnan("z_re") & ~F.isnan("z_im")
@@ -128,17 +167,42 @@ def score_topologies(points: DataFrame, key: list[str], *, topologies: tuple[str
                 out.append((*own[:-1], name, [dict(zip(("kind", "tau", "alpha"), shapes[i - 1], strict=True)) for i in at[1:]], scales.tolist(), rss))
         return pd.DataFrame(out, columns=[*key, "topology", "shapes", "scales", "rss"])
 
-    gram_schema = f"{kinds}, topology string, tau_min double, tau_max double, listed array<struct<kind:string,tau:double,alpha:double>>, gram array<double>"
-    first = p.withColumn("topology", F.lit("")).mapInPandas(grams(lambda g: _coarse(g["tau_min"].iloc[0], g["tau_max"].iloc[0], grid)), gram_schema)
-    best = first.groupBy(*key, "topology").applyInPandas(choose, f"{kinds}, {found}")
-    for i in range(1, grid.rounds + 1):
-        each = p.join(best.select(*key, "topology", F.col("shapes").alias("terms")), key)
-
-        def around(g: pd.DataFrame, i: int = i) -> list[tuple[str, float, float]]:
-            terms = [(x["kind"], x["tau"], x["alpha"]) for x in g["terms"].iloc[0]]
-            return _finer(terms, g["tau_min"].iloc[0], g["tau_max"].iloc[0], grid, i)
-
-        best = each.mapInPandas(grams(around), gram_schema).groupBy(*key, "topology").applyInPandas(choose, f"{kinds}, {found}")
+    def whole(own: tuple, rows: pa.Table) -> pa.Table:
+        omega, re, im, tau_min, tau_max = (rows[c].to_numpy() for c in ("freq_hz", "z_re", "z_im", "tau_min", "tau_max"))
+        omega, measured, ends = 2 * math.pi * omega, np.concatenate([re, im]), (tau_min[0], tau_max[0])
+
+        def scored(shapes: list, names: tuple) -> dict:
+            a = np.column_stack([_columns(omega, shapes), measured])
+            gram = a.T @ a
+            found = {name: _best(gram, shapes, TOPOLOGIES[name]) for name in names}
+            return {name: ([shapes[j - 1] for j in x[1][1:]], x[2].tolist(), x[0]) for name, x in found.items() if x}
+
+        best = scored(_coarse(*ends, grid), topologies)
+        for i in range(1, grid.rounds + 1):
+            best = {k: v for name, (terms, _, _) in best.items() for k, v in scored(_finer(terms, *ends, grid, i), (name,)).items()}
+        shapes = [[dict(zip(("kind", "tau", "alpha"), t, strict=True)) for t in terms] for terms, _, _ in best.values()]
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("tau", pa.float64()), ("alpha", pa.float64())]))
+        own_columns = [pa.repeat(k, len(best)) for k in own]
+        return pa.table(
+            [*own_columns, pa.array(list(best), pa.string()), pa.array(shapes, kind), pa.array([x[1] for x in best.values()], pa.list_(pa.float64())), pa.array([x[2] for x in best.values()], pa.float64())],
+            [*key, "topology", "shapes", "scales", "rss"],
+        )
+
+    short = dealt(p.where(F.col("n") <= together).select(*key, "freq_hz", "z_re", "z_im", "tau_min", "tau_max"), key)  # few bytes, but much work
+    best = short.groupBy(key).applyInArrow(whole, f"{kinds}, {found}")
+    if not ends.where(F.col("n") > together).isEmpty():
+        gram_schema = f"{kinds}, topology string, tau_min double, tau_max double, listed array<struct<kind:string,tau:double,alpha:double>>, gram array<double>"
+        first = p.where(F.col("n") > together).withColumn("topology", F.lit("")).mapInPandas(grams(lambda g: _coarse(g["tau_min"].iloc[0], g["tau_max"].iloc[0], grid)), gram_schema)
+        long = first.groupBy(*key, "topology").applyInPandas(choose, f"{kinds}, {found}")
+        for i in range(1, grid.rounds + 1):
+            each = p.join(long.select(*key, "topology", F.col("shapes").alias("terms")), key)
+
+            def around(g: pd.DataFrame, i: int = i) -> list[tuple[str, float, float]]:
+                terms = [(x["kind"], x["tau"], x["alpha"]) for x in g["terms"].iloc[0]]
+                return _finer(terms, g["tau_min"].iloc[0], g["tau_max"].iloc[0], grid, i)
+
+            long = each.mapInPandas(grams(around), gram_schema).groupBy(*key, "topology").applyInPandas(choose, f"{kinds}, {found}")
+        best = best.union(long)
     extra = F.create_map(*(F.lit(x) for name, terms in TOPOLOGIES.items() for x in (name, 1 + sum(1 + SHAPES[t][0] for t in terms))))
     out = best.join(ends.select(*key, "n"), key).withColumn("k", F.element_at(extra, F.col("topology")))
     terms = F.transform("shapes", lambda s, i: F.struct(s["kind"].alias("kind"), s["tau"].alias("tau"), s["alpha"].alias("alpha"), F.get("scales", i + 1).alias("scale")))
