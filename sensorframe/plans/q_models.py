@@ -99,7 +99,7 @@ register(
  SELECT series, count(*) AS replicates, round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high FROM b GROUP BY series""",
 )
 
-GRID = T.Grid(high=0.0, steps=5, betas=(0.5, 0.8), rounds=1)
+GRID, FULL = T.Grid(high=0.0, steps=5, betas=(0.5, 0.8), rounds=1), T.Grid()
 SENSOR = ["sensor_id"]
 
 
@@ -111,8 +111,8 @@ def responses(s, d):
     return written(p.select("sensor_id", "row_idx", (F.col("t_s") - F.col("t0")).alias("local"), F.col("value").alias("v")), "responses")
 
 
-def transients(s, d):
-    return T.analyze_transients(responses(s, d), SENSOR, grid=GRID, order=("row_idx",))
+def transients(s, d, grid, **how):
+    return T.analyze_transients(responses(s, d), SENSOR, grid=grid, order=("row_idx",), **how)
 
 
 def _round_sql(name: str, candidates: str) -> str:
@@ -129,23 +129,52 @@ def _round_sql(name: str, candidates: str) -> str:
  {name}_k AS (SELECT *, mv - b1 * m1 - b2 * m2 - b3 * m3 AS b0, row_number() OVER (PARTITION BY sensor_id, model ORDER BY rss, fast, slow, beta) AS i FROM {name}_b JOIN {name}_r USING (sensor_id, model, fast, slow, beta)), {name} AS (SELECT * FROM {name}_k WHERE i = 1)"""
 
 
-_STEP = GRID.step / GRID.ratio
 _MOVES = "(VALUES " + ", ".join(f"({i})" for i in range(-2, 3)) + ")"
-RESPONSES = (
-    """WITH rd AS (SELECT user_id AS sensor_id, event_type AS channel, event_id AS row_idx, epoch_us(ts) / 1e6 AS t_s, value FROM events), t0 AS (SELECT sensor_id, min(t_s) AS t0 FROM rd WHERE channel = 'error' GROUP BY sensor_id),
- p0 AS (SELECT sensor_id, row_idx, t_s - t0 AS local, value AS v FROM rd JOIN t0 USING (sensor_id) WHERE channel <> 'error' AND t_s >= t0), p AS (SELECT *, max(local) OVER (PARTITION BY sensor_id) AS span, count(*) OVER (PARTITION BY sensor_id) AS n FROM p0),
- g0(model, fast, slow, beta) AS (VALUES """ + ", ".join(f"('{m}', {f!r}::DOUBLE, {s!r}::DOUBLE, {b!r}::DOUBLE)" for m, f, s, b in T._coarse(list(T.MODELS), GRID)) + ")"
-    + _round_sql("f0", "g0 ON true")
-    + f""", g1 AS (SELECT DISTINCT sensor_id, model, fast + {_STEP!r} * a AS fast, CASE WHEN model LIKE 'double%' THEN slow + {_STEP!r} * b ELSE slow END AS slow, CASE WHEN model = 'stretched' THEN greatest(0.05, least(1.0, beta + {0.2 / GRID.ratio!r} * b)) ELSE 1.0 END AS beta FROM f0, {_MOVES} x(a), {_MOVES} y(b)), g2 AS (SELECT * FROM g1 WHERE model NOT LIKE 'double%' OR fast < slow)"""
-    + _round_sql("f1", "g2 ON g2.sensor_id = p.sensor_id")
-    + """, f AS (SELECT *, power(10.0, fast) * span AS tf, power(10.0, slow) * span AS ts, b3 / span AS dr, CASE model WHEN 'single' THEN 3 WHEN 'double' THEN 5 WHEN 'double_drift' THEN 6 ELSE 4 END AS k FROM f1),
+_SINCE = """WITH rd AS (SELECT user_id AS sensor_id, event_type AS channel, event_id AS row_idx, epoch_us(ts) / 1e6 AS t_s, value FROM events), t0 AS (SELECT sensor_id, min(t_s) AS t0 FROM rd WHERE channel = 'error' GROUP BY sensor_id),
+ p0 AS (SELECT sensor_id, row_idx, t_s - t0 AS local, value AS v FROM rd JOIN t0 USING (sensor_id) WHERE channel <> 'error' AND t_s >= t0), p AS (SELECT *, max(local) OVER (PARTITION BY sensor_id) AS span, count(*) OVER (PARTITION BY sensor_id) AS n FROM p0)"""
+
+
+def _responses_sql(grid: T.Grid, round_sql=_round_sql, more: str = "") -> str:
+    """Readings since each sensor's first error as p, and every model's best fit of all rounds of the grid with its residual statistics as c."""
+    sql = _SINCE + more + """,
+ g0(model, fast, slow, beta) AS (VALUES """ + ", ".join(f"('{m}', {f!r}::DOUBLE, {s!r}::DOUBLE, {b!r}::DOUBLE)" for m, f, s, b in T._coarse(list(T.MODELS), grid)) + ")"
+    sql += round_sql("f0", "g0 ON true")
+    for i in range(1, grid.rounds + 1):
+        step, gap = grid.step / grid.ratio**i, 0.2 / grid.ratio**i
+        sql += f""", g{2 * i - 1} AS (SELECT DISTINCT sensor_id, model, fast + {step!r} * a AS fast, CASE WHEN model LIKE 'double%' THEN slow + {step!r} * b ELSE slow END AS slow, CASE WHEN model = 'stretched' THEN greatest(0.05, least(1.0, beta + {gap!r} * b)) ELSE 1.0 END AS beta FROM f{i - 1}, {_MOVES} x(a), {_MOVES} y(b)), g{2 * i} AS (SELECT * FROM g{2 * i - 1} WHERE model NOT LIKE 'double%' OR fast < slow)"""
+        sql += round_sql(f"f{i}", f"g{2 * i} ON g{2 * i}.sensor_id = p.sensor_id")
+    return sql + f""", f AS (SELECT *, power(10.0, fast) * span AS tf, power(10.0, slow) * span AS ts, b3 / span AS dr, CASE model WHEN 'single' THEN 3 WHEN 'double' THEN 5 WHEN 'double_drift' THEN 6 ELSE 4 END AS k FROM f{grid.rounds}),
  y AS (SELECT f.sensor_id, f.model, p.v - (b0 + b1 * exp(-power(local / tf, beta)) + b2 * exp(-local / ts) + dr * local) AS r, row_number() OVER (PARTITION BY f.sensor_id, f.model ORDER BY local, row_idx) AS i FROM f JOIN p USING (sensor_id)),
  z AS (SELECT *, lag(r) OVER (PARTITION BY sensor_id, model ORDER BY i) AS r0 FROM y), q AS (SELECT sensor_id, model, avg(abs(r)) AS mae, max(abs(r)) AS max_abs, sum(power(r - r0, 2)) / sum(r * r) AS durbin_watson, sum(r * r0) / sum(r * r) AS lag1 FROM z GROUP BY ALL),
  c AS (SELECT f.*, mae, max_abs, durbin_watson, lag1, n * ln(rss / n) + 2 * k AS aic FROM f JOIN q USING (sensor_id, model))"""
-)
+
+
+#: A sensor's points as lists in order of time.
+_LISTS = """, l0 AS (SELECT sensor_id, any_value(span) AS span, any_value(n) AS n, list(local ORDER BY local, v) AS xs, list(v ORDER BY local, v) AS vs FROM p WHERE span > 0 GROUP BY sensor_id), l1 AS (SELECT *, list_avg(vs) AS mv FROM l0), l AS (SELECT * EXCLUDE (vs), list_transform(vs, lambda v: v - mv) AS v0 FROM l1)"""
+
+
+def _round_of_lists(name: str, candidates: str) -> str:
+    """:func:`_round_sql` with each regressor freed of those before it point by point: of the full grid's nearly alike ones sums of products lose half
+    the digits."""
+    less = lambda x, k, z: f"list_transform({x}, lambda a, i: a - {k} * {z}[i])"
+    dot = lambda a, b: f"list_dot_product({a}, {b})"
+    fast = "x / (power(10.0, fast) * span)"
+    return f""", {name}_a AS (SELECT l.*, model, fast, slow, beta, CASE model WHEN 'double_drift' THEN 3 WHEN 'double' THEN 2 ELSE 1 END AS p, CASE WHEN model = 'stretched' THEN list_transform(xs, lambda x: exp(-power({fast}, beta))) ELSE list_transform(xs, lambda x: exp(-{fast})) END AS y1,
+ CASE WHEN model LIKE 'double%' THEN list_transform(xs, lambda x: exp(-x / (power(10.0, slow) * span))) END AS y2, CASE WHEN model = 'double_drift' THEN list_transform(xs, lambda x: x / span) END AS y3 FROM l JOIN {candidates.replace("p.sensor_id", "l.sensor_id")} WHERE n >= CASE model WHEN 'single' THEN 5 WHEN 'double' THEN 7 WHEN 'double_drift' THEN 8 ELSE 6 END),
+ {name}_b AS (SELECT *, list_avg(y1) AS m1, list_avg(y2) AS m2, list_avg(y3) AS m3 FROM {name}_a), {name}_c AS (SELECT * EXCLUDE (xs, y1, y2, y3), list_transform(y1, lambda a: a - m1) AS z1, list_transform(y2, lambda a: a - m2) AS z2, list_transform(y3, lambda a: a - m3) AS z3 FROM {name}_b),
+ {name}_d AS (SELECT *, {dot("z1", "z1")} AS d1, {dot("z2", "z2")} AS c22, {dot("z3", "z3")} AS c33, {dot("z1", "z2")} / d1 AS l21, {dot("z1", "z3")} / d1 AS l31, {dot("z1", "v0")} / d1 AS t1 FROM {name}_c WHERE {dot("z1", "z1")} > 1e-12),
+ {name}_e AS (SELECT * EXCLUDE (z2, z3, v0), {less("z2", "l21", "z1")} AS z2, {less("z3", "l31", "z1")} AS z3, {less("v0", "t1", "z1")} AS v1 FROM {name}_d), {name}_g AS (SELECT * EXCLUDE (z1), {dot("z2", "z2")} AS d2, {dot("z2", "z3")} / d2 AS l32, {dot("z2", "v1")} / d2 AS t2 FROM {name}_e),
+ {name}_h AS (SELECT * EXCLUDE (z2, z3, v1), {less("z3", "l32", "z2")} AS z3, CASE WHEN p = 1 THEN v1 ELSE {less("v1", "t2", "z2")} END AS v2 FROM {name}_g WHERE p = 1 OR d2 > 1e-6 * greatest(c22, 1.0)), {name}_i AS (SELECT *, {dot("z3", "z3")} AS d3, {dot("z3", "v2")} / d3 AS t3 FROM {name}_h),
+ {name}_j AS (SELECT * EXCLUDE (z3, v2), CASE WHEN p < 3 THEN v2 ELSE {less("v2", "t3", "z3")} END AS v3 FROM {name}_i WHERE p < 3 OR d3 > 1e-6 * greatest(c33, 1.0)),
+ {name}_k AS (SELECT sensor_id, model, fast, slow, beta, p, span, n, mv, m1, m2, m3, {dot("v3", "v3")} AS rss, CASE WHEN p > 2 THEN t3 ELSE 0.0 END AS b3, CASE p WHEN 1 THEN 0.0 WHEN 2 THEN t2 ELSE t2 - l32 * b3 END AS b2, t1 - CASE WHEN p > 1 THEN l21 * b2 ELSE 0.0 END - CASE WHEN p > 2 THEN l31 * b3 ELSE 0.0 END AS b1 FROM {name}_j),
+ {name} AS (SELECT *, mv - b1 * m1 - coalesce(b2 * m2, 0.0) - coalesce(b3 * m3, 0.0) AS b0, row_number() OVER (PARTITION BY sensor_id, model ORDER BY rss, fast, slow, beta) AS i FROM {name}_k QUALIFY i = 1)"""
+
+
+RESPONSES = _responses_sql(GRID)
+# sums of products, as in its SQL
 register(
     "l04_analyze_transients",
-    lambda s, d: rounded(transients(s, d).select(*SENSOR, "model", "n", "parameters", "tau_fast", "tau_slow", "beta", "e_infinity", "a_fast", "a_slow", (F.col("drift") * F.col("duration")).alias("drifted"), "rss", "adj_r2", "aic", "aicc", "bic", "delta", "weight", "selected", "weak_support", "mae", "max_abs", "durbin_watson", "lag1"), 3),
+    lambda s, d: rounded(transients(s, d, GRID, together=0).select(*SENSOR, "model", "n", "parameters", "tau_fast", "tau_slow", "beta", "e_infinity", "a_fast", "a_slow", (F.col("drift") * F.col("duration")).alias("drifted"), "rss", "adj_r2", "aic", "aicc", "bic", "delta", "weight", "selected", "weak_support", "mae", "max_abs", "durbin_watson", "lag1"), 3),
     RESPONSES + """, m AS (SELECT *, aic - min(aic) OVER (PARTITION BY sensor_id) AS delta FROM c) SELECT sensor_id, model, n, CAST(k AS BIGINT) AS parameters, round(tf, 3) AS tau_fast, CASE WHEN p > 1 THEN round(ts, 3) END AS tau_slow, CASE WHEN model = 'stretched' THEN round(beta, 3) END AS beta, round(b0, 3) AS e_infinity, round(b1, 3) AS a_fast,
  CASE WHEN p > 1 THEN round(b2, 3) END AS a_slow, CASE WHEN p > 2 THEN round(b3, 3) END AS drifted, round(rss, 3) AS rss, round(1 - rss / v2 * (n - 1) / (n - k - 1), 3) AS adj_r2, round(aic, 3) AS aic, CASE WHEN n > k + 1 THEN round(aic + 2.0 * k * (k + 1) / (n - k - 1), 3) END AS aicc, round(aic - 2 * k + k * ln(n), 3) AS bic, round(delta, 3) AS delta,
  round(exp(-delta / 2) / sum(exp(-delta / 2)) OVER (PARTITION BY sensor_id), 3) AS weight, row_number() OVER (PARTITION BY sensor_id ORDER BY aic, CASE model WHEN 'single' THEN 0 WHEN 'double' THEN 1 WHEN 'double_drift' THEN 2 ELSE 3 END) = 1 AS selected, delta > 10 AS weak_support, round(mae, 3) AS mae, round(max_abs, 3) AS max_abs, round(durbin_watson, 3) AS durbin_watson, round(lag1, 3) AS lag1
@@ -153,8 +182,8 @@ register(
 )
 register(
     "g13_response_features",
-    lambda s, d: rounded(transients(s, d).select(*SENSOR, "model", "total_amplitude", (F.col("initial_rate") * F.col("tau_fast")).alias("first_rate"), *((F.col(t) / F.col("duration")).alias(t) for t in ("t63", "t90", "t95")), "long_time_constant", "poor_separation", "negligible_amplitude", "no_aicc", "high_autocorrelation"), 3),
-    RESPONSES + """, u AS (SELECT * EXCLUDE (i), 20 * greatest(CASE WHEN p > 1 THEN ts ELSE tf END, span, 1.0) AS upper, abs(b1 + b2) AS d0 FROM c), w AS (SELECT sensor_id, model, i, upper * i / 2000 AS t, d0, abs(b1 * exp(-power(upper * i / 2000 / tf, beta)) + b2 * exp(-(upper * i / 2000) / ts) + dr * (upper * i / 2000)) AS away FROM u, range(2001) r(i)),
+    lambda s, d: rounded(transients(s, d, FULL).select(*SENSOR, "model", "total_amplitude", (F.col("initial_rate") * F.col("tau_fast")).alias("first_rate"), *((F.col(t) / F.col("duration")).alias(t) for t in ("t63", "t90", "t95")), "long_time_constant", "poor_separation", "negligible_amplitude", "no_aicc", "high_autocorrelation"), 3),
+    _responses_sql(FULL, _round_of_lists, _LISTS) + """, u AS (SELECT * EXCLUDE (i), 20 * greatest(CASE WHEN p > 1 THEN ts ELSE tf END, span, 1.0) AS upper, abs(b1 + b2) AS d0 FROM c), w AS (SELECT sensor_id, model, i, upper * i / 2000 AS t, d0, abs(b1 * exp(-power(upper * i / 2000 / tf, beta)) + b2 * exp(-(upper * i / 2000) / ts) + dr * (upper * i / 2000)) AS away FROM u, range(2001) r(i)),
  x AS (SELECT *, lag(away) OVER (PARTITION BY sensor_id, model ORDER BY i) AS away0, lag(t) OVER (PARTITION BY sensor_id, model ORDER BY i) AS t0 FROM w), """
     + ", ".join(f"h{n} AS (SELECT sensor_id, model, arg_min(t0 + (t - t0) * (away0 - d0 * (1 - {q})) / (away0 - away), i) AS t{n} FROM x WHERE i > 0 AND away <= d0 * (1 - {q}) GROUP BY ALL)" for n, q in ((63, 0.632), (90, 0.9), (95, 0.95)))
     + """ SELECT sensor_id, model, round(-b1 - b2, 3) AS total_amplitude, CASE WHEN beta >= 1 THEN round((-b1 / tf - b2 / ts + dr) * tf, 3) END AS first_rate, round(t63 / span, 3) AS t63, round(t90 / span, 3) AS t90, round(t95 / span, 3) AS t95, CASE WHEN p > 1 THEN ts ELSE tf END / span > 1 AS long_time_constant, p > 1 AND ts / tf < 3 AS poor_separation,
