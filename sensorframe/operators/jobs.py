@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorframe.operators import series as S
@@ -36,11 +37,18 @@ def compare_series(readings: DataFrame, manifest: DataFrame, key: list[str], *,
 
 def residual_report(residuals: DataFrame, *, window: int = 7, threshold: float = 3.0) -> DataFrame:
     """Per (source, record): n, durbin_watson, lag1, runs, rms, largest, drift (slope over t_s), spike_share. ``residuals`` is long, from any
-    fits: source, record, row_idx, t_s and r; null residuals are left out. Rows are ordered by t_s and row_idx. Ratios of residuals that are all zero, or all equal, are no numbers."""
-    key = ["source", "record"]
-    d = residuals.where(F.col("r").isNotNull() & ~F.isnan("r"))
-    s = S.residual_summary(d, key, ["t_s", "row_idx"], still=float("nan"))
-    size = d.groupBy(key).agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"), F.max(F.abs("r")).alias("largest"))
-    drift = S.ols(d.select(*key, F.col("t_s").alias("x"), F.col("r").alias("y")), key).select(*key, F.col("slope").alias("drift"))
-    spikes = S.hampel(d.withColumnRenamed("r", "value"), key, window, threshold).groupBy(key).agg(F.avg(F.col("spike").cast("double")).alias("spike_share"))
-    return s.join(size, key).join(drift, key, "left").join(spikes, key)
+    fits: source, record, row_idx, t_s and r; null residuals and keys are left out. Rows are ordered by t_s and row_idx. Ratios of residuals that are all zero, or all equal, are no numbers.
+
+    All of it is read from one sort of the rows by source, record and time: they are shuffled once, or not at all where they lie by record already."""
+    key, both = ["source", "record"], S.finite("t_s").isNotNull() & S.finite("value").isNotNull()
+    d = residuals.where(F.col("r").isNotNull() & ~F.isnan("r") & F.col("source").isNotNull() & F.col("record").isNotNull()).withColumnRenamed("r", "value")
+    d = S.hampel(d.select(*key, "row_idx", "t_s", "value"), key, window, threshold).drop("z")
+    d = d.withColumns({"_x": F.when(both, F.col("t_s")), "_y": F.when(both, F.col("value"))})
+    d = d.withColumns({m: F.avg(c).over(W.partitionBy(key)) for m, c in (("_mean", "value"), ("_mx", "_x"), ("_my", "_y"))})
+    d = S.with_neighbours(d, key, ["t_s", "row_idx"], "value")
+    dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
+    sxx = F.sum(dx * dx)
+    return d.groupBy(key).agg(
+        *S.residual_measures("value", float("nan")), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.max(F.abs("value")).alias("largest"),
+        F.when((F.count("_x") >= 2) & (sxx > 0), F.try_divide(F.sum(dx * dy), sxx)).alias("drift"), F.avg(F.col("spike").cast("double")).alias("spike_share"),
+    )

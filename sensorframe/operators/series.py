@@ -244,15 +244,24 @@ def lag_pairs(readings: DataFrame, key: list[str], max_lag: int) -> DataFrame:
 def residual_summary(residuals: DataFrame, key: list[str], order: list[str], value: str = "r", still: float | None = None) -> DataFrame:
     """Durbin-Watson, lag-1 autocorrelation about the mean, sign runs about the mean. Where a series is all zero, or all equal, the ratio of
     zero to zero is ``still``; those of a single row are null."""
-    w = W.partitionBy(key).orderBy(order)
     m = residuals.join(residuals.groupBy(key).agg(F.avg(value).alias("_mean")), key)
-    m = m.withColumns({"_p": F.lag(value).over(w), "_c": F.col(value) - F.col("_mean")})
+    return with_neighbours(m, key, order, value).groupBy(key).agg(*residual_measures(value, still))
+
+
+def with_neighbours(d: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds what :func:`residual_measures` takes to rows with the mean of their series, ``_mean``."""
+    w = W.partitionBy(key).orderBy(order)
+    d = d.withColumns({"_p": F.lag(value).over(w), "_c": F.col(value) - F.col("_mean")})
+    return d.withColumns({"_pc": F.lag("_c").over(w), "_up": F.col("_c") >= 0}).withColumn("_pu", F.lag("_up").over(w))
+
+
+def residual_measures(value: str, still: float | None) -> list[Column]:
+    """The aggregates of :func:`residual_summary`."""
     share = lambda part, whole: F.when((part == 0) & (whole == 0), F.lit(still)).otherwise(F.try_divide(part, whole))
-    m = m.withColumns({"_pc": F.lag("_c").over(w), "_up": F.col("_c") >= 0}).withColumn("_pu", F.lag("_up").over(w))
-    return m.groupBy(key).agg(
+    return [
         F.count("*").alias("n"), share(F.sum(F.pow(F.col(value) - F.col("_p"), 2)), F.sum(F.pow(value, 2))).alias("durbin_watson"),
         share(F.sum(F.col("_c") * F.col("_pc")), F.sum(F.col("_c") ** 2)).alias("lag1"), (F.count_if(F.col("_up") != F.col("_pu")) + 1).alias("runs"),
-    )
+    ]
 
 
 def correlate(a: DataFrame, b: DataFrame, key: list[str], on: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import calibration as C
 from sensorframe.operators import jobs as J
+from sensorframe.operators import linear as L
 from sensorframe.operators import timescales as X
 from sensorframe.operators import transient as T
 from sensorframe.plans import q_models as Q
@@ -46,18 +47,26 @@ def residuals(s, d):
     p = Q.responses(s, d)
     best = T.select_model(T.fit_responses(p, Q.SENSOR, grid=Q.GRID), Q.SENSOR).where("selected")
     a = p.join(best, Q.SENSOR).select(F.lit("response").alias("source"), F.col("sensor_id").alias("record"), "row_idx", F.col("local").alias("t_s"), (F.col("v") - T.response(F.col("local"))).alias("r"))
-    rows = Q.rows(s, d)
-    fit = C.fit_calibrations(rows, Q.KEY, ["level"]).where("selected").select(*Q.KEY, "model", "intercept", *(F.coalesce(f"b{j}", F.lit(0.0)).alias(f"c{j}") for j in (1, 2, 3)))
-    left = F.col("t") - F.col("intercept") - sum(F.col(f"c{j}") * F.col(f"z{j}") for j in (1, 2, 3))
-    b = rows.join(fit, [*Q.KEY, "model"]).select(F.lit("calibration"), F.col("series"), F.col("part") * 1000 + F.col("l") * 100 + F.col("level").cast("bigint"), F.col("o").cast("double"), left)
-    return written(a.union(b), "residuals")
+    fit = C.fit_calibrations(Q.rows(s, d), Q.KEY, ["level"]).where("selected")
+    fit = fit.select(*Q.KEY, F.col("model").alias("chosen"), F.col("intercept").alias("f0"), *(F.coalesce(f"b{j}", F.lit(0.0)).alias(f"f{j}") for j in (1, 2, 3)))
+    # observations lie by series; only their selected model's rows are made again
+    rows = L.expand(Q.obs(s, d).join(fit, Q.KEY), Q.MODELS, "y", "w", [*Q.KEY, *Q.ORDER, *fit.columns[1:]]).where("model = chosen")
+    left = F.col("t") - F.col("f0") - sum(F.col(f"f{j}") * F.col(f"z{j}") for j in (1, 2, 3))
+    number = F.col("part") * 1000 + F.col("l") * 100 + F.col("level").cast("bigint")
+    return a, rows.select(F.lit("calibration").alias("source"), F.col("series").alias("record"), number.alias("row_idx"), F.col("o").cast("double").alias("t_s"), left.alias("r"))
+
+
+def residual_reports(s, d):
+    """A report each, as the residuals of calibrations lie by their record already."""
+    a, b = (J.residual_report(x) for x in residuals(s, d))
+    return a.unionByName(b)
 
 
 _LEFT = f"""SELECT * FROM ({Q.RESPONSES} SELECT 'response' AS source, p.sensor_id AS record, row_idx, local AS t_s, p.v - (b0 + b1 * exp(-power(local / tf, beta)) + b2 * exp(-local / ts) + dr * local) AS v FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY aic, CASE model WHEN 'single' THEN 0 WHEN 'double' THEN 1 WHEN 'double_drift' THEN 2 ELSE 3 END) = 1) f JOIN p USING (sensor_id))
  UNION ALL SELECT * FROM ({Q.FITS}, s AS (SELECT *, place = max(CASE WHEN delta < 1e-12 THEN place END) OVER (PARTITION BY series) AS chosen FROM q) SELECT 'calibration', e.series, e.part * 1000 + e.l * 100 + e.level::BIGINT, e.o::DOUBLE, t - s.b0 - s.b1 * z1 - s.b2 * z2 FROM e JOIN s ON s.series = e.series AND s.model = e.model AND chosen)"""
 register(
     "l03_residual_report",
-    lambda s, d: rounded(J.residual_report(residuals(s, d)).withColumn("drift", F.col("drift") * 1e6), 3),
+    lambda s, d: rounded(residual_reports(s, d).withColumn("drift", F.col("drift") * 1e6), 3),
     "WITH x AS (" + _LEFT + "), " + SPIKES.format(n="sp", t="x", k="source, record") + """, m AS (SELECT *, avg(v) OVER (PARTITION BY source, record) AS mean FROM x), c AS (SELECT *, v - mean AS c, lag(v) OVER o AS p, lag(v - mean) OVER o AS pc FROM m WINDOW o AS (PARTITION BY source, record ORDER BY t_s, row_idx)),
  g AS (SELECT source, record, count(*) AS n, sum(power(v - p, 2)) / sum(v * v) AS dw, sum(c * pc) / sum(c * c) AS lag1, count(*) FILTER ((c >= 0) <> (pc >= 0)) + 1 AS runs, sqrt(avg(v * v)) AS rms, max(abs(v)) AS largest, covar_pop(t_s, v) / var_pop(t_s) AS drift FROM c GROUP BY ALL)
  SELECT source, record, n, round(dw, 3) AS durbin_watson, round(lag1, 3) AS lag1, runs, round(rms, 3) AS rms, round(largest, 3) AS largest, round(drift * 1e6, 3) AS drift, round(spike_share, 3) AS spike_share FROM g JOIN sp USING (source, record)""",
